@@ -1,11 +1,14 @@
 """Registry of the operators' queries and their SQL."""
 
-from helixframe.llm import sharding
+from helixframe.llm import fingerprints, licenses, mixing, sharding
 
 
 def queries() -> dict:
     return {
         "op1_kd_sharding": sharding.op1_kd_sharding,
+        "op3_exact_digest": fingerprints.op3_exact_digest,
+        "op4_diagonal_voting": licenses.op4_diagonal_voting,
+        "op5_golden_schedule": mixing.op5_golden_schedule,
     }
 
 
