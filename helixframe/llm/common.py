@@ -34,6 +34,11 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def wider(df: DataFrame, **more: str) -> str:
+    """Schema text of df with more columns."""
+    return ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields], *[f"`{k}` {v}" for k, v in more.items()]])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list: (node, component), component = smallest node reached.
 

@@ -1,14 +1,16 @@
 """Registry of the operators' queries and their SQL."""
 
-from helixframe.llm import fingerprints, licenses, mixing, sharding
+from helixframe.llm import fingerprints, languages, licenses, mixing, quality, sharding
 
 
 def queries() -> dict:
     return {
         "op1_kd_sharding": sharding.op1_kd_sharding,
+        "op2_hd_language_id": languages.op2_hd_language_id,
         "op3_exact_digest": fingerprints.op3_exact_digest,
         "op4_diagonal_voting": licenses.op4_diagonal_voting,
         "op5_golden_schedule": mixing.op5_golden_schedule,
+        "op7_ftrl_quality": quality.op7_ftrl_quality,
     }
 
 
