@@ -1,6 +1,6 @@
 """Registry of the operators' queries and their SQL."""
 
-from helixframe.llm import fingerprints, languages, licenses, mixing, quality, sharding
+from helixframe.llm import fingerprints, languages, licenses, mixing, neighbors, quality, sharding, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op3_exact_digest": fingerprints.op3_exact_digest,
         "op4_diagonal_voting": licenses.op4_diagonal_voting,
         "op5_golden_schedule": mixing.op5_golden_schedule,
+        "op6_additive_quantisation": neighbors.op6_additive_quantisation,
+        "op8_separator_scan": token_counts.op8_separator_scan,
         "op7_ftrl_quality": quality.op7_ftrl_quality,
     }
 
