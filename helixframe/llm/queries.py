@@ -1,6 +1,6 @@
 """Registry of the operators' queries and their SQL."""
 
-from helixframe.llm import fingerprints, languages, licenses, mixing, neighbors, quality, sentence_pieces, sharding, token_counts
+from helixframe.llm import fingerprints, jaccard_join, languages, licenses, mixing, neighbors, quality, sentence_pieces, sharding, token_counts
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_additive_quantisation": neighbors.op6_additive_quantisation,
         "op8_separator_scan": token_counts.op8_separator_scan,
         "op9_sentencepiece_wfst": sentence_pieces.op9_sentencepiece_wfst,
+        "op10_metric_jaccard": jaccard_join.op10_metric_jaccard,
         "op7_ftrl_quality": quality.op7_ftrl_quality,
     }
 
