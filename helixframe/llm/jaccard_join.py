@@ -11,10 +11,11 @@ common shingle. The order comes from a fixed-size count sketch of all documents;
 
 Inside a region the distances to ``SLICES`` more pivots, the slices of the space of hashes, prune by the triangle
 inequality: the common part of two sets is at most the sum over the slices of the smaller part. What passes is a
-candidate. A region hands over only a spanning forest of its candidates; exact sets of these pairs are compared;
-pairs that hold join classes, pairs that fail are struck out, and regions that still have candidates between
-different classes go another round. A region above ``CELL`` points is first cut into cells that share a few pivot
-points, and in later rounds the pairs of cells are compared, if its points are not all in one class by then.
+candidate. A region first hands over only a spanning forest of its candidates; the whole sets of these pairs are
+compared, and pairs that hold join classes. Regions that still have candidates between different classes then bring
+the whole sets of these points together and find their links exactly, in a forest again. A region above ``CELL``
+points is cut into cells: at first they share a few centres, and then every two cells meet, if the points are not all
+in one class by then.
 """
 
 import numpy as np
@@ -31,7 +32,6 @@ SKETCH_BITS, SKETCH_PARTS = 22, 64
 SLICES = 128
 CELL = 2048
 CENTRES = 16
-ROUNDS = 40
 
 
 def shingles(data: np.ndarray, off: np.ndarray, k: int):
@@ -145,30 +145,35 @@ def vectors_of(docs: DataFrame, k: int, full: bool) -> DataFrame:
     return docs.mapInArrow(run, "x long, v binary")
 
 
-def forest(pdf: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
-    """Spanning forest of one cell's candidates between different classes.
-
-    Rows (x, n, c, v, bad, side): candidates are pairs of rows whose sizes and slices allow the similarity, not struck
-    out and, between two cells, of different sides. The lowest ids are the roots, so that regions of the same points
-    propose the same pairs.
-    """
+def cell(pdf: pd.DataFrame):
+    """Arrays of one cell's rows in the order of ids: (x, n, side, class, slice sizes, rows too large to tell)."""
     pdf = pdf.sort_values("x", kind="stable").drop_duplicates("x")
-    x, n, side = pdf["x"].to_numpy(), pdf["n"].to_numpy().astype(np.int64), pdf["side"].to_numpy()
     _, cls = np.unique(pdf["c"].to_numpy(), return_inverse=True)
-    m = len(x)
-    v = np.zeros((m, SLICES), np.uint8)
-    blank = np.zeros(m, bool)
+    v, blank = np.zeros((len(pdf), SLICES), np.uint8), np.zeros(len(pdf), bool)
     for i, b in enumerate(pdf["v"]):
         if b:
             v[i] = np.frombuffer(b, np.uint8)
         else:
             blank[i] = True
-    bad = [set(b) if b is not None else () for b in pdf["bad"]]
-    edges, left = [], cls.max() + 1
+    return pdf["x"].to_numpy(), pdf["n"].to_numpy().astype(np.int64), pdf["side"].to_numpy(), cls, v, blank
+
+
+def within(i: int, j: np.ndarray, n, v, blank, num: int, den: int) -> np.ndarray:
+    """Those of the rows j that sizes and slices allow to be as near to row i as asked."""
+    lo, hi = np.minimum(n[j], n[i]), np.maximum(n[j], n[i])
+    j, lo, hi = (a[den * lo >= num * hi] for a in (j, lo, hi))
+    most = np.minimum(v[j], v[i]).sum(1, dtype=np.int64)
+    most = np.where(blank[j] | blank[i], lo, most)
+    return j[den * most >= num * (lo + hi - most)]
+
+
+def walk(cls: np.ndarray, side: np.ndarray, near) -> list[tuple[int, int]]:
+    """Spanning forest between the classes over the rows near(i, others); the lowest ids are the roots, so that regions
+    of the same points propose the same pairs. Ends as soon as all rows are of one class."""
+    edges, left = [], int(cls.max()) + 1
     two = side.min() != side.max()
-    todo = np.ones(m, bool)
+    todo = np.ones(len(cls), bool)
     while left > 1 and todo.any():
-        # breadth first from the lowest row not yet looked at
         queue = [int(np.flatnonzero(todo)[0])]
         todo[queue[0]] = False
         while queue and left > 1:
@@ -177,16 +182,9 @@ def forest(pdf: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
             if two:
                 other &= side != side[i]
             j = np.flatnonzero(other)
-            if len(j):
-                lo, hi = np.minimum(n[j], n[i]), np.maximum(n[j], n[i])
-                j, lo, hi = (a[den * lo >= num * hi] for a in (j, lo, hi))
-            if len(j):
-                most = np.minimum(v[j], v[i]).sum(1, dtype=np.int64)
-                most = np.where(blank[j] | blank[i], lo, most)
-                j = j[den * most >= num * (lo + hi - most)]
-            for t in j:
-                if cls[t] != cls[i] and int(x[t]) not in bad[i]:
-                    edges.append((int(x[i]), int(x[t])))
+            for t in near(i, j) if len(j) else ():
+                if cls[t] != cls[i]:
+                    edges.append((i, int(t)))
                     cls[cls == cls[t]] = cls[i]
                     left -= 1
                     if todo[t]:
@@ -195,6 +193,76 @@ def forest(pdf: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
     return edges
 
 
+def proposed(pdf: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
+    """Spanning forest of a cell's candidates."""
+    x, n, side, cls, v, blank = cell(pdf)
+    return [(int(x[i]), int(x[j])) for i, j in walk(cls, side, lambda i, j: within(i, j, n, v, blank, num, den))]
+
+
+def active(pdf: pd.DataFrame, num: int, den: int) -> np.ndarray:
+    """Points of a cell that have a candidate in another class."""
+    x, n, side, cls, v, blank = cell(pdf)
+    two = side.min() != side.max()
+    keep = np.zeros(len(x), bool)
+    for i in range(len(x)):
+        j = np.flatnonzero((cls != cls[i]) & ((side != side[i]) if two else True))
+        if len(j) and len(j := within(i, j, n, v, blank, num, den)):
+            keep[i] = True
+            keep[j] = True
+    return x[keep]
+
+
+def exact(pdf: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
+    """Spanning forest of the true links of a cell, by its whole sets."""
+    pdf = pdf.sort_values("x", kind="stable").drop_duplicates("x")
+    x, side = pdf["x"].to_numpy(), pdf["side"].to_numpy()
+    _, cls = np.unique(pdf["c"].to_numpy(), return_inverse=True)
+    sets = [np.frombuffer(b, U) for b in pdf["v"]]
+    n = np.array([len(s) for s in sets])
+    _, item = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), n)
+    at = np.concatenate([[0], np.cumsum(n)])
+    order = np.argsort(item, kind="stable")
+    holders, start = owner[order], np.concatenate([[0], np.cumsum(np.bincount(item))])
+
+    def near(i, j):
+        mine = item[at[i] : at[i + 1]]
+        count = start[mine + 1] - start[mine]
+        where = np.repeat(start[mine] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        common = np.bincount(holders[where], minlength=len(sets))[j]
+        return j[den * common >= num * (n[j] + n[i] - common)]
+
+    return [(int(x[i]), int(x[j])) for i, j in walk(cls, side, near)]
+
+
+def by_cell(keys: tuple[str, ...], solve):
+    """mapInPandas function over rows sorted by keys: solve(rows of a cell) for each; a cell may span batches."""
+    keys = list(keys)
+
+    def run(batches):
+        held = None
+        for t in batches:
+            t = t if held is None else pd.concat([held, t], ignore_index=True)
+            if not len(t):
+                continue
+            tail = (t[keys] == t[keys].iloc[-1]).all(axis=1).to_numpy()
+            first = len(tail) - int(np.argmin(tail[::-1])) if not tail.all() else 0
+            held = t.iloc[first:]
+            yield from told(t.iloc[:first])
+        if held is not None:
+            yield from told(held)
+
+    def told(t):
+        if len(t):
+            for _, g in t.groupby(keys, sort=False):
+                if len(g) > 1:
+                    out = solve(g)
+                    if out is not None and len(out):
+                        yield out
+
+    return run
+
+
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row: classes of texts linked by Jaccard similarity >= num / den of
     their sets of k-word shingles, over chains of links; component_id is the smallest id of the class.
@@ -226,90 +294,62 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str =
     vec = cut(vectors_of(known.join(some, known["doc_id"] == some["x"], "left_semi"), k, False).dropDuplicates(["x"]))
     size = r.groupBy("e").agg(F.count("*").alias("m")).where("m > 1").withColumn("cells", F.ceil(F.col("m") / CELL).cast("int"))
     r = cut(r.join(size.select("e", "cells"), "e").withColumn("cell", F.pmod(F.xxhash64("x"), F.col("cells")).cast("int")))
-    classes = None  # (x, c), rows for points in a class of more than one
-    struck = None  # (a, b), compared and not similar
-    sets = None  # (x, v), whole sets fetched so far
-    links = None
-
-    for turn in range(ROUNDS):
-        at = r
-        if classes is not None:
-            at = at.join(classes, "x", "left").withColumn("c", F.coalesce("c", "x"))
-            mixed = at.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("e")
-            at = at.join(mixed, "e", "left_semi")
-        else:
-            at = at.withColumn("c", F.col("x"))
-        bad = F.lit(None).cast("array<long>")
-        at = at.join(vec, "x")
-        if struck is not None:
-            both = struck.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(struck.select(F.col("b").alias("x"), F.col("a").alias("y")))
-            at = at.join(both.groupBy("x").agg(F.collect_set("y").alias("bad")), "x", "left")
-            bad = F.col("bad")
-        if turn == 0:
-            # centres of a large region, about CENTRES for each of its cells, are in all of its cells
-            cells = at.withColumn("pair", F.when((F.col("cells") > 1) & (F.pmod(F.xxhash64("x", F.lit("centre")), F.col("cells") * (CELL // CENTRES)) == 0), F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda i: F.struct(i.alias("i"), i.alias("j")))).otherwise(F.array(F.struct(F.col("cell").alias("i"), F.col("cell").alias("j")))))
-        else:
-            me = F.col("cell")
-            cells = at.withColumn("pair", F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda i: F.struct(F.least(i, me).alias("i"), F.greatest(i, me).alias("j"))))
-        cells = cells.select("e", "x", "n", "c", "v", bad.alias("bad"), "cell", F.explode("pair").alias("p")).select("e", "p.i", "p.j", "x", "n", "c", "v", "bad", F.when(F.col("p.i") == F.col("p.j"), 0).otherwise(F.col("cell")).alias("side"))
-
-        def propose(batches):
-            # rows come sorted by cell: a cell may go over several batches
-            held = None
-            for t in batches:
-                t = t if held is None else pd.concat([held, t], ignore_index=True)
-                key_ = list(zip(t["e"], t["i"], t["j"], strict=True))
-                last = len(t) - 1 - next((q for q, y in enumerate(reversed(key_)) if y != key_[-1]), len(t))
-                held = t.iloc[last + 1 :]
-                yield from told(t.iloc[: last + 1])
-            if held is not None:
-                yield from told(held)
-
-        def told(t):
-            out = []
-            if len(t):
-                for _, g in t.groupby(["e", "i", "j"], sort=False):
-                    if len(g) > 1:
-                        out += forest(g, num, den)
-            if out:
-                out = [(min(p), max(p)) for p in out]
-                yield pd.DataFrame(out, columns=["a", "b"])
-
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        pairs = cells.repartition(parts, "e", "i", "j").sortWithinPartitions("e", "i", "j").mapInPandas(propose, "a long, b long").distinct()
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            break
-        ends = pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))).distinct()
-        new = ends if sets is None else ends.join(sets.select("x"), "x", "left_anti")
-        fresh = vectors_of(known.join(new, known["doc_id"] == new["x"], "left_semi"), k, True).dropDuplicates(["x"])
-        if sets is None:
-            sets = cut(fresh)
-        elif not new.isEmpty():
-            sets = cut(sets.unionByName(fresh))
-
-        def compare(batches):
-            for b in batches:
-                ok = []
-                for p, q in zip(b.column(2), b.column(3), strict=True):
-                    s, t = np.frombuffer(p.as_buffer(), U), np.frombuffer(q.as_buffer(), U)
-                    small, large = (s, t) if len(s) <= len(t) else (t, s)
-                    pos = np.searchsorted(large, small)
-                    pos[pos == len(large)] = 0
-                    common = int((large[pos] == small).sum())
-                    ok.append(den * common >= num * (len(s) + len(t) - common))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
-
-        a, b = sets.select(F.col("x").alias("a"), F.col("v").alias("va")), sets.select(F.col("x").alias("b"), F.col("v").alias("vb"))
-        seen = cut(pairs.join(a, "a").join(b, "b").select("a", "b", "va", "vb").mapInArrow(compare, "a long, b long, ok boolean"))
-        good, fail = seen.where("ok").select("a", "b"), seen.where("not ok").select("a", "b")
-        links = good if links is None else links.unionByName(good)
-        struck = fail if struck is None else struck.unionByName(fail)
-        classes = cut(components(links).select(F.col("node").alias("x"), F.col("component").alias("c")))
-    else:
-        raise RuntimeError(f"the join did not settle in {ROUNDS} rounds")
-    every = same if links is None else same.unionByName(links)
-    comp = components(every).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def pairs_of(edges):
+        return pd.DataFrame([(min(p), max(p)) for p in edges], columns=["a", "b"])
+
+    def fetch(points: DataFrame, full: bool) -> DataFrame:
+        return vectors_of(known.join(points, known["doc_id"] == points["x"], "left_semi"), k, full).dropDuplicates(["x"])
+
+    # first round: a spanning forest of the candidates of each cell; the centres of a large region, about CENTRES for
+    # each of its cells, are in all of its cells
+    centre = (F.col("cells") > 1) & (F.pmod(F.xxhash64("x", F.lit("centre")), F.col("cells") * (CELL // CENTRES)) == 0)
+    cells = r.withColumn("i", F.explode(F.when(centre, F.sequence(F.lit(0), F.col("cells") - 1)).otherwise(F.array("cell")))).join(vec, "x")
+    cells = cells.select("e", "i", "x", "n", F.col("x").alias("c"), F.lit(0).alias("side"), "v")
+    pairs = cells.repartition(parts, "e", "i").sortWithinPartitions("e", "i").mapInPandas(by_cell(("e", "i"), lambda g: pairs_of(proposed(g, num, den))), "a long, b long")
+    pairs = cut(pairs.distinct())
+    sets = cut(fetch(pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))).distinct(), True))
+
+    def compare(batches):
+        for b in batches:
+            ok = []
+            for p, q in zip(b.column(2), b.column(3), strict=True):
+                s, t = np.frombuffer(p.as_buffer(), U), np.frombuffer(q.as_buffer(), U)
+                small, large = (s, t) if len(s) <= len(t) else (t, s)
+                pos = np.searchsorted(large, small)
+                pos[pos == len(large)] = 0
+                common = int((large[pos] == small).sum())
+                ok.append(den * common >= num * (len(s) + len(t) - common))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    a, b = sets.select(F.col("x").alias("a"), F.col("v").alias("va")), sets.select(F.col("x").alias("b"), F.col("v").alias("vb"))
+    links = cut(pairs.join(a, "a").join(b, "b").select("a", "b", "va", "vb").mapInArrow(compare, "a long, b long"))
+    classes = cut(components(links).select(F.col("node").alias("x"), F.col("component").alias("c")))
+    # second round: regions with points of several classes. Of each cell, or pair of cells, the points that still have
+    # a candidate in another class meet with their whole sets; regions with the same such points are one
+    at = r.join(classes, "x", "left").withColumn("c", F.coalesce("c", "x"))
+    at = at.join(at.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("e"), "e", "left_semi").join(vec, "x")
+    met = at.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select("e", F.least("j", "cell").alias("i"), F.greatest("j", "cell").alias("j"), "x", "n", "c", F.when(F.col("j") == F.col("cell"), 0).otherwise(F.col("cell")).alias("side"), "v")
+
+    def remain(g):
+        x = active(g, num, den)
+        if not len(x):
+            return None
+        g = g[g["x"].isin(x)].drop_duplicates("x").sort_values("x")
+        name = np.stack([g["x"].to_numpy().astype(U), g["side"].to_numpy().astype(U)], 1).ravel()
+        with np.errstate(over="ignore"):
+            sig = mix(name + mix(np.arange(len(name), dtype=U))).sum(dtype=U)
+        return pd.DataFrame({"g": np.full(len(g), sig.view(np.int64)), "x": g["x"], "c": g["c"], "side": g["side"]})
+
+    still = met.repartition(parts, "e", "i", "j").sortWithinPartitions("e", "i", "j").mapInPandas(by_cell(("e", "i", "j"), remain), "g long, x long, c long, side int")
+    still = cut(still.distinct())
+    points_left = still.select("x").distinct()
+    more = fetch(points_left.join(sets, "x", "left_anti"), True)
+    whole = sets.join(points_left, "x", "left_semi").unionByName(more)
+    found = still.join(whole, "x").repartition(parts, "g").sortWithinPartitions("g").mapInPandas(by_cell(("g",), lambda g: pairs_of(exact(g, num, den))), "a long, b long")
+    links = links.unionByName(cut(found.distinct()))
+    comp = components(same.unionByName(links)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
     return signed.join(comp, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
