@@ -389,6 +389,52 @@ def diff(a: Table, b: Table) -> float:
     return float(sum(np.abs(x * ka - y * kb).sum() for x, y in ((a.m, b.m), (a.i, b.i), (a.d, b.d))) + sum(abs(x * ka - y * kb) for x, y in ((a.mb, b.mb), (a.ib, b.ib), (a.e, b.e))))
 
 
+def forward_scores(h: Model, seqs: list[str], batch: int = 512) -> np.ndarray:
+    """Log probabilities of many reads by dense forward passes, a whole batch of reads in each step."""
+    p, out = h.params, np.full(len(seqs), -INF)
+    by = np.argsort(h.target, kind="stable")
+    src, tr = h.source[by], h.trans[by]
+    heads, first = np.unique(h.target[by], return_index=True)
+
+    def into(v):
+        r = np.zeros_like(v)
+        if len(by):
+            r[:, heads] = np.add.reduceat(v[:, src] * tr, first, axis=1)
+        return r
+
+    letters = np.unique(np.concatenate([h.base, np.array(list("ACGT"))]))
+    table = np.where(h.base[None, :] == letters[:, None], p.p_match, p.p_mismatch)
+    order = sorted((i for i in range(len(seqs)) if seqs[i]), key=lambda i: -len(seqs[i]))
+    for at in range(0, len(order), batch):
+        idx = np.array(order[at : at + batch])
+        size = np.array([len(seqs[i]) for i in idx])
+        codes = [np.searchsorted(letters, np.array(list(seqs[i]))) for i in idx]
+        m = i_ = d = np.zeros((len(idx), h.n))
+        mb, ib, scale = np.ones(len(idx)), np.zeros(len(idx)), np.zeros(len(idx))
+        for j in range(int(size[0])):
+            live = int((size > j).sum())
+            if live < len(m):
+                m, i_, d, mb, ib, scale = (x[:live] for x in (m, i_, d, mb, ib, scale))
+            em = table[[codes[r][j] for r in range(live)]]
+            m2 = em * (into(p.mm * m + p.im * i_ + p.dm * d) + h.init * (p.mm * mb + p.im * ib)[:, None])
+            i2 = 0.25 * (p.p_open * m + p.p_ext * i_ + p.p_open * d)
+            ib = 0.25 * (p.p_open * mb + p.p_ext * ib)
+            mb = np.zeros(live)
+            step = into(p.p_open * (m2 + i2)) + h.init * (p.p_open * ib)[:, None]
+            d2 = step.copy()
+            for _ in range(p.max_gaps):
+                step = into(p.p_ext * step)
+                d2 += step
+            top = np.maximum(np.maximum(np.maximum(m2.max(1), i2.max(1)), d2.max(1)), ib)
+            top = np.where(top > 0, top, 1.0)
+            m, i_, d, ib, scale = m2 / top[:, None], i2 / top[:, None], d2 / top[:, None], ib / top, scale + np.log(top)
+            ends = np.flatnonzero(size[:live] == j + 1)
+            if len(ends):
+                with np.errstate(divide="ignore"):
+                    out[idx[ends]] = np.log(p.p_end * (m[ends] + i_[ends] + d[ends]).sum(1)) + scale[ends]
+    return out
+
+
 # ---- mappings: rows (read_id, pos, node, lp)
 
 
@@ -434,6 +480,9 @@ def score_reads(reads: DataFrame, h: Model, mappings: DataFrame | None = None, h
         model = shared.value
         for t in batches:
             maps = t["map"] if "map" in t else [None] * len(t)
+            if how == "dense" and "map" not in t:
+                yield pd.DataFrame({"read_id": t["read_id"], "lp": forward_scores(model, t["seq"].to_list())})
+                continue
             yield pd.DataFrame({"read_id": t["read_id"], "lp": [score(model, x, m, sparse=how != "dense") for x, m in zip(t["seq"], maps, strict=True)]})
 
     return rows.mapInPandas(go, "read_id long, lp double")
