@@ -32,6 +32,8 @@ SKETCH_BITS, SKETCH_PARTS = 22, 64
 SLICES = 128
 CELL = 2048
 CENTRES = 16
+#: Cells of at most this many points are compared many at a time.
+SMALL = 32
 
 
 def shingles(data: np.ndarray, off: np.ndarray, k: int):
@@ -235,30 +237,68 @@ def exact(pdf: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
     return [(int(x[i]), int(x[j])) for i, j in walk(cls, side, near)]
 
 
-def by_cell(keys: tuple[str, ...], solve):
-    """mapInPandas function over rows sorted by keys: solve(rows of a cell) for each; a cell may span batches."""
+def small_pairs(t: pd.DataFrame, gid: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs between different classes in all cells of a batch at once: rows are compared with the row d places
+    on, for each d below SMALL, where both are of one cell."""
+    x, n, c, side = (t[k].to_numpy().astype(np.int64) for k in ("x", "n", "c", "side"))
+    blank = np.array([not b for b in t["v"]])
+    v = np.frombuffer(b"".join(b or bytes(SLICES) for b in t["v"]), np.uint8).reshape(-1, SLICES)
+    first = np.concatenate([[0], np.flatnonzero(np.diff(gid)) + 1])
+    two = (np.minimum.reduceat(side, first) != np.maximum.reduceat(side, first))[np.cumsum(np.isin(np.arange(len(gid)), first)) - 1]
+    left, right = [], []
+    for d in range(1, SMALL):
+        i = np.flatnonzero((gid[:-d] == gid[d:]) & (c[:-d] != c[d:]) & (~two[:-d] | (side[:-d] != side[d:]))) if d < len(gid) else np.zeros(0, int)
+        lo, hi = np.minimum(n[i], n[i + d]), np.maximum(n[i], n[i + d])
+        ok = den * lo >= num * hi
+        i, lo, hi = i[ok], lo[ok], hi[ok]
+        for q in range(0, len(i), 1 << 14):
+            j, l, h = i[q : q + (1 << 14)], lo[q : q + (1 << 14)], hi[q : q + (1 << 14)]
+            most = np.where(blank[j] | blank[j + d], l, np.minimum(v[j], v[j + d]).sum(1, dtype=np.int64))
+            j = j[den * most >= num * (l + h - most)]
+            left.append(j)
+            right.append(j + d)
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
+
+
+def by_cell(keys: tuple[str, ...], solve, solve_small=None):
+    """mapInPandas function over rows sorted by keys: solve(rows of a cell) for each cell; the cells of at most SMALL rows
+    in a batch go to solve_small(rows, cell numbers) together, if there is one. A cell may span batches."""
     keys = list(keys)
 
+    def numbers(t):
+        new = np.zeros(len(t), bool)
+        for k in keys:
+            a = t[k].to_numpy()
+            new[1:] |= a[1:] != a[:-1]
+        return np.cumsum(new)
+
     def run(batches):
         held = None
         for t in batches:
             t = t if held is None else pd.concat([held, t], ignore_index=True)
             if not len(t):
                 continue
-            tail = (t[keys] == t[keys].iloc[-1]).all(axis=1).to_numpy()
-            first = len(tail) - int(np.argmin(tail[::-1])) if not tail.all() else 0
+            g = numbers(t)
+            first = int(np.searchsorted(g, g[-1]))
             held = t.iloc[first:]
-            yield from told(t.iloc[:first])
+            yield from told(t.iloc[:first], g[:first])
         if held is not None:
-            yield from told(held)
-
-    def told(t):
-        if len(t):
-            for _, g in t.groupby(keys, sort=False):
-                if len(g) > 1:
-                    out = solve(g)
-                    if out is not None and len(out):
-                        yield out
+            yield from told(held, numbers(held))
+
+    def told(t, g):
+        if not len(t):
+            return
+        size = np.bincount(g)[g]
+        small = (size > 1) & (size <= SMALL) if solve_small else np.zeros(len(t), bool)
+        if small.any():
+            out = solve_small(t[small].reset_index(drop=True), g[small])
+            if out is not None and len(out):
+                yield out
+        rest = (size > 1) & ~small
+        for _, part in t[rest].groupby(g[rest], sort=False):
+            out = solve(part)
+            if out is not None and len(out):
+                yield out
 
     return run
 
@@ -299,6 +339,36 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str =
     def pairs_of(edges):
         return pd.DataFrame([(min(p), max(p)) for p in edges], columns=["a", "b"])
 
+    def propose_small(t, gid):
+        x, root, out = t["x"].to_numpy(), {}, []
+
+        def find(v):
+            while root.setdefault(v, v) != v:
+                v = root[v]
+            return v
+
+        for i, j in sorted(zip(*small_pairs(t, gid, num, den), strict=True), key=lambda p: (gid[p[0]], min(x[p[0]], x[p[1]]), max(x[p[0]], x[p[1]]))):
+            a, b = find((gid[i], x[i])), find((gid[j], x[j]))
+            if a != b:
+                root[b] = a
+                out.append((int(x[i]), int(x[j])))
+        return pairs_of(out)
+
+    def named(g, gid):
+        """Rows of cells under a name that depends on their points and sides alone."""
+        with np.errstate(over="ignore"):
+            part = mix(g["x"].to_numpy().astype(U) * U(2048) + g["side"].to_numpy().astype(U))
+            first = np.concatenate([[0], np.flatnonzero(np.diff(gid)) + 1])
+            name = np.add.reduceat(part, first)
+        at = np.zeros(len(gid), int)
+        at[first[1:]] = 1
+        return pd.DataFrame({"g": name.view(np.int64)[np.cumsum(at)], "x": g["x"].to_numpy(), "c": g["c"].to_numpy(), "side": g["side"].to_numpy()})
+
+    def remain_small(t, gid):
+        i, j = small_pairs(t, gid, num, den)
+        keep = np.unique(np.concatenate([i, j]))
+        return named(t.iloc[keep], gid[keep]) if len(keep) else None
+
     def fetch(points: DataFrame, full: bool) -> DataFrame:
         return vectors_of(known.join(points, known["doc_id"] == points["x"], "left_semi"), k, full).dropDuplicates(["x"])
 
@@ -307,7 +377,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str =
     centre = (F.col("cells") > 1) & (F.pmod(F.xxhash64("x", F.lit("centre")), F.col("cells") * (CELL // CENTRES)) == 0)
     cells = r.withColumn("i", F.explode(F.when(centre, F.sequence(F.lit(0), F.col("cells") - 1)).otherwise(F.array("cell")))).join(vec, "x")
     cells = cells.select("e", "i", "x", "n", F.col("x").alias("c"), F.lit(0).alias("side"), "v")
-    pairs = cells.repartition(parts, "e", "i").sortWithinPartitions("e", "i").mapInPandas(by_cell(("e", "i"), lambda g: pairs_of(proposed(g, num, den))), "a long, b long")
+    pairs = cells.repartition(parts, "e", "i").sortWithinPartitions("e", "i").mapInPandas(by_cell(("e", "i"), lambda g: pairs_of(proposed(g, num, den)), propose_small), "a long, b long")
     pairs = cut(pairs.distinct())
     sets = cut(fetch(pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))).distinct(), True))
 
@@ -337,12 +407,9 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str =
         if not len(x):
             return None
         g = g[g["x"].isin(x)].drop_duplicates("x").sort_values("x")
-        name = np.stack([g["x"].to_numpy().astype(U), g["side"].to_numpy().astype(U)], 1).ravel()
-        with np.errstate(over="ignore"):
-            sig = mix(name + mix(np.arange(len(name), dtype=U))).sum(dtype=U)
-        return pd.DataFrame({"g": np.full(len(g), sig.view(np.int64)), "x": g["x"], "c": g["c"], "side": g["side"]})
+        return named(g, np.zeros(len(g), int))
 
-    still = met.repartition(parts, "e", "i", "j").sortWithinPartitions("e", "i", "j").mapInPandas(by_cell(("e", "i", "j"), remain), "g long, x long, c long, side int")
+    still = met.repartition(parts, "e", "i", "j").sortWithinPartitions("e", "i", "j").mapInPandas(by_cell(("e", "i", "j"), remain, remain_small), "g long, x long, c long, side int")
     still = cut(still.distinct())
     points_left = still.select("x").distinct()
     more = fetch(points_left.join(sets, "x", "left_anti"), True)
