@@ -1,6 +1,6 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-A schedule of ``SLOTS`` slots: slot t gets the golden-ratio point frac(t * phi), mapped through the cumulative
+A schedule of ``SLOTS`` slots (fewer if the mix has fewer words): slot t gets the golden-ratio point frac(t * phi), mapped through the cumulative
 targets to a source; the slots of a source are ranked in order of t. Each source's documents, shuffled by a hash,
 are one stream of tokens cut into equal blocks; the slot of rank r takes block r, and after the last block begins
 again. Slots and blocks meet in an equi-join on (source, block).
@@ -69,7 +69,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
             x = b["id"].to_numpy() * PHI
             yield pd.DataFrame({"t": b["id"], "i": np.minimum(np.searchsorted(edges, x - np.floor(x), side="right"), len(edges) - 1).astype("int32")})
 
-    slots = spark.range(1, SLOTS + 1).mapInPandas(assign, "t long, i int") if sum(want) else spark.createDataFrame([], "t long, i int")
+    slots = spark.range(1, round(sum(want) / block) + 1).mapInPandas(assign, "t long, i int") if sum(want) else spark.createDataFrame([], "t long, i int")
     slots = slots.withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy("t")) - 1).join(F.broadcast(facts.select("i", "n_blocks", "source_size", "target")), "i")
     # the last slot of a source ends at its target; none goes beyond EPOCHS rounds of the stream
     uses = slots.where(F.col("k") < EPOCHS * F.col("n_blocks")).groupBy("i", (F.col("k") % F.col("n_blocks")).alias("block")).agg(F.count("*").alias("times"))
