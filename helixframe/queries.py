@@ -420,3 +420,93 @@ def euler_count(spark, sf):
         return pd.DataFrame({"read_id": [pdf["read_id"].iloc[0]], "n_euler_lp": [round(kernels.euler_count(edges), 6)]})
 
     return e.groupBy("read_id").applyInPandas(solve, "read_id long, n_euler_lp double")
+
+
+def _rings(spark, sf) -> DataFrame:
+    """(read_id, kmer, n): each reference's own circle of 3-mers."""
+    r = reads(spark, sf, "benchmark", "item_id").where("length(seq) >= 3")
+    return r.select("read_id", F.explode(K.circular_kmers("seq", 3)).alias("kmer")).groupBy("read_id", "kmer").agg(F.count("*").alias("n"))
+
+
+def _edges(pdf) -> list[tuple]:
+    return [(i, k[:-1], k[1:]) for i, k in enumerate(sorted(pdf["kmer"]))]
+
+
+@query()
+def euler_circuit(spark, sf):
+    """One Euler circuit of each circle, as the sequence it spells."""
+    import pandas as pd
+
+    def solve(pdf):
+        n = dict(zip(pdf["kmer"], pdf["n"], strict=True))
+        multi = [((k, j), k[:-1], k[1:]) for k in sorted(n) for j in range(n[k])]
+        walk = kernels.euler_circuit(multi, multi[0][1])
+        return pd.DataFrame({"read_id": [pdf["read_id"].iloc[0]], "length": [len(walk)], "circle": ["".join(k[-1] for k, _ in walk)]})
+
+    return _rings(spark, sf).groupBy("read_id").applyInPandas(solve, "read_id long, length long, circle string")
+
+
+@query()
+def yen_paths(spark, sf):
+    """The four cheapest simple paths between the first two nodes of each circle, dear where a k-mer is rare."""
+    import pandas as pd
+
+    def solve(pdf):
+        e, n = _edges(pdf), dict(zip(pdf["kmer"], pdf["n"], strict=True))
+        names = sorted(n)
+        nodes = sorted({x for _, s, t in e for x in (s, t)})
+        got = kernels.k_shortest_simple_paths(e, nodes[0], nodes[-1], 4, lambda x: 12 // n[names[x[0]]] + 1) if len(nodes) > 1 else []
+        return pd.DataFrame([(pdf["read_id"].iloc[0], i, ",".join(names[x] for x in p)) for i, p in enumerate(got)], columns=["read_id", "rank", "path"])
+
+    return _rings(spark, sf).groupBy("read_id").applyInPandas(solve, "read_id long, rank long, path string")
+
+
+@query()
+def min_flow_copy_nums(spark, sf):
+    """Copy numbers of least squared error for half of each circle's counts."""
+    import pandas as pd
+
+    def solve(pdf):
+        e, n = _edges(pdf), dict(zip(pdf["kmer"], pdf["n"], strict=True))
+        names = sorted(n)
+        flow = kernels.min_cost_circulation(e, [0] * len(e), [kernels.CAPACITY] * len(e), [lambda c, f=n[k] / 2: kernels.cost_v1([f], c) for k in names])
+        return pd.DataFrame({"read_id": pdf["read_id"].iloc[0], "kmer": names, "copy_num": flow})
+
+    return _rings(spark, sf).groupBy("read_id").applyInPandas(solve, "read_id long, kmer string, copy_num long")
+
+
+@query()
+def residual_moves(spark, sf):
+    """Short moves from each circle's own counts: changes of two to four k-mers that keep a circulation."""
+    import pandas as pd
+
+    def solve(pdf):
+        e, n = _edges(pdf), dict(zip(pdf["kmer"], pdf["n"], strict=True))
+        flow = {i: int(n[k]) for i, k in enumerate(sorted(n))}
+        got = kernels.short_moves(e, flow, size=4, most_flips=2)
+        return pd.DataFrame([(pdf["read_id"].iloc[0], kernels.cycle_text(c)) for c in got], columns=["read_id", "move"])
+
+    return _rings(spark, sf).groupBy("read_id").applyInPandas(solve, "read_id long, move string")
+
+
+@query()
+def simulated_reads(spark, sf):
+    """Reads drawn from a diploid of two substitutions, with their CIGAR strings."""
+    from helixframe.operators import simulate
+
+    r = simulate.sample_reads(spark, simulate.simple_diploid(), 20, simulate.ReadProfile(50, "states"), hmm.Params.default(), 7)
+    return simulate.justify_strand(r).select("read_id", "seq", S.cigar("origins").alias("cigar"))
+
+
+@query()
+def posterior_search(spark, sf):
+    """Marginal copy numbers of the edges of a small repeat, searched from a wrong start."""
+    from helixframe.operators.assembly import Assembly
+    from helixframe.plans import posterior as Q
+
+    seq = "TCCCAGCAGCAGCAGGAA"
+    g = Assembly.from_kmers(K.from_styled(spark.createDataFrame([(0, "L", seq)], "hap_id long, style string, seq string"), 4), 4)
+    wrong = next(c for c in (kernels.apply_cycle(g.get_copy_nums(), list(u.cycle)) for u in Q.moves(g, "S")) if min(c.values()) >= 0)
+    r = spark.createDataFrame([(i, seq) for i in range(4)], "read_id long, seq string")
+    _, post = Q.sample_posterior(g.set_copy_nums(wrong), Q.Problem(r, hmm.Params.uniform(0.001), len(seq), 1), max_iter=3)
+    return Q.marginals(post.frame(spark)).select("edge", "x", F.round(F.exp("x_lp"), 6).alias("p"))
