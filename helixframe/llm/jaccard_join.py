@@ -303,20 +303,29 @@ def by_cell(keys: tuple[str, ...], solve, solve_small=None):
     return run
 
 
-def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
+def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id", unique_ids: bool | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row: classes of texts linked by Jaccard similarity >= num / den of
     their sets of k-word shingles, over chains of links; component_id is the smallest id of the class.
 
     Words: white-space separated, A-Z lower-cased. A text with fewer than k words is one shingle; null texts and texts
-    without words have an empty set and are linked with nothing. Rows with the same id count as one document: each row
-    gets a result of its own, and a class that one of them is in. Ids are integers; rows without one get none. An
-    empty table gives no rows. Links are exact: a pair is compared by its whole sets (64-bit hashes of shingles).
+    without words have an empty set and are linked with nothing. Rows with the same id and different texts are
+    documents of their own that share a name. Ids are integers; rows without one are left out if ids repeat so, and get
+    no class otherwise. An empty table gives no rows. Links are exact: a pair is compared by its whole sets (64-bit hashes of shingles).
     """
     spark = docs.sparkSession
     prepare(spark)
     d = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     signed = cut(sets_of(d, k))
     full = signed.where("n > 0 and doc_id is not null")
+    if unique_ids is None:
+        unique_ids = full.groupBy("doc_id").agg(F.min(F.struct("s1", "s2", "n")).alias("lo"), F.max(F.struct("s1", "s2", "n")).alias("hi")).where("lo <> hi").isEmpty()
+    if not unique_ids:
+        # one id with different texts: the join runs on ids of (id, text), and the smallest id names each class
+        own = d.where("doc_id is not null").withColumn("own", F.xxhash64("doc_id", "text"))
+        got = cut(join(own.select(F.col("own").alias("doc_id"), "text"), k, num, den, unique_ids=True).distinct())
+        named = own.select("doc_id", "own").join(got.withColumnRenamed("doc_id", "own"), "own")
+        least = named.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+        return named.join(least, "component_id").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
     # equal sets are one point, named by its smallest id; map-side minima keep a hot group small
     points = full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("x"))
     names = full.select("doc_id", "s1", "s2", "n").join(points, ["s1", "s2", "n"]).select("doc_id", "x").distinct()

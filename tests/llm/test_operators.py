@@ -241,6 +241,14 @@ def test_jaccard_join(docs, monkeypatch, k, num, cell, small):
     assert got == brute([(r["doc_id"], r["text"]) for r in docs.collect()], k, num, 100)
 
 
+def test_jaccard_join_with_repeated_ids(spark):
+    a, b, c = "one two three four five six seven", "eight nine ten eleven twelve", "so many other words here now"
+    d = spark.createDataFrame([(5, a), (5, b), (7, a), (9, b), (9, b), (11, c), (3, None)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(d, 3, 90, 100).collect())
+    assert got == [(3, 0, 3), (5, 3, 5), (5, 5, 5), (7, 5, 5), (9, 3, 5), (9, 3, 5), (11, 4, 11)]
+    assert jaccard_join.join(d.where("false"), 3, 90, 100).count() == 0
+
+
 def test_components(spark):
     e = [(i, i + 1) for i in range(0, 30)] + [(100, 101), (101, 102), (102, 100), (50, 50)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(e, "a long, b long")).collect()}
