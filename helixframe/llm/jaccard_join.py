@@ -32,6 +32,8 @@ SKETCH_BITS, SKETCH_PARTS = 22, 64
 SLICES = 128
 CELL = 2048
 CENTRES = 16
+#: Ids of points whose sets are wanted are broadcast up to this number (16 bytes each).
+BROADCAST_ROWS = 1_000_000
 #: Cells of at most this many points are compared many at a time.
 SMALL = 32
 
@@ -109,25 +111,27 @@ def sketch_of(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def regions_of(docs: DataFrame, sketch: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """(e, x, n, s1, s2): the regions of each document, by its first shingles in the global order."""
+    """(e, s1, n): the regions of each set, by its first shingles in the global order; s1 is half of the set's
+    signature, so copies give equal rows."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def deal(batches):
         order = shared.value
         for b in batches:
             e, x, n = [], [], []
-            for doc, s in zip(b.column(0).to_pylist(), of_batch(b.column(1), k), strict=True):
+            for s in of_batch(b.column(0), k):
                 if len(s):
                     p = len(s) - -(-num * len(s) // den) + 1
                     rank = order[(s >> U(64 - SKETCH_BITS)).astype(np.int64)].astype(U) << U(56) | mix(s) >> U(8)
                     first = s[np.argpartition(rank, p - 1)[:p]] if p < len(s) else s
                     e.append(first.view(np.int64))
-                    x.append(np.full(len(first), doc, np.int64))
+                    with np.errstate(over="ignore"):
+                        x.append(np.full(len(first), mix(s + U(11)).sum(dtype=U).view(np.int64), np.int64))
                     n.append(np.full(len(first), len(s), np.int32))
             cat = lambda v, t: np.concatenate(v) if v else np.zeros(0, t)
-            yield pa.RecordBatch.from_arrays([pa.array(cat(e, np.int64)), pa.array(cat(x, np.int64)), pa.array(cat(n, np.int32))], names=["e", "x", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(cat(e, np.int64)), pa.array(cat(x, np.int64)), pa.array(cat(n, np.int32))], names=["e", "s1", "n"])
 
-    return docs.mapInArrow(deal, "e long, x long, n int")
+    return docs.select("text").mapInArrow(deal, "e long, s1 long, n int")
 
 
 def vectors_of(docs: DataFrame, k: int, full: bool) -> DataFrame:
@@ -333,14 +337,15 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str =
     same = cut(names.where("doc_id <> x").select(F.col("doc_id").alias("a"), F.col("x").alias("b")))
     known = d.where("doc_id is not null and text is not null")
     sketch = sketch_of(known, k)
-    first = names.where("doc_id = x").select(F.col("x")).distinct()
-    r = regions_of(known, sketch, k, num, den).join(first, "x", "left_semi").groupBy("e", "x").agg(F.max("n").alias("n"))
-    # only points that have another of fitting size in their region go on
+    # one shuffle by region serves the removal of copies, the windows and the sizes of regions. Only points that have
+    # another of fitting size in their region go on
     w = Window.partitionBy("e").orderBy("n")
-    r = r.withColumn("fits", F.coalesce(F.lag("n").over(w) * den >= F.col("n") * num, F.lit(False)) | F.coalesce(F.col("n") * den >= F.lead("n").over(w) * num, F.lit(False))).where("fits").select("e", "x", "n")
-    r = cut(r)
-    some = r.select("x").distinct()
-    vec = cut(vectors_of(known.join(some, known["doc_id"] == some["x"], "left_semi"), k, False).dropDuplicates(["x"]))
+    r = regions_of(known, sketch, k, num, den).repartition("e").groupBy("e", "s1", "n").agg(F.count("*").alias("_"))
+    fits = F.coalesce(F.lag("n").over(w) * den >= F.col("n") * num, F.lit(False)) | F.coalesce(F.col("n") * den >= F.lead("n").over(w) * num, F.lit(False))
+    r = r.withColumn("fits", fits).where("fits").select("e", "s1", "n")
+    # two sets of one s1 and n would both take the place: more to compare, nothing lost
+    r = cut(r.join(points.select("s1", F.col("n").cast("int").alias("n"), "x"), ["s1", "n"]).select("e", "x", "n"))
+    vec = cut(vectors_of(known, k, False).join(r.select("x").distinct(), "x", "left_semi").dropDuplicates(["x"]))
     size = r.groupBy("e").agg(F.count("*").alias("m")).where("m > 1").withColumn("cells", F.ceil(F.col("m") / CELL).cast("int"))
     r = cut(r.join(size.select("e", "cells"), "e").withColumn("cell", F.pmod(F.xxhash64("x"), F.col("cells")).cast("int")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -378,8 +383,11 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str =
         keep = np.unique(np.concatenate([i, j]))
         return named(t.iloc[keep], gid[keep]) if len(keep) else None
 
-    def fetch(points: DataFrame, full: bool) -> DataFrame:
-        return vectors_of(known.join(points, known["doc_id"] == points["x"], "left_semi"), k, full).dropDuplicates(["x"])
+    def fetch(wanted: DataFrame) -> DataFrame:
+        """Whole sets of some points. Few ids go to the texts; more than BROADCAST_ROWS meet them in a shuffle."""
+        wanted = cut(wanted)
+        few = wanted.count() <= BROADCAST_ROWS
+        return vectors_of(known.join(F.broadcast(wanted) if few else wanted, known["doc_id"] == wanted["x"], "left_semi"), k, True).dropDuplicates(["x"])
 
     # first round: a spanning forest of the candidates of each cell; the centres of a large region, about CENTRES for
     # each of its cells, are in all of its cells
@@ -388,7 +396,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str =
     cells = cells.select("e", "i", "x", "n", F.col("x").alias("c"), F.lit(0).alias("side"), "v")
     pairs = cells.repartition(parts, "e", "i").sortWithinPartitions("e", "i").mapInPandas(by_cell(("e", "i"), lambda g: pairs_of(proposed(g, num, den)), propose_small), "a long, b long")
     pairs = cut(pairs.distinct())
-    sets = cut(fetch(pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))).distinct(), True))
+    sets = cut(fetch(pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))).distinct()))
 
     def compare(batches):
         for b in batches:
@@ -421,7 +429,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str =
     still = met.repartition(parts, "e", "i", "j").sortWithinPartitions("e", "i", "j").mapInPandas(by_cell(("e", "i", "j"), remain, remain_small), "g long, x long, c long, side int")
     still = cut(still.distinct())
     points_left = still.select("x").distinct()
-    more = fetch(points_left.join(sets, "x", "left_anti"), True)
+    more = fetch(points_left.join(sets, "x", "left_anti"))
     whole = sets.join(points_left, "x", "left_semi").unionByName(more)
     found = still.join(whole, "x").repartition(parts, "g").sortWithinPartitions("g").mapInPandas(by_cell(("g",), lambda g: pairs_of(exact(g, num, den))), "a long, b long")
     links = links.unionByName(cut(found.distinct()))
