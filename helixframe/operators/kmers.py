@@ -15,9 +15,10 @@ from helixframe.plans.durable import cut
 
 
 def _windows(s: Column, k: int) -> Column:
-    """All k-letter windows of a string; empty if it is shorter (sequence(1, 0) would count down)."""
-    n = F.length(s) - k + 1
-    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """All k-letter windows of a string; empty if it is shorter (sequence(1, 0) would count down). Sequences are ASCII: a
+    slice of bytes is found at once, where a slice of characters counts them from the start of the read."""
+    n, b = F.octet_length(s) - k + 1, s.cast("binary")
+    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(b, i, F.lit(k)).cast("string"))).otherwise(F.array().cast("array<string>"))
 
 
 def fragment_kmers(seq, k: int) -> Column:
@@ -35,7 +36,8 @@ def circular_kmers(seq, k: int) -> Column:
     """Exactly as many k-mers as the circle has bases."""
     s = S._c(seq)
     turns = F.repeat(s, F.ceil(F.lit(k) / F.greatest(F.length(s), F.lit(1))).cast("int") + 1)
-    return F.when(F.length(s) > 0, _windows(F.substr(turns, F.lit(1), F.length(s) + k - 1), k)).otherwise(F.array().cast("array<string>"))
+    ring = F.when(F.length(s) >= k, F.concat(s, F.left(s, F.lit(k - 1)))).otherwise(F.substr(turns, F.lit(1), F.length(s) + k - 1))
+    return F.when(F.length(s) > 0, _windows(ring, k)).otherwise(F.array().cast("array<string>"))
 
 
 def styled_kmers(seq, style, k: int) -> Column:
