@@ -1,9 +1,11 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 A schedule of ``SLOTS`` slots (fewer if the mix has fewer words): slot t gets the golden-ratio point frac(t * phi), mapped through the cumulative
-targets to a source; the slots of a source are ranked in order of t. Each source's documents, shuffled by a hash,
-are one stream of tokens cut into equal blocks; the slot of rank r takes block r, and after the last block begins
-again. Slots and blocks meet in an equi-join on (source, block).
+targets to a source; the slots of a source are ranked in order of t. A source that no point hits has one slot behind
+the others. Each source's documents, shuffled by a hash, are one stream of tokens that begins again after its end; a
+source's own target is cut into as many equal blocks as it has slots, the slot of rank r takes block r, and the last
+block ends at the target. So a source takes its target, rounded to words, whatever the size of the whole mix. Slots
+and blocks meet in an equi-join on (source, block).
 """
 
 import numpy as np
@@ -18,7 +20,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 #: No document is used more often than this.
 EPOCHS = 2
-#: Slots of a schedule; a source's taken words differ from its target by about one slot, 1/SLOTS of the mix.
+#: Slots of a schedule: how finely the sources alternate, not how much of a source is taken.
 SLOTS = 1 << 17
 #: The driver computes the targets; more sources than this are refused.
 MAX_SOURCES = 100_000
@@ -58,9 +60,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
         raise ValueError(f"more than {MAX_SOURCES} sources")
     per = sorted(((x["s"], x["z"]) for x in per), key=lambda x: (x[0] is None, x[0] or ""))
     want = targets([z for _, z in per]) if sum(z for _, z in per) else [0.0] * len(per)
-    block = max(1.0, sum(want) / SLOTS)
-    n_blocks = [max(1, int(np.ceil(z / block))) for _, z in per]
-    facts = spark.createDataFrame([(i, s, int(z), float(t), n) for i, ((s, z), t, n) in enumerate(zip(per, want, n_blocks, strict=True))], "i int, s string, source_size long, target double, n_blocks long")
+    facts = spark.createDataFrame([(i, s, int(z), float(t)) for i, ((s, z), t) in enumerate(zip(per, want, strict=True))], "i int, s string, source_size long, target double")
     # slots: source of each by its golden-ratio point, ranked within the source
     edges = np.cumsum(want) / max(sum(want), 1e-300)
 
@@ -69,22 +69,28 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
             x = b["id"].to_numpy() * PHI
             yield pd.DataFrame({"t": b["id"], "i": np.minimum(np.searchsorted(edges, x - np.floor(x), side="right"), len(edges) - 1).astype("int32")})
 
-    slots = spark.range(1, round(sum(want) / block) + 1).mapInPandas(assign, "t long, i int") if sum(want) else spark.createDataFrame([], "t long, i int")
-    slots = slots.withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy("t")) - 1).join(F.broadcast(facts.select("i", "n_blocks", "source_size", "target")), "i")
-    # the last slot of a source ends at its target; none goes beyond EPOCHS rounds of the stream
-    uses = slots.where(F.col("k") < EPOCHS * F.col("n_blocks")).groupBy("i", (F.col("k") % F.col("n_blocks")).alias("block")).agg(F.count("*").alias("times"))
+    slots = spark.range(1, min(SLOTS, round(sum(want))) + 1).mapInPandas(assign, "t long, i int") if sum(want) else spark.createDataFrame([], "t long, i int")
+    # a source that no point hits has one slot of its own
+    missed = facts.where("target > 0").select("i").join(slots.select("i").distinct(), "i", "left_anti")
+    slots = slots.unionByName(missed.select(F.lit(SLOTS + 1).cast("long").alias("t"), "i"))
+    slots = cut(slots.select("i", (F.row_number().over(Window.partitionBy("i").orderBy("t")) - 1).cast("long").alias("block")))
+    facts = facts.join(F.broadcast(slots.groupBy("i").agg(F.count("*").alias("n"))), "i", "left")
     # each document's place in its source's stream: sums of hash buckets, then sums within a bucket
-    rows = rows.join(F.broadcast(facts), rows["s"].eqNullSafe(facts["s"])).select("r", "i", "z", "h", "x", "u", "source_size", "target", F.shiftrightunsigned("h", 64 - 8 - _bits(rows)).alias("b"))
+    rows = rows.join(F.broadcast(facts), rows["s"].eqNullSafe(facts["s"])).select("r", "i", "z", "h", "x", "u", "source_size", "target", "n", F.shiftrightunsigned("h", 64 - 8 - _bits(rows)).alias("b"))
     sums = rows.groupBy("i", "b").agg(F.sum("z").alias("bz"))
     sums = sums.withColumn("base", F.coalesce(F.sum("bz").over(Window.partitionBy("i").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     w = Window.partitionBy("i", "b").orderBy("h", "x", "u").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("a", F.coalesce(F.sum("z").over(w), F.lit(0))).join(sums.select("i", "b", "base"), ["i", "b"]).withColumn("a", F.col("a") + F.col("base"))
-    edge = lambda k: F.round(k * F.lit(block)).cast("long")
-    first, last = F.floor(F.col("a") / block) - 1, F.floor((F.col("a") + F.col("z")) / block) + 1
-    parts = rows.where("z > 0").select("i", "u", "a", "z", "source_size", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)).alias("block"))
-    lo, hi = F.greatest(F.col("a"), edge(F.col("block"))), F.least(F.col("a") + F.col("z"), edge(F.col("block") + 1), F.col("source_size"))
+    # a document's words in each round of the stream, against the blocks between 0 and the source's target
+    turns = rows.where("z > 0").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1)))).withColumn("a", F.col("a") + F.col("turn") * F.col("source_size")).where(F.col("a") < F.round("target"))
+    block_of = lambda p: F.floor(p * F.col("n") / F.col("target"))
+    edge = lambda k: F.round(k * F.col("target") / F.col("n")).cast("long")
+    last = F.col("n") - 1
+    first, end = F.least(F.greatest(block_of(F.col("a")) - 1, F.lit(0)), last), F.least(block_of(F.col("a") + F.col("z")) + 1, last)
+    parts = turns.select("i", "u", "a", "z", "target", "n", F.explode(F.sequence(first, end)).alias("block"))
+    lo, hi = F.greatest(F.col("a"), edge(F.col("block"))), F.least(F.col("a") + F.col("z"), edge(F.col("block") + 1))
     parts = parts.withColumn("part", hi - lo).where("part > 0")
-    used = parts.join(uses, ["i", "block"]).groupBy("u").agg(F.sum(F.col("part") * F.col("times")).alias("taken"))
+    used = parts.join(slots, ["i", "block"]).groupBy("u").agg(F.sum("part").alias("taken"))
     out = rows.join(used, "u", "left").select("r", F.col("z").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return out.select("r.*", "size", "source_size", "target", "taken")
 

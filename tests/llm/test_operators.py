@@ -124,6 +124,18 @@ def test_mixing(docs):
     assert collect(mixing.mix(docs.where("false").select("doc_id", "text", "source"))) == []
 
 
+def test_mixing_takes_each_target(spark):
+    sizes = {"huge": [30_000_000, 20_000_000, 25_000_000], "none": [0], "one": [1], "s300": [100] * 3, "s2000": [700, 700, 600], "s20000": [50] * 400, None: [7] * 11}
+    rows = [(i, s, z) for i, (s, z) in enumerate((s, z) for s, zs in sizes.items() for z in zs)]
+    d = spark.createDataFrame([(i, "", s, z) for i, s, z in rows], "doc_id long, text string, source string, z long")
+    got = mixing.mix(d, size=F.col("z")).collect()
+    assert len(got) == len(rows) and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    for s, zs in sizes.items():
+        mine = [r for r in got if r["source"] == s]
+        assert mine[0]["source_size"] == sum(zs)
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 0.5
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 16)).astype(np.float32)
