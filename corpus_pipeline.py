@@ -13,8 +13,6 @@ from helixframe.llm import jaccard_join, languages, mixing, quality, sentence_pi
 from helixframe.llm.common import cut, only, prepare, read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A text less like every language than this is in none of them.
-LANGUAGE_SCORE = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +25,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: those without a letter, or unlike all languages, go."""
+    """Documents in a language: those without a letter go. The score decides nothing, as it grows with the length of
+    the text: clean texts of a few words are below 0.3. Every text with a letter has a nearest language."""
     docs = only(docs, *COLUMNS)
     prototypes = languages.learn(docs.where(~F.coalesce(languages.held_out(5, 0), F.lit(False))))
-    kept = languages.predict(docs, prototypes).where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SCORE))
+    kept = languages.predict(docs, prototypes).where(F.col("lang_pred") != "und")
     return kept.select(*COLUMNS)
 
 

@@ -46,3 +46,12 @@ def test_stages(spark, sf):
     assert Counter(r["doc_id"] for r in last) == times and all(r["round_trip"] for r in last)
     whole = corpus_pipeline.run(spark, path).collect()
     assert Counter(r["doc_id"] for r in whole) == times
+
+
+def test_language_keeps_short_clean_texts(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 8))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(200)] + [" ".join(rng.choice(words) for _ in range(n)) for n in range(1, 13) for _ in range(5)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(1000, "123 !!", "en", "s", 6), (1001, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs, "").collect()) == list(range(len(texts)))
