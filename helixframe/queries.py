@@ -403,7 +403,7 @@ def hmm_forward_score(spark, sf):
 @query()
 def hmm_mapping(spark, sf):
     model = hmm.linear_model("ACGTTGCA" * 6, hmm.Params.mid_error())
-    r = reads(spark, sf, "benchmark", "item_id").select("read_id", F.left("seq", F.lit(48)).alias("seq")).where("seq <> ''")
+    r = reads(spark, sf, "benchmark", "item_id").where("seq <> ''")
     return hmm.mapping_freqs(hmm.generate_mappings(r, model)).select("node", F.round("freq", 5).alias("freq"))
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from helixframe import queries
 from helixframe.functions import sequence as S
 from helixframe.operators import compare, hmm, simulate
 from helixframe.operators import kmers as K
@@ -106,6 +107,27 @@ def test_mappings(spark):
     assert hmm.total_score(hmm.score_reads(reads, h)) < -15
 
 
+@pytest.fixture(scope="module")
+def long_texts(spark, tmp_path_factory):
+    """Tables of texts below and above the length of the models, with other letters, empty and null."""
+    path = tmp_path_factory.mktemp("long")
+    texts = ["ACGTTGCA" * 20, "ACGT" * 40 + "xyz" + "TTGCA" * 13, "acgt", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    return str(path), ["".join(c for c in (t or "").upper() if c in "ACGT") for t in texts]
+
+
+def test_mapping_of_whole_reads(spark, long_texts):
+    path, seqs = long_texts
+    h, want = hmm.linear_model("ACGTTGCA" * 6, hmm.Params.mid_error()), {}
+    for x in filter(None, seqs):
+        for nodes, lps in hmm.map_read(h, x):
+            for v, lp in zip(nodes, lps, strict=True):
+                want[int(v)] = want.get(int(v), 0.0) + math.exp(lp)
+    got = {r["node"]: r["freq"] for r in queries.hmm_mapping(spark, path).collect()}
+    assert got == pytest.approx(want, abs=1e-5) and sum(got.values()) > 0.9 * sum(map(len, seqs))
+
+
 def test_comparison(spark):
     sam = spark.createDataFrame([("q", 0, "t", 10, "2S5M2D3M", "NNACGTACGT")], "name string, flag int, target string, pos long, cigar string, seq string")
     assert compare.lift(sam, "t", 12).first()["q_pos"] == 4
