@@ -394,10 +394,10 @@ def poisson_binomial_kmer_loss(spark, sf):
 
 @query()
 def hmm_forward_score(spark, sf):
-    """Reads, in fragments of 64 bases, scored against a model of the first reference."""
+    """Whole reads scored against a model of ACGT, 16 times over."""
     model = hmm.linear_model("ACGT" * 16, hmm.Params.mid_error())
-    r = reads(spark, sf).select("read_id", F.explode(F.expr("transform(sequence(0, greatest(length(seq) - 1, 0) div 64), i -> substr(seq, cast(i * 64 + 1 as int), 64))")).alias("seq"))
-    return hmm.score_reads(r.where("seq <> ''"), model, how="dense").groupBy("read_id").agg(F.round(F.sum("lp"), 6).alias("lp"))
+    r = reads(spark, sf).where("seq <> ''")
+    return hmm.score_reads(r, model, how="dense").select("read_id", F.round("lp", 6).alias("lp"))
 
 
 @query()

@@ -128,6 +128,13 @@ def test_mapping_of_whole_reads(spark, long_texts):
     assert got == pytest.approx(want, abs=1e-5) and sum(got.values()) > 0.9 * sum(map(len, seqs))
 
 
+def test_forward_score_of_whole_reads(spark, long_texts):
+    path, seqs = long_texts
+    h = hmm.linear_model("ACGT" * 16, hmm.Params.mid_error())
+    got = {r["read_id"]: r["lp"] for r in queries.hmm_forward_score(spark, path).collect()}
+    assert got == pytest.approx({i: hmm.full_prob(hmm.forward(h, x)) for i, x in enumerate(seqs) if x}, abs=1e-5)
+
+
 def test_comparison(spark):
     sam = spark.createDataFrame([("q", 0, "t", 10, "2S5M2D3M", "NNACGTACGT")], "name string, flag int, target string, pos long, cigar string, seq string")
     assert compare.lift(sam, "t", 12).first()["q_pos"] == 4
