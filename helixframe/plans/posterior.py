@@ -8,8 +8,9 @@ import json
 import math
 import re
 import time
+from collections import Counter
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -179,9 +180,12 @@ class Problem:
     sigma: int
     mappings: DataFrame | None = None
 
+    def likelihoods(self, g: Assembly, candidates: list[dict[int, int]]) -> list[float]:
+        return likelihoods(g, self.reads, self.mappings, self.params, candidates)
+
     def scores(self, g: Assembly, candidates: list[dict[int, int]]) -> list[Score]:
         t0 = time.perf_counter()
-        lik = likelihoods(g, self.reads, self.mappings, self.params, candidates)
+        lik = self.likelihoods(g, candidates)
         ms = int((time.perf_counter() - t0) * 1000)
         real = {e: sum(b != "n" for b in s) for e, s in g.facts("seqs").items()}
         out = []
@@ -191,6 +195,63 @@ class Problem:
         return out
 
 
+@dataclass
+class TextGraph:
+    """The graph of one linear text, with what the search asks of an Assembly, inside a task. Edges are numbered in the
+    order of their first k-mers."""
+
+    k: int
+    nodes: list[tuple[str, int]]  # full edges: k-mer, copies
+    owner: np.ndarray  # compact edge of each full edge
+    known: dict
+
+    @classmethod
+    def of(cls, seq: str, k: int) -> "TextGraph":
+        padded, end = "n" * (k - 1) + seq + "n" * (k - 1), "n" * (k - 1)
+        n = Counter(padded[i : i + k] for i in range(len(padded) - k + 1))
+        outs, ins = Counter(x[:-1] for x in n), Counter(x[1:] for x in n)
+        inner = {v for v in outs if v != end and outs[v] == ins[v] == 1}
+        after = {x[:-1]: x for x in n}  # the one k-mer out of an inner node
+        nodes, edges, owner = sorted(n), [], {}
+        for first in (x for x in nodes if x[:-1] not in inner):
+            path = [first]
+            while path[-1][1:] in inner:
+                path.append(after[path[-1][1:]])
+            owner |= dict.fromkeys(path, len(edges))
+            edges.append(path)
+        ids = {v: i for i, v in enumerate(sorted(set(outs) | set(ins)))}
+        known = {"edges": [(e, ids[p[0][:-1]], ids[p[-1][1:]]) for e, p in enumerate(edges)], "bases": {e: len(p) for e, p in enumerate(edges)}, "seqs": {e: "".join(x[-1] for x in p) for e, p in enumerate(edges)}, "copies": {e: n[p[0]] for e, p in enumerate(edges)}, "terminal": ids[end]}
+        return cls(k, [(x, n[x]) for x in nodes], np.array([owner[x] for x in nodes]), known)
+
+    def local(self) -> list[tuple[int, int, int]]:
+        return self.known["edges"]
+
+    def facts(self, name: str):
+        return self.known[name]
+
+    def set_copy_nums(self, copy_nums: dict[int, int]) -> "TextGraph":
+        return TextGraph(self.k, self.nodes, self.owner, {**self.known, "copies": dict(copy_nums)})
+
+    def n_euler_circuits(self, copies: dict[int, int] | None = None) -> float:
+        c = copies or self.facts("copies")
+        return kernels.euler_count([(s, t, c[e]) for e, s, t in self.local()])
+
+    def model(self, params: hmm.Params, copies: dict[int, int] | None = None) -> hmm.Model:
+        c = copies or self.facts("copies")
+        names, end = [x for x, _ in self.nodes], "n" * (self.k - 1)
+        pairs = [(i, j) for i, x in enumerate(names) for j, y in enumerate(names) if x[1:] == y[:-1] != end]
+        return hmm.graph_model([x[-1] for x in names], [i for i, _ in pairs], [j for _, j in pairs], [c[int(e)] for e in self.owner], replace(params, n_warmup=self.k))
+
+
+@dataclass
+class TextProblem(Problem):
+    """Reads are (sequence, times), scored inside the task."""
+
+    def likelihoods(self, g: TextGraph, candidates: list[dict[int, int]]) -> list[float]:
+        seqs, times = [x for x, _ in self.reads], np.array([n for _, n in self.reads])
+        return [float((hmm.forward_scores(g.model(self.params, copies=c), seqs) * times).sum()) for c in candidates]
+
+
 def moves(g: Assembly, kind: str, freqs: dict[int, float] | None = None, size: int = 10, flips: int = 2) -> list[Update]:
     """Candidate moves of one kind from the graph's copy numbers."""
     edges, flow, bases, t = g.local(), g.facts("copies"), g.facts("bases"), g.facts("terminal")

@@ -500,13 +500,22 @@ def simulated_reads(spark, sf):
 
 @query()
 def posterior_search(spark, sf):
-    """Marginal copy numbers of the edges of a small repeat, searched from a wrong start."""
-    from helixframe.operators.assembly import Assembly
+    """Marginal copy numbers of the edges of each benchmark text's own graph of 4-mers, searched from a wrong start (the
+    first short move that leaves no negative copies; the text's own copies if there is none). The text is read four times."""
+    import pandas as pd
+
     from helixframe.plans import posterior as Q
 
-    seq = "TCCCAGCAGCAGCAGGAA"
-    g = Assembly.from_kmers(K.from_styled(spark.createDataFrame([(0, "L", seq)], "hap_id long, style string, seq string"), 4), 4)
-    wrong = next(c for c in (kernels.apply_cycle(g.get_copy_nums(), list(u.cycle)) for u in Q.moves(g, "S")) if min(c.values()) >= 0)
-    r = spark.createDataFrame([(i, seq) for i in range(4)], "read_id long, seq string")
-    _, post = Q.sample_posterior(g.set_copy_nums(wrong), Q.Problem(r, hmm.Params.uniform(0.001), len(seq), 1), max_iter=3)
-    return Q.marginals(post.frame(spark)).select("edge", "x", F.round(F.exp("x_lp"), 6).alias("p"))
+    def search(batches):
+        for t in batches:
+            for r, seq in zip(t["read_id"], t["seq"], strict=True):
+                g = Q.TextGraph.of(seq, 4)
+                starts = (kernels.apply_cycle(g.facts("copies"), list(u.cycle)) for u in Q.moves(g, "S"))
+                wrong = next((c for c in starts if min(c.values()) >= 0), g.facts("copies"))
+                _, post = Q.sample_posterior(g.set_copy_nums(wrong), Q.TextProblem([(seq, 4)], hmm.Params.uniform(0.001), len(seq), 1))
+                rows = [(r, e, g.facts("seqs")[e], x, round(p, 6)) for e, _, _ in g.local() for x, p in post.edge_distribution(e).items()]
+                yield pd.DataFrame(rows, columns=["read_id", "edge", "seq", "x", "p"])
+
+    # texts are few and each is seconds of work: they are spread over all partitions, whatever the files
+    r = reads(spark, sf, "benchmark", "item_id").where("seq <> ''").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return r.mapInPandas(search, "read_id long, edge long, seq string, x long, p double")

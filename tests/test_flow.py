@@ -89,6 +89,28 @@ def test_posterior_is_highest_at_the_truth(spark):
     assert not formats.gfa_posterior_lines(g, post, true).isEmpty()
 
 
+def test_search_of_each_text(spark, tmp_path):
+    texts = ["TCCCAGCAGCAGCAGGAA", "acgtnacgxgtt", "CCATTTTCAGTTGCATTGCA", "AC", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {}
+    for r in queries.posterior_search(spark, str(tmp_path)).collect():
+        got.setdefault(r["read_id"], {}).setdefault((r["edge"], r["seq"]), {})[r["x"]] = r["p"]
+    assert sorted(got) == [0, 1, 2, 3]
+    for i, edges in got.items():
+        seq = "".join(c for c in texts[i].upper() if c in "ACGT")
+        g = Q.TextGraph.of(seq, 4)
+        assert sorted(edges) == sorted(g.facts("seqs").items())
+        assert all(sum(d.values()) == pytest.approx(1, abs=1e-4) for d in edges.values())
+        assert {e: max(d, key=d.get) for (e, _), d in edges.items()} == g.facts("copies")
+    # the graph and its score are those of the assembly of the same text
+    seq = texts[0]
+    a, b = Assembly.from_kmers(K.from_styled(spark.createDataFrame([(0, "L", seq)], "hap_id long, style string, seq string"), 4), 4), Q.TextGraph.of(seq, 4)
+    assert sorted((a.facts("seqs")[e], c) for e, c in a.facts("copies").items()) == sorted((b.facts("seqs")[e], c) for e, c in b.facts("copies").items())
+    reads = spark.createDataFrame([(i, seq) for i in range(4)], "read_id long, seq string")
+    x, y = Q.Problem(reads, hmm.Params.uniform(0.001), 18, 1).scores(a, [a.facts("copies")])[0], Q.TextProblem([(seq, 4)], hmm.Params.uniform(0.001), 18, 1).scores(b, [b.facts("copies")])[0]
+    assert x.p == pytest.approx(y.p) and x.genome_size == y.genome_size == 18
+
+
 def test_infos_text():
     u = [Q.Update("X", ((5, 1), (6, 1), (1, -1))), Q.Update("R", ((10, 1), (1, 1)), (0, 50, 111, "5.001", "Z")), Q.Update("S", ((5, -1),))]
     assert Q.infos_text(u) == "[X(e5+e6+e1-),R(e10+e1+|0|50|111|5.001|Z),S(e5-)]"
