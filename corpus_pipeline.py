@@ -15,6 +15,11 @@ from helixframe.llm.common import cut, only, prepare, read
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def with_row(docs: DataFrame) -> DataFrame:
+    """docs with ``row``, a key of each row, fixed by a checkpoint: ids may be null or repeated."""
+    return cut(only(docs, *COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; texts that are null or empty are rejected."""
     docs = only(docs, *COLUMNS)
@@ -34,19 +39,24 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each class of near duplicates (5 words, similarity 0.8)."""
-    docs = only(docs, *COLUMNS)
-    classes = jaccard_join.join(only(docs, "doc_id", "text"), k=5, num=80, den=100)
-    gone = cut(classes.where("doc_id <> component_id").select("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row, that of the smallest id (null ids last), of each class of near duplicates (5 words, similarity 0.8). Rows
+    of one id are documents of their own; of equal rows one stays."""
+    docs = with_row(docs)
+    classes = jaccard_join.join(only(docs, "row", "text"), k=5, num=80, den=100, key="row", unique_ids=True)
+    named = classes.select(F.col("doc_id").alias("row"), F.col("component_id").alias("c")).join(only(docs, "row", "doc_id"), "row")
+    named = cut(named)
+    kept = named.groupBy("c").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("kept")).where("n > 1")
+    gone = cut(named.join(kept, "c").where("row <> kept").select("row"))
+    return docs.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: words taken over words, rounded, 0 to 2 times."""
-    docs = only(docs, *COLUMNS)
-    mixed = mixing.mix(only(docs, "doc_id", "text", "source"))
-    times = cut(mixed.where("taken > 0").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0").groupBy("doc_id").agg(F.max("times").alias("times")))
-    return docs.join(times, "doc_id").withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    """Rows as often as the mix takes them: words taken over words, rounded, 0 to 2 times. Rows with null or repeated ids
+    are documents of their own."""
+    docs = with_row(docs)
+    mixed = mixing.mix(only(docs, "doc_id", "text", "source", "row"))
+    times = cut(mixed.where("taken > 0").select("row", F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0"))
+    return docs.join(times, "row").withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,17 @@ def test_language_keeps_short_clean_texts(spark):
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(1000, "123 !!", "en", "s", 6), (1001, None, "en", "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs, "").collect()) == list(range(len(texts)))
+
+
+def test_null_and_repeated_ids(spark):
+    a, b, c, d = "one two three four five six seven", "eight nine ten eleven twelve", "so many other words here now", "yet another text of some six words"
+    rows = [(5, a), (7, a), (7, c), (9, b), (9, b), (None, d), (None, a), (None, "quite different words in this one here")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "").cache()
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter([(5, a), (7, c), (9, b), rows[5], rows[7]])
+    one = docs.where("doc_id is null or doc_id = 9")
+    taken = Counter(r["times"] for r in corpus_pipeline.mixing_stage(spark, one, "").groupBy("text").agg(F.count("*").alias("times")).collect())
+    mixed = corpus_pipeline.mixing.mix(one.select("doc_id", "text", "source"))
+    want = mixed.select(F.round(F.col("taken") / F.col("size")).alias("t")).agg(F.sum("t")).first()[0]
+    assert sum(k * n for k, n in taken.items()) == want
+    assert corpus_pipeline.mixing_stage(spark, docs.where("doc_id is null"), "").count() > 0
