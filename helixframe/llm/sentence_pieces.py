@@ -186,21 +186,18 @@ class Transducer:
         return self.checked(text)[0]
 
     def checked(self, text: str) -> tuple[np.ndarray, bool]:
-        """Ids of a text, and whether they decode to its normal form. Decoding joins the pieces' bytes, so a text comes
-        back if each of its words does; a word is decoded when its path is found, and kept only if it came back."""
-        kept, out, ok = self.kept, [], True
-        for w in self.words.findall(self.normalise(text)):
+        """Ids of a text, and whether the finished ids decode to its normal form."""
+        kept, out, whole = self.kept, [], self.normalise(text)
+        for w in self.words.findall(whole):
             p = kept.get(w)
             if p is None:
                 p = self.path(w)
-                if b"".join(map(self.out.__getitem__, p)) == w.replace(SPACE, " ").encode():
-                    if len(kept) >= KEPT:
-                        kept.clear()
-                    kept[w] = p
-                else:
-                    ok = False
+                if len(kept) >= KEPT:
+                    kept.clear()
+                kept[w] = p
             out += p
-        return np.array(out, dtype=np.int32), ok
+        ids = np.array(out, dtype=np.int32)
+        return ids, b"".join(map(self.out.__getitem__, ids.tolist())) == whole.replace(SPACE, " ").encode()
 
     def decode(self, ids) -> str:
         """Text of ids. Each U+2581 of a text comes back as a blank; bytes that are no UTF-8 as U+FFFD."""

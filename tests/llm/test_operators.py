@@ -207,6 +207,16 @@ def test_sentence_pieces(docs, spark):
                 assert r["pieces"] == lib.encode(r["text"]) and r["back"] == r["text"].replace("▁", " ")
 
 
+def test_round_trip_decodes_the_finished_ids():
+    with open(sentence_pieces.model_path(), "rb") as f:
+        t = sentence_pieces.Transducer(f.read())
+    ids, ok = t.checked("one two three")
+    assert ok and t.decode(ids) == "one two three"
+    word = t.words.findall(t.normalise("one two three"))[1]
+    t.kept[word] = (*t.kept[word], int(ids[0]))
+    assert not t.checked("one two three")[1] and t.checked("one three")[1]
+
+
 def test_unigram_shortest_path():
     t = sentence_pieces.Transducer.__new__(sentence_pieces.Transducer)
     pieces = {"a": -1.0, "b": -1.0, "ab": -1.5, "abc": -5.0, "c": -1.2}
