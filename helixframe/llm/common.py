@@ -4,6 +4,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Rows of an Arrow batch; texts are long, so the default of 10,000 would make batches of many MB.
 ARROW_ROWS = 512
@@ -18,10 +19,18 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there (survives lost executors)."""
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, arrow_rows: int | None = None) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from there (survives lost executors). ``arrow_rows``: rows of
+    an Arrow batch meanwhile, where a row is wide."""
+    spark = df.sparkSession
+    prepare(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    try:
+        spark.conf.set(name, str(arrow_rows or was))
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(name, was)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,21 +51,25 @@ def wider(df: DataFrame, **more: str) -> str:
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list: (node, component), component = smallest node reached.
 
-    Alternating large-star and small-star rounds; each is two shuffles of the edges that remain, no node's
-    neighbours are gathered in one row, and lineage is cut every round. An empty edge list gives no rows.
+    Alternating large-star and small-star rounds; each is two shuffles of the edges that remain, as repeated edges and
+    the smallest neighbours are found in the shuffled partitions themselves. No node's neighbours are gathered in one
+    row, and lineage is cut every round. An empty edge list gives no rows.
     """
-    e = cut(edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct())
+    w = Window.partitionBy("u")
+
+    def state(df):
+        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+    e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v"))
+    was = state(e)
     for _ in range(max_rounds):
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        low2 = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low2, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v")
-        nxt = cut(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct())
-        was = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
-        now = nxt.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
-        e = nxt
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition("u").distinct()
+        large = both.withColumn("m", F.least(F.min("v").over(w), "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down = large.repartition("u").distinct().withColumn("m", F.min("v").over(w))
+        # the row of u's smallest neighbour m stays, any other neighbour v goes to m
+        e = cut(down.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")))
+        now = state(e)
         if was == now:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        was = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

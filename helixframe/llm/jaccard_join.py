@@ -3,26 +3,33 @@
 Documents are points of the metric space of sets (Jaccard distance, and size of the symmetric difference). Equal sets
 are joined first and go on as one point.
 
-Regions: the pivots are single shingles in one global order, rare ones first; a point's nearest pivot is the first of
-its shingles, at distance 1 - 1/n. If two points are as near as asked, at most n - ceil(t n) shingles of either are
-missing in the other, so (triangle inequality) they have a common pivot among the first n - ceil(t n) + 1 of each:
-within this window a point is replicated to the pivots' regions. Every linked pair meets in the region of its first
-common shingle. The order comes from a fixed-size count sketch of all documents; an error in it costs time, not links.
-
-Inside a region the distances to ``SLICES`` more pivots, the slices of the space of hashes, prune by the triangle
-inequality: the common part of two sets is at most the sum over the slices of the smaller part. What passes is a
-candidate. A region first hands over only a spanning forest of its candidates; the whole sets of these pairs are
-compared, and pairs that hold join classes. Regions that still have candidates between different classes then bring
-the whole sets of these points together and find their links exactly, in a forest again. A region above ``CELL``
-points is cut into cells: at first they share a few centres, and then every two cells meet, if the points are not all
-in one class by then.
+Regions: the pivots are the sets of one shingle, in one global order, rare shingles first. The distance of a point to a
+pivot is 1 - 1/n if it holds the shingle and 1 if not, so its Voronoi region is that of the first of its shingles in the
+order. Let the distance of two points be at most 1 - t. Their common part is then at least t times the larger set, so by
+the triangle inequality their nearest common pivot stands among the first n - ceil(t n) + 1 shingles of each: within this
+window a point is replicated to the pivots' regions, and every linked pair meets in the region of its first common
+shingle. The order comes from a fixed-size count sketch of all documents; an error in it costs time, not links.
+
+Bounds inside a region: rows carry n and the number of shingles from this pivot on. Where the pivot is the first common
+one, the common part is at most the smaller of these numbers, which leaves few pairs. A region of at most ``SMALL``
+points gives its pairs by these bounds; only ids travel. Of a larger region at first only neighbours in the order of
+sizes are paired. A spanning forest of the pairs is compared by the whole texts, then the pairs that still stand between
+two classes.
+
+Large regions that then hold points of several classes are joined again, recursively by cells: the points outside of
+the region's main class meet all others of the region, cell by cell, where a cell has a bounded number of points and
+shingles. The sizes of ``SLICES`` slices of the space of hashes prune by the triangle inequality (the common part is at
+most the sum over the slices of the smaller part), and what is left is compared by whole sets.
 """
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 from pyspark.sql.window import Window
 
 from helixframe.llm.common import components, cut, only, prepare, read
@@ -30,12 +37,18 @@ from helixframe.llm.text_kernel import U, mix, ngrams, pieces, words
 
 SKETCH_BITS, SKETCH_PARTS = 22, 64
 SLICES = 128
-CELL = 2048
-CENTRES = 16
-#: Ids of points whose sets are wanted are broadcast up to this number (16 bytes each).
+#: Most points of a cell, on average, and most shingles.
+CELL, CELL_SHINGLES = 16_384, 1 << 21
+#: Ids of points whose texts are wanted are broadcast up to this number (8 bytes each).
 BROADCAST_ROWS = 1_000_000
-#: Cells of at most this many points are compared many at a time.
+#: Regions of at most this many points give their pairs at once.
 SMALL = 32
+#: Rows of a set's copies are dealt to so many parts before they meet.
+SALT = 64
+#: Signatures that a task keeps to leave out copies; rows that it holds before it works on them.
+KEPT, ROWS = 1 << 20, 1 << 16
+#: Rows of an Arrow batch that hold whole texts of two points or of a cell.
+WIDE = 16
 
 
 def shingles(data: np.ndarray, off: np.ndarray, k: int):
@@ -93,12 +106,13 @@ def sketch_of(docs: DataFrame, k: int) -> np.ndarray:
                 g, _ = ngrams(h, row, k)
                 c += np.bincount((g >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(c)).astype(np.uint32)
         small = np.minimum(c, 65535).astype("<u2")
-        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([small[i * part : (i + 1) * part].tobytes() for i in range(SKETCH_PARTS)], pa.binary())], names=["part", "c"])
+        packed = [zlib.compress(small[i * part : (i + 1) * part].tobytes(), 1) for i in range(SKETCH_PARTS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(packed, pa.binary())], names=["part", "c"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(part, np.uint64)
         for c in pdf["c"]:
-            total += np.frombuffer(c, "<u2")
+            total += np.frombuffer(zlib.decompress(c), "<u2")
         cls = np.minimum(np.log2(1.0 + total) * 8, 255).astype(np.uint8)
         return pd.DataFrame({"part": [pdf["part"].iloc[0]], "c": [cls.tobytes()]})
 
@@ -111,66 +125,170 @@ def sketch_of(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def regions_of(docs: DataFrame, sketch: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """(e, s1, n): the regions of each set, by its first shingles in the global order; s1 is half of the set's
-    signature, so copies give equal rows."""
+    """(e, s1, q): the regions of each set, by its first shingles in the global order; s1 is half of the set's signature,
+    so copies give equal rows (a task leaves out those that it sees again); q holds n and the shingles from e on."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def deal(batches):
-        order = shared.value
+        order, seen = shared.value, set()
         for b in batches:
-            e, x, n = [], [], []
+            e, x, q = [], [], []
             for s in of_batch(b.column(0), k):
-                if len(s):
-                    p = len(s) - -(-num * len(s) // den) + 1
-                    rank = order[(s >> U(64 - SKETCH_BITS)).astype(np.int64)].astype(U) << U(56) | mix(s) >> U(8)
-                    first = s[np.argpartition(rank, p - 1)[:p]] if p < len(s) else s
-                    e.append(first.view(np.int64))
-                    with np.errstate(over="ignore"):
-                        x.append(np.full(len(first), mix(s + U(11)).sum(dtype=U).view(np.int64), np.int64))
-                    n.append(np.full(len(first), len(s), np.int32))
-            cat = lambda v, t: np.concatenate(v) if v else np.zeros(0, t)
-            yield pa.RecordBatch.from_arrays([pa.array(cat(e, np.int64)), pa.array(cat(x, np.int64)), pa.array(cat(n, np.int32))], names=["e", "s1", "n"])
+                with np.errstate(over="ignore"):
+                    sig = mix(s + U(11)).sum(dtype=U).view(np.int64)
+                if not len(s) or int(sig) in seen:
+                    continue
+                if len(seen) >= KEPT:
+                    seen.clear()
+                seen.add(int(sig))
+                p = len(s) - -(-num * len(s) // den) + 1
+                rank = order[(s >> U(64 - SKETCH_BITS)).astype(np.int64)].astype(U) << U(56) | mix(s) >> U(8)
+                e.append(s[np.argsort(rank, kind="stable")[:p]].view(np.int64))
+                x.append(np.full(len(e[-1]), sig))
+                q.append((len(s) << 32) + len(s) - np.arange(len(e[-1]), dtype=np.int64))
+            cat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cat(e)), pa.array(cat(x)), pa.array(cat(q))], names=["e", "s1", "q"])
+
+    return docs.select("text").mapInArrow(deal, "e long, s1 long, q long")
+
+
+def near_enough(n_a, n_b, rem_a, rem_b, num: int, den: int):
+    """Whether two sets can be linked by their sizes and what they hold from their first common shingle on."""
+    return (den * np.minimum(n_a, n_b) >= num * np.maximum(n_a, n_b)) & ((num + den) * np.minimum(rem_a, rem_b) >= num * (n_a + n_b))
+
+
+def meet(num: int, den: int):
+    """mapInArrow function over rows (e, s1, q) sorted by e and q: rows (null, a, b, 0) for the pairs of small regions and
+    for neighbours of large ones, and rows (e, s1, null, q) of the large regions. A region may span batches."""
+
+    def told(e, s1, q, large, skip):
+        """Whole regions; those with ``large`` or more than SMALL rows are large. The first ``skip`` rows were told."""
+        n, rem = q >> 32, q & 0xFFFFFFFF
+        first = np.ones(len(e), bool)
+        first[1:] = e[1:] != e[:-1]
+        g = np.cumsum(first) - 1
+        m = np.bincount(g)
+        big = (m > SMALL)[g] | (large & (g == 0))
+        a, b = [], []
+        for d in range(1, min(SMALL, int(m.max()))):
+            i = np.flatnonzero((g[:-d] == g[d:]) & (~big[:-d] | (d == 1)))
+            i = i[near_enough(n[i], n[i + d], rem[i], rem[i + d], num, den) & (s1[i] != s1[i + d])]
+            a.append(np.minimum(s1[i], s1[i + d]))
+            b.append(np.maximum(s1[i], s1[i + d]))
+        if a:
+            ab = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
+            if len(ab):
+                yield batch(np.zeros(len(ab), np.int64), ab[:, 0].copy(), ab[:, 1].copy(), np.zeros(len(ab), np.int64), True)
+        rows = np.flatnonzero(big)
+        rows = rows[rows >= skip]
+        if len(rows):
+            yield batch(e[rows], s1[rows], np.zeros(len(rows), np.int64), q[rows], False)
+
+    def batch(e, a, b, q, pair):
+        mask = np.ones(len(a), bool)
+        return pa.RecordBatch.from_arrays([pa.array(e, mask=mask if pair else None), pa.array(a), pa.array(b, mask=None if pair else mask), pa.array(q)], names=["e", "a", "b", "q"])
+
+    def run(batches):
+        held, size, large, skip = [], 0, False, 0
+        for t in batches:
+            if not t.num_rows:
+                continue
+            held.append([t.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            size += t.num_rows
+            if size < ROWS:
+                continue
+            e, s1, q = (np.concatenate(c) for c in zip(*held, strict=True))
+            last = int(np.flatnonzero(e != e[-1])[-1]) + 1 if e[0] != e[-1] else 0
+            if last:
+                yield from told(e[:last], s1[:last], q[:last], large, skip)
+                held, large, skip = [[e[last:], s1[last:], q[last:]]], False, 0
+            else:
+                # one region of more rows than are held: all but its last row are told, which the next pair needs
+                yield from told(e, s1, q, True, skip)
+                held, large, skip = [[e[-1:], s1[-1:], q[-1:]]], True, 1
+            size = len(held[0][0])
+        if held:
+            yield from told(*(np.concatenate(c) for c in zip(*held, strict=True)), large, skip)
 
-    return docs.select("text").mapInArrow(deal, "e long, s1 long, n int")
+    return run
 
 
-def vectors_of(docs: DataFrame, k: int, full: bool) -> DataFrame:
-    """(x, v): the slice sizes of each set (empty: too large to tell), or, if full, the whole set."""
+def vectors_of(docs: DataFrame, k: int) -> DataFrame:
+    """(x, v): the slice sizes of each set (empty: too large to tell) of rows (x, text)."""
 
     def run(batches):
         for b in batches:
             out = []
             for s in of_batch(b.column(1), k):
-                if full:
-                    out.append(s.tobytes())
-                else:
-                    c = np.bincount((s & U(SLICES - 1)).astype(np.int64), minlength=SLICES)
-                    out.append(c.astype(np.uint8).tobytes() if c.max() < 256 else b"")
+                c = np.bincount((s & U(SLICES - 1)).astype(np.int64), minlength=SLICES)
+                out.append(c.astype(np.uint8).tobytes() if c.max() < 256 else b"")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["x", "v"])
 
     return docs.mapInArrow(run, "x long, v binary")
 
 
-def cell(pdf: pd.DataFrame):
-    """Arrays of one cell's rows in the order of ids: (x, n, side, class, slice sizes, rows too large to tell)."""
+def linked(k: int, num: int, den: int):
+    """mapInArrow function: those of the rows (a, b, text, text) whose sets are as near as asked."""
+
+    def run(batches):
+        for t in batches:
+            ok = []
+            for s, u in zip(of_batch(t.column(2), k), of_batch(t.column(3), k), strict=True):
+                small, large = (s, u) if len(s) <= len(u) else (u, s)
+                pos = np.searchsorted(large, small)
+                pos[pos == len(large)] = 0
+                common = int((large[pos] == small).sum())
+                ok.append(den * common >= num * (len(s) + len(u) - common))
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def active(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame | None:
+    """Rows of a pair of cells that have a candidate in another class, under a name that depends on them alone."""
     pdf = pdf.sort_values("x", kind="stable").drop_duplicates("x")
+    x, n, rem, side = (pdf[c].to_numpy().astype(np.int64) for c in ("x", "n", "rem", "side"))
     _, cls = np.unique(pdf["c"].to_numpy(), return_inverse=True)
-    v, blank = np.zeros((len(pdf), SLICES), np.uint8), np.zeros(len(pdf), bool)
-    for i, b in enumerate(pdf["v"]):
-        if b:
-            v[i] = np.frombuffer(b, np.uint8)
-        else:
-            blank[i] = True
-    return pdf["x"].to_numpy(), pdf["n"].to_numpy().astype(np.int64), pdf["side"].to_numpy(), cls, v, blank
+    blank = np.array([not b for b in pdf["v"]])
+    v = np.frombuffer(b"".join(b or bytes(SLICES) for b in pdf["v"]), np.uint8).reshape(-1, SLICES)
+    two = side.min() != side.max()
+    keep = np.zeros(len(x), bool)
+    for i in np.flatnonzero(side == side.min()):
+        j = np.flatnonzero((cls != cls[i]) & ((side != side[i]) if two else True) & near_enough(n, n[i], rem, rem[i], num, den))
+        if len(j):
+            most = np.where(blank[j] | blank[i], np.minimum(n[j], n[i]), np.minimum(v[j], v[i]).sum(1, dtype=np.int64))
+            j = j[den * most >= num * (n[j] + n[i] - most)]
+            keep[j] = True
+            keep[i] |= len(j) > 0
+    if not keep.any():
+        return None
+    with np.errstate(over="ignore"):
+        name = mix(x[keep].astype(U) * U(2048) + side[keep].astype(U)).sum(dtype=U).view(np.int64)
+    return pd.DataFrame({"g": name, "x": x[keep], "c": pdf["c"].to_numpy()[keep], "side": side[keep]})
+
 
+def exact(pdf: pd.DataFrame, k: int, num: int, den: int) -> pd.DataFrame | None:
+    """Spanning forest of the true links between classes of a pair of cells, by its whole sets."""
+    pdf = pdf.sort_values("x", kind="stable").drop_duplicates("x")
+    x, side = pdf["x"].to_numpy(), pdf["side"].to_numpy()
+    _, cls = np.unique(pdf["c"].to_numpy(), return_inverse=True)
+    sets = list(of_batch(pa.array(pdf["text"], pa.large_string()), k))
+    n = np.array([len(s) for s in sets])
+    _, item = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), n)
+    at = np.concatenate([[0], np.cumsum(n)])
+    order = np.argsort(item, kind="stable")
+    holders, start = owner[order], np.concatenate([[0], np.cumsum(np.bincount(item))])
+
+    def near(i, j):
+        mine = item[at[i] : at[i + 1]]
+        count = start[mine + 1] - start[mine]
+        where = np.repeat(start[mine] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        common = np.bincount(holders[where], minlength=len(sets))[j]
+        return j[den * common >= num * (n[j] + n[i] - common)]
 
-def within(i: int, j: np.ndarray, n, v, blank, num: int, den: int) -> np.ndarray:
-    """Those of the rows j that sizes and slices allow to be as near to row i as asked."""
-    lo, hi = np.minimum(n[j], n[i]), np.maximum(n[j], n[i])
-    j, lo, hi = (a[den * lo >= num * hi] for a in (j, lo, hi))
-    most = np.minimum(v[j], v[i]).sum(1, dtype=np.int64)
-    most = np.where(blank[j] | blank[i], lo, most)
-    return j[den * most >= num * (lo + hi - most)]
+    found = walk(cls, side, near)
+    return pd.DataFrame([(min(x[i], x[j]), max(x[i], x[j])) for i, j in found], columns=["a", "b"]) if found else None
 
 
 def walk(cls: np.ndarray, side: np.ndarray, near) -> list[tuple[int, int]]:
@@ -199,108 +317,26 @@ def walk(cls: np.ndarray, side: np.ndarray, near) -> list[tuple[int, int]]:
     return edges
 
 
-def proposed(pdf: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
-    """Spanning forest of a cell's candidates."""
-    x, n, side, cls, v, blank = cell(pdf)
-    return [(int(x[i]), int(x[j])) for i, j in walk(cls, side, lambda i, j: within(i, j, n, v, blank, num, den))]
-
-
-def active(pdf: pd.DataFrame, num: int, den: int) -> np.ndarray:
-    """Points of a cell that have a candidate in another class."""
-    x, n, side, cls, v, blank = cell(pdf)
-    two = side.min() != side.max()
-    keep = np.zeros(len(x), bool)
-    for i in range(len(x)):
-        j = np.flatnonzero((cls != cls[i]) & ((side != side[i]) if two else True))
-        if len(j) and len(j := within(i, j, n, v, blank, num, den)):
-            keep[i] = True
-            keep[j] = True
-    return x[keep]
-
-
-def exact(pdf: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
-    """Spanning forest of the true links of a cell, by its whole sets."""
-    pdf = pdf.sort_values("x", kind="stable").drop_duplicates("x")
-    x, side = pdf["x"].to_numpy(), pdf["side"].to_numpy()
-    _, cls = np.unique(pdf["c"].to_numpy(), return_inverse=True)
-    sets = [np.frombuffer(b, U) for b in pdf["v"]]
-    n = np.array([len(s) for s in sets])
-    _, item = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), n)
-    at = np.concatenate([[0], np.cumsum(n)])
-    order = np.argsort(item, kind="stable")
-    holders, start = owner[order], np.concatenate([[0], np.cumsum(np.bincount(item))])
-
-    def near(i, j):
-        mine = item[at[i] : at[i + 1]]
-        count = start[mine + 1] - start[mine]
-        where = np.repeat(start[mine] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        common = np.bincount(holders[where], minlength=len(sets))[j]
-        return j[den * common >= num * (n[j] + n[i] - common)]
-
-    return [(int(x[i]), int(x[j])) for i, j in walk(cls, side, near)]
-
-
-def small_pairs(t: pd.DataFrame, gid: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs between different classes in all cells of a batch at once: rows are compared with the row d places
-    on, for each d below SMALL, where both are of one cell."""
-    x, n, c, side = (t[k].to_numpy().astype(np.int64) for k in ("x", "n", "c", "side"))
-    blank = np.array([not b for b in t["v"]])
-    v = np.frombuffer(b"".join(b or bytes(SLICES) for b in t["v"]), np.uint8).reshape(-1, SLICES)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(gid)) + 1])
-    two = (np.minimum.reduceat(side, first) != np.maximum.reduceat(side, first))[np.cumsum(np.isin(np.arange(len(gid)), first)) - 1]
-    left, right = [], []
-    for d in range(1, SMALL):
-        i = np.flatnonzero((gid[:-d] == gid[d:]) & (c[:-d] != c[d:]) & (~two[:-d] | (side[:-d] != side[d:]))) if d < len(gid) else np.zeros(0, int)
-        lo, hi = np.minimum(n[i], n[i + d]), np.maximum(n[i], n[i + d])
-        ok = den * lo >= num * hi
-        i, lo, hi = i[ok], lo[ok], hi[ok]
-        for q in range(0, len(i), 1 << 14):
-            j, l, h = i[q : q + (1 << 14)], lo[q : q + (1 << 14)], hi[q : q + (1 << 14)]
-            most = np.where(blank[j] | blank[j + d], l, np.minimum(v[j], v[j + d]).sum(1, dtype=np.int64))
-            j = j[den * most >= num * (l + h - most)]
-            left.append(j)
-            right.append(j + d)
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
-
-
-def by_cell(keys: tuple[str, ...], solve, solve_small=None):
-    """mapInPandas function over rows sorted by keys: solve(rows of a cell) for each cell; the cells of at most SMALL rows
-    in a batch go to solve_small(rows, cell numbers) together, if there is one. A cell may span batches."""
+def by_cell(keys: tuple[str, ...], solve):
+    """mapInPandas function over rows sorted by keys: solve(rows of a cell) for each cell of two rows or more. A cell may
+    span batches."""
     keys = list(keys)
 
-    def numbers(t):
-        new = np.zeros(len(t), bool)
-        for k in keys:
-            a = t[k].to_numpy()
-            new[1:] |= a[1:] != a[:-1]
-        return np.cumsum(new)
-
     def run(batches):
         held = None
         for t in batches:
             t = t if held is None else pd.concat([held, t], ignore_index=True)
-            if not len(t):
-                continue
-            g = numbers(t)
-            first = int(np.searchsorted(g, g[-1]))
-            held = t.iloc[first:]
-            yield from told(t.iloc[:first], g[:first])
+            if len(t):
+                new = (t[keys] != t[keys].shift()).any(axis=1).to_numpy()
+                last = int(np.flatnonzero(new)[-1])
+                yield from told(t.iloc[:last], np.cumsum(new[:last]))
+                held = t.iloc[last:]
         if held is not None:
-            yield from told(held, numbers(held))
+            yield from told(held, np.zeros(len(held), int))
 
     def told(t, g):
-        if not len(t):
-            return
-        size = np.bincount(g)[g]
-        small = (size > 1) & (size <= SMALL) if solve_small else np.zeros(len(t), bool)
-        if small.any():
-            out = solve_small(t[small].reset_index(drop=True), g[small])
-            if out is not None and len(out):
-                yield out
-        rest = (size > 1) & ~small
-        for _, part in t[rest].groupby(g[rest], sort=False):
-            out = solve(part)
+        for _, part in t.groupby(g, sort=False):
+            out = solve(part) if len(part) > 1 else None
             if out is not None and len(out):
                 yield out
 
@@ -312,129 +348,101 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str =
     their sets of k-word shingles, over chains of links; component_id is the smallest id of the class.
 
     Words: white-space separated, A-Z lower-cased. A text with fewer than k words is one shingle; null texts and texts
-    without words have an empty set and are linked with nothing. Rows with the same id and different texts are
-    documents of their own that share a name. Ids are integers; rows without one are left out if ids repeat so, and get
-    no class otherwise. An empty table gives no rows. Links are exact: a pair is compared by its whole sets (64-bit hashes of shingles).
+    without words have an empty set and are linked with nothing: their class is their own id. Every row gives one row.
+    Rows with the same id, or without one, are documents of their own: rows of one id and different texts share a name,
+    and rows without an id get the smallest id in their class, null if no row of it has one. Ids that are no integers go
+    the same way. An empty table gives no rows. Links are exact: a pair is compared by its whole sets (64-bit hashes of
+    shingles). ``unique_ids``: the caller knows that ids are integers, there and different.
     """
     spark = docs.sparkSession
     prepare(spark)
-    d = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    signed = cut(sets_of(d, k))
-    full = signed.where("n > 0 and doc_id is not null")
+    d = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     if unique_ids is None:
-        unique_ids = full.groupBy("doc_id").agg(F.min(F.struct("s1", "s2", "n")).alias("lo"), F.max(F.struct("s1", "s2", "n")).alias("hi")).where("lo <> hi").isEmpty()
+        unique_ids = isinstance(d.schema["doc_id"].dataType, (ByteType, ShortType, IntegerType, LongType)) and d.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty()
     if not unique_ids:
-        # one id with different texts: the join runs on ids of (id, text), and the smallest id names each class
-        own = d.where("doc_id is not null").withColumn("own", F.xxhash64("doc_id", "text"))
-        got = cut(join(own.select(F.col("own").alias("doc_id"), "text"), k, num, den, unique_ids=True).distinct())
-        named = own.select("doc_id", "own").join(got.withColumnRenamed("doc_id", "own"), "own")
-        least = named.groupBy("component_id").agg(F.min("doc_id").alias("least"))
-        return named.join(least, "component_id").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
-    # equal sets are one point, named by its smallest id; map-side minima keep a hot group small
-    points = full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("x"))
-    names = full.select("doc_id", "s1", "s2", "n").join(points, ["s1", "s2", "n"]).select("doc_id", "x").distinct()
-    names = cut(names)
-    same = cut(names.where("doc_id <> x").select(F.col("doc_id").alias("a"), F.col("x").alias("b")))
-    known = d.where("doc_id is not null and text is not null")
+        own = cut(d.withColumn("own", F.monotonically_increasing_id()))
+        named = cut(own.select("doc_id", "own").join(join(own.select(F.col("own").alias("doc_id"), "text"), k, num, den, unique_ids=True).withColumnRenamed("doc_id", "own"), "own"))
+        least = named.groupBy("component_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("m")).where("m > 1").select("component_id", "least")
+        out = named.join(least, "component_id", "left")
+        return out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    d = d.withColumn("doc_id", F.col("doc_id").cast("long"))
+    signed = cut(sets_of(d, k)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)))
+    # equal sets are one point, named by its smallest id; copies are dealt to parts, so that no task gets a hot group
+    part = signed.where("n > 0").groupBy("s1", "s2", "n", "salt").agg(F.min("doc_id").alias("x"))
+    points = cut(part.groupBy("s1", "s2", "n").agg(F.min("x").alias("x")))
+    known = d.where("text is not null")
     sketch = sketch_of(known, k)
-    # one shuffle by region serves the removal of copies, the windows and the sizes of regions. Only points that have
+    # one shuffle by region serves the windows, the removal of copies and the sizes of regions. Only points that have
     # another of fitting size in their region go on
-    w = Window.partitionBy("e").orderBy("n")
-    r = regions_of(known, sketch, k, num, den).repartition("e").groupBy("e", "s1", "n").agg(F.count("*").alias("_"))
-    fits = F.coalesce(F.lag("n").over(w) * den >= F.col("n") * num, F.lit(False)) | F.coalesce(F.col("n") * den >= F.lead("n").over(w) * num, F.lit(False))
-    r = r.withColumn("fits", fits).where("fits").select("e", "s1", "n")
-    # two sets of one s1 and n would both take the place: more to compare, nothing lost
-    r = cut(r.join(points.select("s1", F.col("n").cast("int").alias("n"), "x"), ["s1", "n"]).select("e", "x", "n"))
-    vec = cut(vectors_of(known, k, False).join(r.select("x").distinct(), "x", "left_semi").dropDuplicates(["x"]))
-    size = r.groupBy("e").agg(F.count("*").alias("m")).where("m > 1").withColumn("cells", F.ceil(F.col("m") / CELL).cast("int"))
-    r = cut(r.join(size.select("e", "cells"), "e").withColumn("cell", F.pmod(F.xxhash64("x"), F.col("cells")).cast("int")))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def pairs_of(edges):
-        return pd.DataFrame([(min(p), max(p)) for p in edges], columns=["a", "b"])
-
-    def propose_small(t, gid):
-        x, root, out = t["x"].to_numpy(), {}, []
-
-        def find(v):
-            while root.setdefault(v, v) != v:
-                v = root[v]
-            return v
-
-        for i, j in sorted(zip(*small_pairs(t, gid, num, den), strict=True), key=lambda p: (gid[p[0]], min(x[p[0]], x[p[1]]), max(x[p[0]], x[p[1]]))):
-            a, b = find((gid[i], x[i])), find((gid[j], x[j]))
-            if a != b:
-                root[b] = a
-                out.append((int(x[i]), int(x[j])))
-        return pairs_of(out)
-
-    def named(g, gid):
-        """Rows of cells under a name that depends on their points and sides alone."""
-        with np.errstate(over="ignore"):
-            part = mix(g["x"].to_numpy().astype(U) * U(2048) + g["side"].to_numpy().astype(U))
-            first = np.concatenate([[0], np.flatnonzero(np.diff(gid)) + 1])
-            name = np.add.reduceat(part, first)
-        at = np.zeros(len(gid), int)
-        at[first[1:]] = 1
-        return pd.DataFrame({"g": name.view(np.int64)[np.cumsum(at)], "x": g["x"].to_numpy(), "c": g["c"].to_numpy(), "side": g["side"].to_numpy()})
-
-    def remain_small(t, gid):
-        i, j = small_pairs(t, gid, num, den)
-        keep = np.unique(np.concatenate([i, j]))
-        return named(t.iloc[keep], gid[keep]) if len(keep) else None
+    w = Window.partitionBy("e").orderBy("q", "s1")
+    r = regions_of(known, sketch, k, num, den).repartition("e")
+    again = (F.lag("q").over(w) == F.col("q")) & (F.lag("s1").over(w) == F.col("s1"))
+    r = r.withColumn("again", F.coalesce(again, F.lit(False))).where("not again").drop("again")
+    n = lambda c: F.shiftright(c, 32)
+    fits = F.coalesce(n(F.lag("q").over(w)) * den >= n("q") * num, F.lit(False)) | F.coalesce(n(F.col("q")) * den >= n(F.lead("q").over(w)) * num, F.lit(False))
+    r = r.withColumn("fits", fits).where("fits").select("e", "s1", "q")
+    met = cut(r.mapInArrow(meet(num, den), "e long, a long, b long, q long").distinct())
+    # two sets of one s1 would both take the place: more to compare, nothing lost
+    to_a, to_b = points.select(F.col("s1").alias("a"), F.col("x").alias("xa")), points.select(F.col("s1").alias("b"), F.col("x").alias("xb"))
+    pairs = met.where("b is not null").select("a", "b").join(to_a, "a").join(to_b, "b").select(F.least("xa", "xb").alias("a"), F.greatest("xa", "xb").alias("b"))
+    pairs = cut(pairs.distinct())
+    large = cut(met.where("b is null").select("e", F.col("a").alias("s1"), "q").join(points.select("s1", "x"), "s1").select("e", "x", n("q").cast("int").alias("n"), F.col("q").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("rem")))
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        """Whole sets of some points. Few ids go to the texts; more than BROADCAST_ROWS meet them in a shuffle."""
+        """(x, text) of some points. Few ids go to the texts; more than BROADCAST_ROWS meet them in a shuffle."""
         wanted = cut(wanted)
         few = wanted.count() <= BROADCAST_ROWS
-        return vectors_of(known.join(F.broadcast(wanted) if few else wanted, known["doc_id"] == wanted["x"], "left_semi"), k, True).dropDuplicates(["x"])
-
-    # first round: a spanning forest of the candidates of each cell; the centres of a large region, about CENTRES for
-    # each of its cells, are in all of its cells
-    centre = (F.col("cells") > 1) & (F.pmod(F.xxhash64("x", F.lit("centre")), F.col("cells") * (CELL // CENTRES)) == 0)
-    cells = r.withColumn("i", F.explode(F.when(centre, F.sequence(F.lit(0), F.col("cells") - 1)).otherwise(F.array("cell")))).join(vec, "x")
-    cells = cells.select("e", "i", "x", "n", F.col("x").alias("c"), F.lit(0).alias("side"), "v")
-    pairs = cells.repartition(parts, "e", "i").sortWithinPartitions("e", "i").mapInPandas(by_cell(("e", "i"), lambda g: pairs_of(proposed(g, num, den)), propose_small), "a long, b long")
-    pairs = cut(pairs.distinct())
-    sets = cut(fetch(pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))).distinct()))
-
-    def compare(batches):
-        for b in batches:
-            ok = []
-            for p, q in zip(b.column(2), b.column(3), strict=True):
-                s, t = np.frombuffer(p.as_buffer(), U), np.frombuffer(q.as_buffer(), U)
-                small, large = (s, t) if len(s) <= len(t) else (t, s)
-                pos = np.searchsorted(large, small)
-                pos[pos == len(large)] = 0
-                common = int((large[pos] == small).sum())
-                ok.append(den * common >= num * (len(s) + len(t) - common))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    a, b = sets.select(F.col("x").alias("a"), F.col("v").alias("va")), sets.select(F.col("x").alias("b"), F.col("v").alias("vb"))
-    links = cut(pairs.join(a, "a").join(b, "b").select("a", "b", "va", "vb").mapInArrow(compare, "a long, b long"))
-    classes = cut(components(links).select(F.col("node").alias("x"), F.col("component").alias("c")))
-    # second round: regions with points of several classes. Of each cell, or pair of cells, the points that still have
-    # a candidate in another class meet with their whole sets; regions with the same such points are one
-    at = r.join(classes, "x", "left").withColumn("c", F.coalesce("c", "x"))
-    at = at.join(at.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("e"), "e", "left_semi").join(vec, "x")
-    met = at.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select("e", F.least("j", "cell").alias("i"), F.greatest("j", "cell").alias("j"), "x", "n", "c", F.when(F.col("j") == F.col("cell"), 0).otherwise(F.col("cell")).alias("side"), "v")
-
-    def remain(g):
-        x = active(g, num, den)
-        if not len(x):
-            return None
-        g = g[g["x"].isin(x)].drop_duplicates("x").sort_values("x")
-        return named(g, np.zeros(len(g), int))
-
-    still = met.repartition(parts, "e", "i", "j").sortWithinPartitions("e", "i", "j").mapInPandas(by_cell(("e", "i", "j"), remain, remain_small), "g long, x long, c long, side int")
-    still = cut(still.distinct())
-    points_left = still.select("x").distinct()
-    more = fetch(points_left.join(sets, "x", "left_anti"))
-    whole = sets.join(points_left, "x", "left_semi").unionByName(more)
-    found = still.join(whole, "x").repartition(parts, "g").sortWithinPartitions("g").mapInPandas(by_cell(("g",), lambda g: pairs_of(exact(g, num, den))), "a long, b long")
-    links = links.unionByName(cut(found.distinct()))
-    comp = components(same.unionByName(links)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
-    return signed.join(comp, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        return known.join(F.broadcast(wanted) if few else wanted, known["doc_id"] == wanted["x"], "left_semi").select(F.col("doc_id").alias("x"), "text")
+
+    texts = cut(fetch(pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))).distinct()))
+
+    def compare(some: DataFrame) -> DataFrame:
+        a, b = texts.select(F.col("x").alias("a"), F.col("text").alias("ta")), texts.select(F.col("x").alias("b"), F.col("text").alias("tb"))
+        return cut(some.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(linked(k, num, den), "a long, b long"), WIDE)
+
+    def classes(links: DataFrame) -> DataFrame:
+        return cut(components(links).select(F.col("node").alias("x"), F.col("component").alias("c")))
+
+    def class_of(rows: DataFrame, of: DataFrame, col: str, out: str) -> DataFrame:
+        """rows with the class of their points: the point itself if it is in no pair."""
+        return rows.join(of.select(F.col("x").alias(col), F.col("c").alias("_c")), col, "left").withColumn(out, F.coalesce("_c", col)).drop("_c")
+
+    def merged(of: DataFrame, links: DataFrame) -> DataFrame:
+        """Classes after more links, by the components of the classes that these join."""
+        more = class_of(class_of(links, of, "a", "ca"), of, "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        up = classes(more)
+        points = of.select("x", "c").unionByName(up.select("x", F.col("x").alias("c")).join(of.select("x"), "x", "left_anti"))
+        return cut(class_of(points, up, "c", "top").select("x", F.col("top").alias("c")))
+
+    # a forest first: each point with its smallest partner; then the pairs that are still of two classes
+    forest = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    of = classes(compare(forest))
+    rest = class_of(class_of(pairs.join(forest, ["a", "b"], "left_anti"), of, "a", "ca"), of, "b", "cb")
+    rest = cut(rest.where("ca <> cb").select("a", "b"))
+    if not rest.isEmpty() and not (links := compare(rest)).isEmpty():
+        of = merged(of, links)
+    # large regions of several classes: points outside of the main class meet all others, in pairs of cells
+    at = class_of(large, of, "x", "c")
+    of_class = at.groupBy("e", "c").agg(F.count("*").alias("m"), F.sum("n").alias("z"))
+    main = of_class.groupBy("e").agg(F.max(F.struct("m", "c", "z")).alias("top"), F.sum("m").alias("m"), F.sum("z").alias("z"), F.count("*").alias("classes")).where("classes > 1")
+    cells = lambda m, z: F.greatest(F.ceil(m / CELL), F.ceil(z / CELL_SHINGLES)).cast("int")
+    main = cut(main.select("e", F.col("top.c").alias("main"), cells(F.col("m") - F.col("top.m"), F.col("z") - F.col("top.z")).alias("few"), cells(F.col("top.m"), F.col("top.z")).alias("many")))
+    if not main.isEmpty():
+        at = at.join(main, "e")
+        low = F.col("c") != F.col("main")
+        at = cut(at.withColumn("cell", F.when(low, F.pmod(F.xxhash64("x"), F.col("few"))).otherwise(F.col("few") + F.pmod(F.xxhash64("x"), F.col("many"))).cast("int")))
+        vec = cut(vectors_of(fetch(at.select("x").distinct()), k))
+        other = F.explode(F.when(low, F.sequence(F.lit(0), F.col("few") + F.col("many") - 1)).otherwise(F.sequence(F.lit(0), F.col("few") - 1)))
+        both = at.withColumn("o", other).select("e", F.least("o", "cell").alias("i"), F.greatest("o", "cell").alias("j"), "x", "n", "rem", "c", F.when(F.col("o") == F.col("cell"), 0).otherwise(F.col("cell")).alias("side")).join(vec, "x")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        still = both.repartition(parts, "e", "i", "j").sortWithinPartitions("e", "i", "j").mapInPandas(by_cell(("e", "i", "j"), lambda g: active(g, num, den)), "g long, x long, c long, side int")
+        still = cut(still.distinct())
+        whole = fetch(still.select("x").distinct())
+        found = still.join(whole, "x").repartition(parts, "g").sortWithinPartitions("g").mapInPandas(by_cell(("g",), lambda g: exact(g, k, num, den)), "a long, b long")
+        of = merged(of, cut(found.distinct(), WIDE))
+    # back from points to rows over the parts of copies
+    named = part.withColumnRenamed("x", "lo").join(points, ["s1", "s2", "n"]).join(of, "x", "left").select("s1", "s2", "n", "salt", F.coalesce("c", "x").alias("c"))
+    return signed.join(named, ["s1", "s2", "n", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
 
 
 def op10_metric_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -253,16 +253,46 @@ def brute(rows, k, num, den):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("k", "num", "cell", "small"), [(3, 90, 2048, 32), (5, 80, 8, 2)])
-def test_jaccard_join(docs, monkeypatch, k, num, cell, small):
-    monkeypatch.setattr(jaccard_join, "CELL", cell)
-    monkeypatch.setattr(jaccard_join, "CENTRES", min(cell, 16))
-    monkeypatch.setattr(jaccard_join, "SMALL", small)
-    d = docs.select("doc_id", "text", F.lit(1).alias("x"), F.lit(2).alias("n"))
+@pytest.mark.parametrize(("k", "num", "small", "cell", "rows"), [(3, 90, 32, 16_384, 1 << 16), (5, 80, 2, 8, 16)])
+def test_jaccard_join(docs, monkeypatch, k, num, small, cell, rows):
+    for name, value in {"SMALL": small, "CELL": cell, "CELL_SHINGLES": 64 * cell, "ROWS": rows, "KEPT": rows}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    d = docs.select("doc_id", "text", F.lit(1).alias("x"), F.lit(2).alias("n"), F.lit(3).alias("own"))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(d, k, num, 100).collect()}
     assert got == brute([(r["doc_id"], r["text"]) for r in docs.collect()], k, num, 100)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_join_of_large_regions(spark, monkeypatch, seed):
+    """Groups of near copies of all degrees that share a passage, so that regions hold many classes and many cells."""
+    for name, value in {"SMALL": 3, "CELL": 6, "CELL_SHINGLES": 300, "ROWS": 10}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng, rows = random.Random(seed), []
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(12)]
+    for _ in range(4):
+        base = [word() for _ in range(20)]
+        for _ in range(25):
+            w = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                w[rng.randrange(len(w))] = word()
+            rows.append((len(rows), " ".join([*passage, *w[: rng.randrange(8, 21)]])))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80, 100).collect()}
+    want = brute(rows, 2, 80, 100)
+    assert got == want and len({c for _, c in want.values()}) > 4
+
+
+def test_jaccard_join_without_ids(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve"
+    rows = [(None, a), (4, a), (4, b), (None, b + " more"), (None, None), (None, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    order = lambda r: (r[0] or -1, r[1], r[2] or -1)
+    got = sorted((tuple(r) for r in jaccard_join.join(d, 3, 90, 100).collect()), key=order)
+    assert got == sorted([(None, 5, 4), (4, 5, 4), (4, 3, 4), (None, 4, None), (None, 0, None), (None, 0, None)], key=order)
+    named = jaccard_join.join(d.select(F.col("doc_id").cast("string"), "text").na.fill("z", ["doc_id"]), 3, 90, 100)
+    assert sorted(r["component_id"] for r in named.collect()) == ["4", "4", "4", "z", "z", "z"]
+
+
 def test_jaccard_join_with_repeated_ids(spark):
     a, b, c = "one two three four five six seven", "eight nine ten eleven twelve", "so many other words here now"
     d = spark.createDataFrame([(5, a), (5, b), (7, a), (9, b), (9, b), (11, c), (3, None)], "doc_id long, text string")
