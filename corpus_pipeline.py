@@ -16,8 +16,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def with_row(docs: DataFrame) -> DataFrame:
-    """docs with ``row``, a key of each row, fixed by a checkpoint: ids may be null or repeated."""
-    return cut(only(docs, *COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+    """docs with ``row``, a key of each row: the id if ids are there and different, else a number fixed by a checkpoint."""
+    docs = only(docs, *COLUMNS)
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        return docs.withColumn("row", F.col("doc_id").cast("long"))
+    return cut(docs.withColumn("row", F.monotonically_increasing_id()))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +46,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     of one id are documents of their own; of equal rows one stays."""
     docs = with_row(docs)
     classes = jaccard_join.join(only(docs, "row", "text"), k=5, num=80, den=100, key="row", unique_ids=True)
-    named = classes.select(F.col("doc_id").alias("row"), F.col("component_id").alias("c")).join(only(docs, "row", "doc_id"), "row")
-    named = cut(named)
-    kept = named.groupBy("c").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("kept")).where("n > 1")
-    gone = cut(named.join(kept, "c").where("row <> kept").select("row"))
+    named = cut(classes.select(F.col("doc_id").alias("row"), F.col("component_id").alias("c")).join(only(docs, "row", "doc_id"), "row"))
+    kept = named.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("row"))
+    gone = cut(named.select("row").join(kept, "row", "left_anti"))
     return docs.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
