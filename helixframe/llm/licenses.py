@@ -1,9 +1,10 @@
 """License scan by diagonal voting (native).
 
-All rolling word pairs of all texts are hashed and joined with the pair positions of the templates. A hit of a
-template's pair ``t`` at word ``w`` votes for the diagonal ``w - t``, the place where the template would start.
-Votes are summed by diagonal; diagonals at most ``GAP`` apart are one place with words put in or left out; a place
-counts if enough of the template's pairs voted for it and its span is about as long as the template.
+All rolling word pairs of all texts are hashed and joined with the pair positions of the templates; the words of a hit
+are compared too. A hit of a template's pair ``j`` at word ``w`` votes for the diagonal ``w - j``, the place where the
+template would start. Votes are aggregated by diagonal, and a diagonal is merged with those up to ``GAP`` behind it
+(words put in or left out). A merged diagonal counts if enough *different* pairs of the template voted for it and its
+span is about as long as the template; of counting diagonals at most ``GAP`` apart the best one is the place.
 """
 
 from pyspark.sql import DataFrame
@@ -30,40 +31,57 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = 3
 SHARE = 0.75
+#: Pairs of a template that are marked in one number.
+BITS = 62
+RESULT = ("n_words", "places", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def scan(docs: DataFrame, text: str = "text", base=BASE, notices=NOTICES) -> DataFrame:
     """One row per input row: its columns but the text, n_words, places (label, first word, last word, coverage,
     exact), n_base, first_word, last_word, base_labels, labels, score.
 
-    Null and empty texts have no words and no places. An empty table gives no rows; repeated rows stay rows.
+    Null and empty texts have no words and no places. An empty table gives no rows; repeated rows stay rows. Of equally
+    good places the first counts. An input column with the name of a result gives way to it.
     Templates are a fixed, short list, so their positions are broadcast.
     """
     spark = docs.sparkSession
     temps = [(i, p.split(), lab, i < len(base)) for i, (p, lab) in enumerate([*base, *notices])]
-    pairs = spark.createDataFrame([(t, j, w[j], w[j + 1], len(w) - 1, lab, exact) for t, w, lab, exact in temps for j in range(len(w) - 1)], "t int, j int, a string, b string, need int, label string, exact boolean")
-    pairs = pairs.select(F.xxhash64("a", "b").alias("h"), "t", "j", "need", "label", "exact")
-    keep = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("r")
+    masks = [f"m{i}" for i in range(-(-max(len(w) - 1 for _, w, _, _ in temps) // BITS))]
+    pairs = spark.createDataFrame(
+        [(t, j, w[j], w[j + 1], len(w) - 1, lab, exact, *[1 << j - i * BITS if i * BITS <= j < (i + 1) * BITS else 0 for i in range(len(masks))]) for t, w, lab, exact in temps for j in range(len(w) - 1)],
+        f"t int, j int, a string, b string, need int, label string, exact boolean, {', '.join(f'{m} long' for m in masks)}",
+    ).withColumn("h", F.xxhash64("a", "b"))
+    keep = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text and c.lower() not in RESULT]).alias("r") if set(docs.columns) - {text, *RESULT} else F.struct(F.lit(0)).alias("r")
     words = docs.select(keep, F.array_remove(F.split(F.translate(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), UPPER, LOWER), BREAK), "").alias("words"))
-    grams = words.select("r", F.monotonically_increasing_id().alias("u"), F.size("words").cast("long").alias("n"), F.transform("words", lambda w, i: F.xxhash64(w, F.try_element_at("words", i + 2))).alias("g"))
-    hits = grams.select("r", "u", "n", F.posexplode_outer("g").alias("w", "h")).join(F.broadcast(pairs), "h", "left").where(F.col("t").isNotNull() | (F.coalesce("w", F.lit(0)) == 0))
-    # a text's last pair has no second word and so hashes one word: it equals no template pair
-    votes = hits.groupBy("u", "t", (F.col("w") - F.col("j")).alias("d")).agg(F.first("r").alias("r"), F.first("n").alias("n"), F.count("t").alias("v"), F.min("w").alias("lo"), (F.max("w") + 1).alias("hi"), F.first("need").alias("need"), F.first("label").alias("label"), F.first("exact").alias("exact"))
-    w = Window.partitionBy("u", "t").orderBy("d")
-    far = F.col("exact") | (F.col("d") - F.lag("d").over(w) > GAP)
-    votes = votes.withColumn("k", F.sum(F.coalesce(far, F.lit(True)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    spots = votes.groupBy("u", "t", "k").agg(F.first("r").alias("r"), F.first("n").alias("n"), F.least(F.sum("v"), F.first("need")).alias("v"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("need").alias("need"), F.first("label").alias("label"), F.first("exact").alias("exact"))
-    share = F.col("v") / F.col("need")
-    whole = F.when(F.col("exact"), (F.col("v") == F.col("need")) & (F.col("hi") - F.col("lo") == F.col("need"))).otherwise((share >= SHARE) & (F.col("hi") - F.col("lo") <= F.col("need") + GAP))
-    hit = F.coalesce(whole, F.lit(False))
-    place = F.when(hit, F.struct("label", F.col("lo").cast("long").alias("first"), F.col("hi").cast("long").alias("last"), share.alias("coverage"), "exact"))
-    exact = hit & F.col("exact")
+    # a text's last word has no second one, so its pair equals no template pair
+    gram = lambda w, i: F.struct(F.xxhash64(w, F.try_element_at("words", i + 2)).alias("h"), w.alias("a"), F.try_element_at("words", i + 2).alias("b"))
+    grams = words.select("r", F.monotonically_increasing_id().alias("u"), F.size("words").cast("long").alias("n"), F.transform("words", gram).alias("g"))
+    hits = grams.select("r", "u", "n", F.posexplode_outer("g").alias("w", "g")).select("r", "u", "n", "w", "g.h", "g.a", "g.b").join(F.broadcast(pairs), ["h", "a", "b"], "left").where(F.col("t").isNotNull() | (F.coalesce("w", F.lit(0)) == 0))
+    first = lambda *cs: [F.first(c).alias(c) for c in cs]
+    votes = hits.groupBy("u", "t", (F.col("w") - F.col("j")).alias("d")).agg(*first("r", "n", "need", "label", "exact"), F.min("w").alias("lo"), (F.max("w") + 1).alias("hi"), *[F.bit_or(m).alias(m) for m in masks])
+    by = Window.partitionBy("u", "t").orderBy("d")
+    # a phrase of the base has to stand on one diagonal; a notice may go on up to GAP further
+    near = by.rangeBetween(0, GAP)
+    pick = lambda f, c: F.when(F.col("exact"), F.col(c)).otherwise(f(c).over(near))
+    seen = sum((F.bit_count(pick(F.bit_or, m)) for m in masks[1:]), F.bit_count(pick(F.bit_or, masks[0])))
+    votes = votes.withColumns({"v": seen, "lo": pick(F.min, "lo"), "hi": pick(F.max, "hi")})
+    span = F.col("hi") - F.col("lo")
+    whole = F.when(F.col("exact"), (F.col("v") == F.col("need")) & (span == F.col("need"))).otherwise((F.col("v") >= SHARE * F.col("need")) & (span <= F.col("need") + GAP))
+    votes = votes.withColumn("hit", F.coalesce(whole, F.lit(False)))
+    before = F.last(F.when(F.col("hit"), F.col("d")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    far = F.col("exact") | before.isNull() | (F.col("d") - before > GAP)
+    votes = votes.withColumn("new", F.col("hit") & far)
+    votes = votes.withColumn("k", F.when(F.col("hit"), F.sum(F.col("new").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))))
+    best = F.max(F.struct("v", (-F.col("hi") + F.col("lo")).alias("short"), (-F.col("d")).alias("d"), "lo", "hi"))
+    spots = votes.groupBy("u", "t", "k").agg(*first("r", "n", "need", "label", "exact", "hit"), best.alias("p")).select("u", "r", "n", "label", "exact", "hit", "p.lo", "p.hi", (F.col("p.v") / F.col("need")).alias("share"))
+    place = F.when(F.col("hit"), F.struct("label", F.col("lo").cast("long").alias("first"), F.col("hi").cast("long").alias("last"), F.col("share").alias("coverage"), "exact"))
+    exact = F.col("hit") & F.col("exact")
     join = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     out = spots.groupBy("u").agg(
         F.first("r").alias("r"), F.max("n").alias("n_words"), F.array_sort(F.collect_list(place)).alias("places"), F.count(F.when(exact, 1)).alias("n_base"), F.min(F.when(exact, F.col("lo"))).cast("long").alias("first_word"), F.max(F.when(exact, F.col("lo"))).cast("long").alias("last_word"),
-        join(F.when(exact, F.col("label"))).alias("base_labels"), join(F.when(hit, F.col("label"))).alias("labels"), F.coalesce(F.max(F.when(hit, share)), F.lit(0.0)).alias("score"),
+        join(F.when(exact, F.col("label"))).alias("base_labels"), join(F.when(F.col("hit"), F.col("label"))).alias("labels"), F.coalesce(F.max(F.when(F.col("hit"), F.col("share"))), F.lit(0.0)).alias("score"),
     )
-    return out.select("r.*", "n_words", "places", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return out.select("r.*", *RESULT)
 
 
 def op4_diagonal_voting(spark, sf_dir: str) -> DataFrame:

@@ -109,6 +109,41 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, texts).where("false")).count() == 0
 
 
+def test_licenses_count_different_pairs(spark):
+    """Labels against a brute-force reading of the rule, over random repeats of the templates' words."""
+    rng = random.Random(8)
+    temps = [(p.split(), lab) for p, lab in licenses.NOTICES]
+    vocab = sorted({w for t, _ in temps for w in t})
+    texts = ["cc by cc by cc by cc by cc by", "cc by " * 200, "licensed under cc by nc 4 0 " * 3, "cc by cc by licensed under cc by sa 4 0 cc by"]
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randrange(1, 5)):
+            t = list(rng.choice(temps)[0])
+            for _ in range(rng.randrange(0, 5)):
+                i = rng.randrange(len(t) + 1)
+                t[i:i] = [rng.choice(vocab)] * rng.randrange(0, 2)
+                if len(t) > 2 and rng.random() < 0.5:
+                    del t[rng.randrange(len(t))]
+            words += t + [rng.choice(vocab) for _ in range(rng.randrange(0, 6))]
+        texts.append(" ".join(words))
+
+    def told(w):
+        out = {lab for p, lab in licenses.BASE if any(w[i : i + len(p.split())] == p.split() for i in range(len(w)))}
+        for t, lab in temps:
+            hits = [(i - j, j, i) for i in range(len(w) - 1) for j in range(len(t) - 1) if w[i : i + 2] == t[j : j + 2]]
+            for d in {h[0] for h in hits}:
+                near = [h for h in hits if d <= h[0] <= d + licenses.GAP]
+                if len({j for _, j, _ in near}) >= licenses.SHARE * (len(t) - 1) and max(i for *_, i in near) + 1 - min(i for *_, i in near) <= len(t) - 1 + licenses.GAP:
+                    out.add(lab)
+        return ",".join(sorted(out))
+
+    rows = {r["doc_id"]: r for r in licenses.scan(frame(spark, texts, labels=F.lit("x"), N_WORDS=F.lit(0))).collect()}
+    assert [rows[i]["labels"] for i in range(len(texts))] == [told(t.split()) for t in texts]
+    assert rows[0]["labels"] == "cc-by" and rows[2]["labels"] == "cc-by,cc-by-nc" and rows[2]["n_base"] == 3
+    assert [p["label"] for p in rows[2]["places"]].count("cc-by-nc") == 3
+    assert sum("cc-by-nc" in r["labels"] for r in rows.values()) > 5
+
+
 def test_mixing(docs):
     assert mixing.targets([100, 100, 100]) == [200.0, 166.66666666666666, 83.33333333333333] or sum(mixing.targets([100, 100, 100])) == pytest.approx(450)
     rows = collect(mixing.mix(docs.select("doc_id", "text", "source")))
