@@ -6,20 +6,25 @@ and the norm of every distinct vector. A query scores codes by table look-up (it
 the best candidates are reranked exactly.
 """
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from helixframe.llm.common import cut, only, prepare, read
 
-BOOKS, WORDS, BEAM = 8, 256, 8
+BOOKS, WORDS, BEAM = 16, 256, 8
 #: Distinct vectors that the codebooks are fitted on, at most: those first by a hash.
 FIT_ROWS = 20_000
-#: Candidates of a query that are reranked exactly, and rows of a block of the index and of queries.
-RERANK, BLOCK, QUERIES = 200, 16_384, 256
+#: Rounds of joint refinement of the codebooks, and sweeps over the books in each.
+ROUNDS, SWEEPS = 1, 3
+#: Candidates of a query that are reranked exactly.
+RERANK = 400
+#: Bytes of the queries that are broadcast at once; queries scored together; codes scored together; codes of a task.
+QUERY_BYTES, TILE, CHUNK, TASK_CODES = 4 << 20, 256, 16_384, 1 << 18
 
 
 def valid(df: DataFrame, vec: str) -> DataFrame:
@@ -30,19 +35,37 @@ def valid(df: DataFrame, vec: str) -> DataFrame:
 
 
 def fit(x: np.ndarray, seed: int = 7) -> np.ndarray:
-    """BOOKS x WORDS x dim codebooks of unit vectors x: k-means of the residuals, twice over."""
+    """BOOKS x WORDS x dim codebooks of unit vectors x: k-means of what the books before leave over, then ROUNDS times
+    encoding by beam search and refining all books jointly (each word becomes the mean of what the other books leave)."""
     rng, books, rest = np.random.default_rng(seed), [], x.astype(np.float32).copy()
     for _ in range(BOOKS):
         c = rest[rng.choice(len(rest), WORDS, replace=len(rest) < WORDS)]
         for _ in range(8):
             near = np.argmin((c * c).sum(1) - 2 * rest @ c.T, axis=1)
             n = np.bincount(near, minlength=WORDS)
-            s = np.zeros_like(c)
-            np.add.at(s, near, rest)
-            c = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], rest[rng.integers(0, len(rest), WORDS)])
+            c = np.where(n[:, None] > 0, sums(near, rest) / np.maximum(n, 1)[:, None], rest[rng.integers(0, len(rest), WORDS)])
         rest = rest - c[np.argmin((c * c).sum(1) - 2 * rest @ c.T, axis=1)]
         books.append(c.astype(np.float32))
-    return np.stack(books)
+    books = np.stack(books)
+    for _ in range(ROUNDS):
+        codes = np.concatenate([encode(x[i : i + 512], books) for i in range(0, len(x), 512)])
+        rest = x - books[np.arange(BOOKS), codes].sum(1)
+        for _ in range(SWEEPS):
+            for j in range(BOOKS):
+                own = rest + books[j, codes[:, j]]
+                n = np.bincount(codes[:, j], minlength=WORDS)[:, None]
+                books[j] = np.where(n > 0, sums(codes[:, j], own) / np.maximum(n, 1), books[j])
+                rest = own - books[j, codes[:, j]]
+    return books
+
+
+def sums(of: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Sum of the rows x of each word."""
+    order = np.argsort(of, kind="stable")
+    out = np.zeros((WORDS, x.shape[1]), np.float32)
+    words, first = np.unique(of[order], return_index=True)
+    out[words] = np.add.reduceat(x[order], first, axis=0)
+    return out
 
 
 def encode(x: np.ndarray, books: np.ndarray) -> np.ndarray:
@@ -88,51 +111,82 @@ def search(base: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id",
 
     def index(batches):
         for t in batches:
+            if not len(t):
+                continue
             v = np.stack(t["v"].to_list()).astype(np.float64)
             unit = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
             codes = np.concatenate([encode(unit[i : i + 512], books) for i in range(0, len(unit), 512)])
-            s = books[np.arange(BOOKS), codes].sum(1)
-            yield pd.DataFrame({"id": t["id"], "code": [c.tobytes() for c in codes], "norm": np.linalg.norm(s, axis=1)})
+            norm = np.linalg.norm(books[np.arange(BOOKS), codes].sum(1), axis=1).astype(np.float32)
+            yield pd.DataFrame({"n": [len(t)], "id": [t["id"].to_numpy().astype(np.int64).tobytes()], "code": [codes.tobytes()], "norm": [norm.tobytes()]})
 
-    n = b.count()
-    blocks = -(-n // BLOCK)
-    codes = b.select("id", "v").mapInPandas(index, "id long, code binary, norm float")
-    codes = cut(codes.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")))
+    # the codes stay where they are, in blocks; a task takes whole blocks of about TASK_CODES codes
+    codes = cut(b.select("id", "v").mapInPandas(index, "n long, id binary, code binary, norm binary"))
+    n = codes.agg(F.sum("n")).first()[0]
+    codes = codes.coalesce(max(-(-n // TASK_CODES), min(spark.sparkContext.defaultParallelism, -(-n // CHUNK))))
     q = valid(queries.select(F.col(f"`{key}`").alias("qid"), F.col(f"`{vec}`").cast("array<float>").alias("q")), "q").where(F.col("qid").isNotNull() & (F.size("q") == dim))
-    q = cut(q.withColumn("u", F.monotonically_increasing_id()))
-    nq = q.count()
-    qblocks = max(1, -(-nq // QUERIES))
-    # a stated query set against all rows, in blocks: each block of queries meets each block of codes once
-    ids, cds, nrm = (codes.groupBy("blk").agg(F.array_sort(F.collect_list(F.struct("id", "code", "norm"))).alias("e")).select("blk", F.expr("transform(e, x -> x.id)").alias("id"), F.expr("transform(e, x -> x.code)").alias("code"), F.expr("transform(e, x -> x.norm)").alias("norm")), None, None)
-    del cds, nrm
-    pairs = ids.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))))
-    qs = q.withColumn("qb", F.pmod(F.xxhash64("u"), F.lit(qblocks)).cast("int")).groupBy("qb").agg(F.collect_list(F.struct("u", "q")).alias("qs"))
-    met = pairs.join(qs, "qb").select("id", "code", "norm", F.expr("transform(qs, x -> x.u)").alias("u"), F.expr("transform(qs, x -> x.q)").alias("q")).repartition(max(8, min(4096, blocks * qblocks)))
+    # a stated query set against all rows, in blocks: a block of about QUERY_BYTES at most is broadcast
+    per = max(1, QUERY_BYTES // (4 * dim))
+    q = cut(q)
+    nq, out = q.count(), []
+    blocks = 1 if nq <= per else -(-5 * nq // (4 * per))
+    dealt = q.withColumn("blk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
+    for i in range(blocks):
+        mine = dealt.where(F.col("blk") == i).select("qid", "q").toPandas().sort_values("qid", kind="stable", ignore_index=True)
+        if len(mine):
+            out.append(_block(spark, codes, b, books, mine["qid"].to_numpy().astype(np.int64), np.stack(mine["q"].to_list()).astype(np.float32), k))
+    if not out:
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, out)
+
+
+def _block(spark, codes: DataFrame, b: DataFrame, books: np.ndarray, qid: np.ndarray, qv: np.ndarray, k: int) -> DataFrame:
+    """Result rows of one block of queries (u is a query's place in it)."""
+    shared = spark.sparkContext.broadcast((qid, qv))
 
     def lookup(batches):
-        for t in batches:
-            for id_, code, norm, u, qv in zip(t["id"], t["code"], t["norm"], t["u"], t["q"], strict=True):
-                c = np.frombuffer(b"".join(code), np.uint8).reshape(-1, BOOKS)
-                m = np.stack(list(qv)).astype(np.float32)
-                table = np.einsum("qd,bwd->bqw", m, books, optimize=True)
-                s = np.zeros((len(m), len(c)), np.float32)
+        _, m = shared.value
+        best = [(np.zeros((len(m[i : i + TILE]), 0), np.float32), np.zeros((len(m[i : i + TILE]), 0), np.int64)) for i in range(0, len(m), TILE)]
+
+        def add(held):
+            ids, c, norm = (np.concatenate(x) for x in zip(*held, strict=True))
+            for t, (s0, i0) in enumerate(best):
+                table = np.einsum("qd,bwd->bqw", m[t * TILE : (t + 1) * TILE], books, optimize=True)
+                s = np.zeros((len(s0), len(c)), np.float32)
                 for j in range(BOOKS):
                     s += table[j][:, c[:, j]]
-                s /= np.maximum(np.asarray(norm, np.float32), 1e-12)
+                s = np.concatenate([s0, s / np.maximum(norm, 1e-12)], axis=1)
+                i = np.concatenate([i0, np.broadcast_to(ids, (len(s0), len(ids)))], axis=1)
                 r = min(RERANK, s.shape[1])
                 top = np.argpartition(-s, r - 1, axis=1)[:, :r]
-                yield pd.DataFrame({"u": np.repeat(np.asarray(u), r), "id": np.asarray(id_)[top.ravel()], "s": np.take_along_axis(s, top, 1).ravel()})
+                best[t] = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
 
-    found = met.mapInPandas(lookup, "u long, id long, s float")
+        held, size = [], 0
+        for t in batches:
+            for i, c, n in zip(t["id"], t["code"], t["norm"], strict=True):
+                held.append((np.frombuffer(i, np.int64), np.frombuffer(c, np.uint8).reshape(-1, BOOKS), np.frombuffer(n, np.float32)))
+                size += len(held[-1][0])
+                if size >= CHUNK:
+                    add(held)
+                    held, size = [], 0
+        if held:
+            add(held)
+        for t, (s, i) in enumerate(best):
+            yield pd.DataFrame({"u": np.repeat(np.arange(t * TILE, t * TILE + len(s)), s.shape[1]), "id": i.ravel(), "s": s.ravel()})
+
+    found = codes.select("id", "code", "norm").mapInPandas(lookup, "u long, id long, s float")
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "id"))).where(F.col("r") <= RERANK)
 
     def rerank(batches):
+        ask, m = shared.value
         for t in batches:
-            a, c = np.stack(t["q"].to_list()).astype(np.float64), np.stack(t["v"].to_list()).astype(np.float64)
-            s = (a * c).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((c * c).sum(1)))
-            yield pd.DataFrame({"u": t["u"], "qid": t["qid"], "ids": t["ids"], "s": s})
-
-    full = best.select("u", "id").join(b, "id").join(q, "u").select("u", "qid", "q", "v", "ids").mapInPandas(rerank, "u long, qid long, ids array<long>, s double")
+            if len(t):
+                u = t["u"].to_numpy()
+                a, c = m[u].astype(np.float64), np.stack(t["v"].to_list()).astype(np.float64)
+                s = (a * c).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((c * c).sum(1)))
+                yield pd.DataFrame({"u": u, "qid": ask[u], "ids": t["ids"], "s": s})
+
+    # the vectors meet the candidates by id and are compared there: what goes on are ids and scores
+    full = best.select("u", "id").join(b, "id").select("u", "v", "ids").mapInPandas(rerank, "u long, qid long, ids array<long>, s double")
     full = full.select("u", "qid", "s", F.explode("ids").alias("id")).where("id <> qid")
     full = full.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "id"))).where(F.col("rank") <= k)
     return full.select(F.col("qid").cast("long").alias("query_id"), F.col("rank").cast("int"), F.col("id").cast("long").alias("vec_id"), F.col("s").alias("score"))

@@ -192,6 +192,22 @@ def test_neighbours(spark):
     assert neighbors.search(e.where("false"), e).count() == 0
 
 
+def test_neighbours_by_codes(spark, monkeypatch):
+    """Far fewer candidates than rows, so that the codes decide; several blocks of queries, chunks and tiles of codes."""
+    for name, value in {"RERANK": 40, "QUERY_BYTES": 16 * 4 * 10, "TILE": 4, "CHUNK": 300, "TASK_CODES": 1000}.items():
+        monkeypatch.setattr(neighbors, name, value)
+    x = np.random.default_rng(3).normal(size=(3000, 16)).astype(np.float32)
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = neighbors.search(e, e.where("vec_id % 50 = 0")).collect()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = u[::50] @ u.T
+    s[np.arange(60), np.arange(0, 3000, 50)] = -9
+    want = np.argsort(-s, axis=1)[:, :5]
+    hit = sum(len({r["vec_id"] for r in got if r["query_id"] == 50 * i} & set(want[i])) for i in range(60))
+    assert len(got) == 300 and hit >= 0.9 * 300
+    assert all(r["score"] == pytest.approx(u[r["query_id"]] @ u[r["vec_id"]], abs=1e-12) for r in got)
+
+
 def test_quality(spark):
     good, bad = "the cat and the dog went home and had some tea", "$$$ %% buy now !!! $$$ win win win"
     rows = [(i, " ".join(random.Random(i).sample((good if i % 3 else bad).split(), 7)), int(i % 3 > 0)) for i in range(300)]
