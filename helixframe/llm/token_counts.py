@@ -7,11 +7,12 @@ gives each block its place and the last separator before it, which closes the do
 """
 
 import base64
-from functools import lru_cache
+import uuid
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,16 +20,36 @@ from pyspark.sql.window import Window
 from helixframe.llm.common import only, prepare, read
 
 BLOCK_TOKENS = 1 << 16
+#: Files above this are read in records of a divisor of their size, as one value can't hold them.
+WHOLE_BYTES = 1 << 30
 EOD = 50256
 SUMMARY = "file string, block long, tokens long, seps long, first long, last long, inner array<long>"
 
 
 def read_token_files(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """Blocks (file, block, data) of flat token files in any store that Spark reads."""
-    whole = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    """Blocks (file, block, data) of flat token files in any store that Spark reads; none for an empty folder or file.
+
+    Bytes behind the last whole id of a file are left out. Files above WHOLE_BYTES are read by ranges, in records of the
+    largest divisor of their size up to a block; there an incomplete last id is an error.
+    """
+    listed = spark.read.format("binaryFile").load(path)
+    big = [(r["path"], r["length"]) for r in listed.select("path", "length").where(F.col("length") > WHOLE_BYTES).collect()]
     size = BLOCK_TOKENS * width
-    n = F.ceil(F.octet_length("content") / size).cast("int")
-    return whole.where(n > 0).select("file", "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("block")).select("file", F.col("block").cast("long"), F.expr(f"substring(content, block * {size} + 1, {size})").alias("data"))
+    n = F.ceil(F.floor(F.octet_length("content") / width) * width / size).cast("int")
+    last = F.floor(F.octet_length("content") / width) * width
+    cut_at = lambda i: F.substring(F.col("content"), i * size + 1, F.least(F.lit(size), (last - i * size).cast("int")))
+    # the blocks leave the row of the file as an array, so that its content is copied once
+    small = listed.where(F.col("length") <= WHOLE_BYTES).select(F.col("path").alias("file"), F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), cut_at)).alias("b"))
+    return reduce(DataFrame.unionByName, [_ranges(spark, p, z, width) for p, z in big], small.select("file", F.posexplode("b").alias("block", "data")).select("file", F.col("block").cast("long"), "data"))
+
+
+def _ranges(spark: SparkSession, path: str, size: int, width: int) -> DataFrame:
+    """Blocks of one file by fixed-length records."""
+    if size % width:
+        raise ValueError(f"{path}: {size} bytes are no whole ids of {width} bytes")
+    record = next(width * r for r in range(min(BLOCK_TOKENS, size // width), 0, -1) if size // width % r == 0)
+    rows = spark.sparkContext.newAPIHadoopFile(path, "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf={"fixedlengthinputformat.record.length": str(record)})
+    return spark.createDataFrame(rows.map(lambda kv: (path, kv[0] // record, kv[1])), "file string, block long, data binary")
 
 
 def count_tokens(blocks: DataFrame, eod: int = EOD, width: int = 2) -> DataFrame:
@@ -78,71 +99,74 @@ def vocabulary() -> tuple[str, str]:
     return p.path("byte_bpe_50k.tiktoken"), p.PATTERN
 
 
-def write_blocks(docs: DataFrame, text: str = "text", key: str = "doc_id", vocab: tuple[str, str] | None = None) -> DataFrame:
-    """The flat token files of docs, one for each task, as rows (file, block, data), and their lists of documents, as
-    rows (file, ordinal, key). Null and empty texts are documents without tokens."""
-    path, pattern = vocab or vocabulary()
+def write_token_files(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", vocab: tuple[str, str] | None = None) -> None:
+    """Write the flat token files of docs, one for each task, to path/kind=tokens, and their lists of keys to
+    path/kind=keys, by Spark's own committed writer: a lost executor leaves no part of a file.
 
-    def encode(batches):
-        from pyspark import TaskContext
-
-        name, enc, rest, block, n = f"part-{TaskContext.get().partitionId():06d}", encoder(path, pattern), [], 0, 0
-        size = 0
-
-        def rows(blocks, keys):
-            return pa.RecordBatch.from_arrays([pa.array([name] * (len(blocks) + len(keys))), pa.array([b for b, _ in blocks] + [None] * len(keys), pa.int64()), pa.array([d for _, d in blocks] + [None] * len(keys), pa.binary()), pa.array([None] * len(blocks) + [o for o, _ in keys], pa.int64()), pa.array([None] * len(blocks) + [k for _, k in keys], pa.int64())], names=["file", "block", "data", "ordinal", "key"])
+    The end-of-document id is the writer's line separator. Null and empty texts are documents without tokens. A key is
+    a flag (1: there), 8 bytes and the separator. An empty table gives no files.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    name, pattern = vocab or vocabulary()
 
+    def encode(batches):
+        enc = encoder(name, pattern)
         for b in batches:
-            keys = [(n + i, k) for i, k in enumerate(b.column(1).to_pylist())]
-            n += len(keys)
-            for t in b.column(0):
-                ids = enc.encode_ordinary(t.as_py() or "")
-                ids.append(EOD)
-                rest.append(np.array(ids, dtype="<u2"))
-                size += len(ids)
-            blocks = []
-            if size >= BLOCK_TOKENS:
-                flat = np.concatenate(rest)
-                for i in range(size // BLOCK_TOKENS):
-                    blocks.append((block, flat[i * BLOCK_TOKENS : (i + 1) * BLOCK_TOKENS].tobytes()))
-                    block += 1
-                rest = [flat[size // BLOCK_TOKENS * BLOCK_TOKENS :]]
-                size = len(rest[0])
-            yield rows(blocks, keys)
-        if size:
-            yield rows([(block, np.concatenate(rest).tobytes())], [])
-
-    return docs.select(F.col(f"`{text}`").alias("t"), F.col(f"`{key}`").cast("long").alias("k")).mapInArrow(encode, "file string, block long, data binary, ordinal long, key long")
+            data = [np.array(enc.encode_ordinary(t.as_py() or ""), dtype="<u2").tobytes() for t in b.column(0)]
+            keys = [bytes(9) if k is None else b"\x01" + k.to_bytes(8, "little", signed=True) for k in b.column(1).to_pylist()]
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(data + keys, pa.binary()), pa.array(["tokens"] * n + ["keys"] * n)], names=["value", "kind"])
+
+    rows = docs.select(F.col(f"`{text}`").cast("string").alias("t"), F.col(f"`{key}`").cast("long").alias("k")).mapInArrow(encode, "value binary, kind string")
+    end = int(EOD).to_bytes(2, "little").decode("latin-1")
+    # two open files for each task instead of a sort: rows stay in order
+    with_conf = "spark.sql.maxConcurrentOutputFileWriters"
+    was = spark.conf.get(with_conf)
+    try:
+        spark.conf.set(with_conf, "8")
+        rows.select(F.col("value").cast("string"), "kind").write.partitionBy("kind").option("encoding", "ISO-8859-1").option("lineSep", end).option("maxRecordsPerFile", 0).option("compression", "none").text(path)
+    finally:
+        spark.conf.set(with_conf, was)
+
+
+def read_keys(spark: SparkSession, path: str) -> DataFrame:
+    """(part, ordinal, key) of the lists that write_token_files left."""
+
+    def parse(batches):
+        for b in batches:
+            for f, d in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                r = np.frombuffer(d.as_buffer(), dtype=np.dtype([("there", "u1"), ("key", "<i8"), ("end", "<u2")]))
+                yield pa.RecordBatch.from_arrays([pa.array([f] * len(r), pa.int32()), pa.array(np.arange(len(r))), pa.array(r["key"].copy(), mask=r["there"] == 0)], names=["part", "ordinal", "key"])
 
+    files = spark.read.format("binaryFile").load(f"{path}/kind=keys").select(_part("path"), "content")
+    return files.mapInArrow(parse, "part int, ordinal long, key long")
 
-def op8_separator_scan(spark, sf_dir: str) -> DataFrame:
-    """Tokens of every whole document, found in the flat token files of the table."""
-    docs = only(read(spark, sf_dir, "documents"), "doc_id", "text")
-    return counts_of(docs)
+
+def _part(path: str):
+    return F.regexp_extract(path, r"/part-(\d+)-[^/]*$", 1).cast("int").alias("part")
 
 
 def counts_of(docs: DataFrame, text: str = "text", key: str = "doc_id", vocab: tuple[str, str] | None = None) -> DataFrame:
-    """(doc_id, file, ordinal, n_tokens) of each row of docs. The scan reads the token stream alone; the list of
-    documents only names what it found. Both leave the encoding task together, so texts are encoded once."""
-    prepare(docs.sparkSession)
-    stream = write_blocks(docs, text, key, vocab)
+    """(key, file, ordinal, n_tokens) of each row of docs, found by a scan of flat token files in the shared folder.
+
+    Null and empty texts have no tokens; repeated rows and rows without a key are documents of their own. An empty table
+    gives no rows."""
+    spark = docs.sparkSession
+    prepare(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tokens-{uuid.uuid4().hex}"
+    write_token_files(docs, path, text, key, vocab)
+    try:
+        found, keys = count_tokens(read_token_files(spark, f"{path}/kind=tokens")), read_keys(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"`{key}` long, file string, ordinal long, n_tokens long")
+    out = keys.join(found.withColumn("part", _part("file")), ["part", "ordinal"])
+    return out.select(F.col("key").alias(key), "file", "ordinal", "n_tokens")
 
-    def scan(batches):
-        for b in batches:
-            for f, k, d, o, key_ in zip(*[b.column(i) for i in range(5)], strict=True):
-                if k.is_valid:
-                    ids = np.frombuffer(d.as_buffer(), dtype="<u2")
-                    at = np.flatnonzero(ids == EOD)
-                    yield pa.RecordBatch.from_arrays([pa.array([f.as_py()]), pa.array([k.as_py()]), pa.array([len(ids)]), pa.array([len(at)]), pa.array([at[0] if len(at) else None], pa.int64()), pa.array([at[-1] if len(at) else None], pa.int64()), pa.array([np.diff(at) - 1], pa.list_(pa.int64())), pa.array([None], pa.int64()), pa.array([None], pa.int64())], names=names)
-            m = b.filter(pa.compute.is_valid(b.column(3)))
-            if m.num_rows:
-                e = [pa.nulls(m.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([m.column(0), *e, m.column(3), m.column(4)], names=names)
-
-    names = ["file", "block", "tokens", "seps", "first", "last", "inner", "ordinal", "key"]
-    from helixframe.llm.common import cut
-
-    both = cut(stream.mapInArrow(scan, SUMMARY + ", ordinal long, key long"))
-    found = stitch(both.where("block is not null").drop("ordinal", "key"))
-    keys = both.where("ordinal is not null").select("file", "ordinal", F.col("key").alias(key))
-    return keys.join(found, ["file", "ordinal"]).select(key, "file", "ordinal", "n_tokens")
+
+def op8_separator_scan(spark, sf_dir: str) -> DataFrame:
+    """Tokens of every whole document, found in the flat token files of the table."""
+    out = counts_of(only(read(spark, sf_dir, "documents"), "doc_id", "text"))
+    return out.select("doc_id", F.regexp_extract("file", r"/(part-\d+)", 1).alias("file"), "ordinal", "n_tokens")

@@ -243,6 +243,30 @@ def test_token_files(spark, tmp_path, monkeypatch):
     assert {(int(r["file"][-5]), r["ordinal"]): r["n_tokens"] for r in rows} == want
 
 
+def test_token_counts_of_odd_rows(spark):
+    d = spark.createDataFrame([(None, "one two"), (1, None), (1, "a b c"), (1, "a b c"), (2, "")], "doc_id long, text string").withColumn("file", F.lit("x"))
+    got = sorted(((r["doc_id"], r["n_tokens"]) for r in token_counts.counts_of(d.repartition(3)).collect()), key=str)
+    assert got == sorted([(None, 2), (1, 0), (1, 3), (1, 3), (2, 0)], key=str)
+    assert token_counts.counts_of(d.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("whole", [1 << 30, 10])
+def test_token_files_by_ranges(spark, tmp_path, monkeypatch, whole):
+    """Files read whole and by ranges; bytes behind the last id are left out, in a range they are an error."""
+    monkeypatch.setattr(token_counts, "BLOCK_TOKENS", 6)
+    monkeypatch.setattr(token_counts, "WHOLE_BYTES", whole)
+    (tmp_path / "a.bin").write_bytes(np.array([1, 2, 50256, 3, 50256, 50256, 4, 5, 6, 7, 8, 50256, 9], "<u2").tobytes())
+    (tmp_path / "b.bin").write_bytes(b"")
+    rows = token_counts.count_tokens(token_counts.read_token_files(spark, str(tmp_path))).collect()
+    assert {r["ordinal"]: r["n_tokens"] for r in rows} == {0: 2, 1: 1, 2: 0, 3: 5, 4: 1}
+    (tmp_path / "c.bin").write_bytes(np.array([50256] * 7, "<u2").tobytes() + b"x")
+    if whole == 10:
+        with pytest.raises(ValueError, match="no whole ids"):
+            token_counts.read_token_files(spark, str(tmp_path))
+    else:
+        assert token_counts.count_tokens(token_counts.read_token_files(spark, str(tmp_path))).where("file like '%c.bin'").count() == 7
+
+
 def test_sentence_pieces(docs, spark):
     import sentencepiece
 
