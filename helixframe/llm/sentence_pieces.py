@@ -1,13 +1,15 @@
 """SentencePiece encoding and decoding as weighted finite-state transduction.
 
-A model file is compiled into three transducers: the normaliser (white space to U+2581, a dummy prefix, and
-optionally fewer blanks), the pieces (a trie that returns to its root, an arc path costs minus the piece's score) and
-byte fallback (a character that no piece holds goes through its bytes at the cost of an unknown piece). A text is
-composed with them and takes the shortest path in the tropical semiring (least sum of costs; ties: the longer last
-piece). For a model of merge type (byte-pair encoding) the pieces are also composed with an acceptor of neighbours: two
-pieces may follow each other only if merging their joint text gives just these two. A cut of a word into pieces is the
-result of its merges if and only if every two neighbours are such a pair, so one path alone has a finite cost and the
-shortest path is the model's own result.
+A model file is compiled into transducers: the normaliser (white space to U+2581, a dummy prefix, and optionally fewer
+blanks), the pieces (a trie that returns to its root; an arc path costs minus the piece's score) and byte fallback (a
+character that no piece holds goes through its bytes at the cost of an unknown piece). A text is composed with them and
+takes the shortest path in the tropical semiring: all arcs of the composition lead forward, so its states are relaxed in
+the order of their places (least sum of costs; ties: the longer last piece).
+
+For a model of merge type (byte-pair encoding), whose scores are the ranks of its merges, the pieces are also composed
+with an acceptor of neighbours: two pieces may follow each other only if merging their joint text, least cost first,
+gives just these two. So a state is a place and the piece that ends there. A cut of a word into pieces is the result of
+its merges if and only if every two neighbours are such a pair, so one path has a finite cost, and it is the model's own.
 
 As no piece holds U+2581 behind another sign, every path passes the state before such a sign: a text is composed word
 by word, and the paths of frequent words are kept.
@@ -16,6 +18,7 @@ by word, and the paths of frequent words are kept.
 import re
 import struct
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,9 @@ from helixframe.llm.common import only, prepare, read, wider
 
 SPACE = "▁"
 #: Kept paths of a worker; beyond that it begins anew.
-KEPT = 500_000
+KEPT = 1_000_000
+#: Characters of texts that are encoded together.
+CHUNK = 1 << 20
 #: Added to the cost of the worst piece for a character outside of all pieces.
 UNKNOWN = 10.0
 NORMAL, UNK, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -58,6 +63,28 @@ def fields(b: bytes):
         i += n
 
 
+def normaliser(prefix: bool, squeeze: bool, escape: bool) -> dict[tuple[int, bool], tuple[int, str, bool]]:
+    """Transducer of a text's signs: (state, is a blank) to (state, output, whether the sign itself follows).
+    States: 0 before the text, 1 in it, 2 behind blanks that are put out only if another sign comes."""
+    blank = SPACE if escape else " "
+    lead = blank if prefix else ""
+    if squeeze:
+        return {(0, True): (0, "", False), (0, False): (1, lead, True), (1, True): (2, "", False), (1, False): (1, "", True), (2, True): (2, "", False), (2, False): (1, blank, True)}
+    return {(0, True): (1, lead + blank, False), (0, False): (1, lead, True), (1, True): (1, blank, False), (1, False): (1, "", True)}
+
+
+class Paths(dict):
+    """Paths of words, found when they are first asked for."""
+
+    def __init__(self, path):
+        super().__init__()
+        self.path = path
+
+    def __missing__(self, word):
+        p = self[word] = self.path(word)
+        return p
+
+
 class Transducer:
     """Compiled model: encode(text) and decode(ids)."""
 
@@ -74,6 +101,7 @@ class Transducer:
         if norm.get(2):
             raise ValueError("models with a character map in their normaliser are not supported")
         self.prefix, self.squeeze, self.escape = norm.get(3, 1), norm.get(4, 1), norm.get(5, 1)
+        self.normaliser = normaliser(self.prefix, self.squeeze, self.escape)
         self.byte = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(self.pieces) if k == BYTE}
         self.unk = next((i for i, (_, _, k) in enumerate(self.pieces) if k == UNK), 0)
         usable = [(p, -s, i) for i, (p, s, k) in enumerate(self.pieces) if k in (NORMAL, USER) and p]
@@ -87,21 +115,33 @@ class Transducer:
         cross = any(SPACE in p.lstrip(SPACE) for p, _, _ in usable)
         self.words = re.compile(r"(?s).+" if cross else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         self.out = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.replace(SPACE, " ").encode() for p, _, k in self.pieces]
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.start = np.concatenate([[0], np.cumsum([len(x) for x in self.out])])
+        self.flat = np.frombuffer(b"".join(self.out), np.uint8)
+        self.kept = Paths(self.path)
         self.cost = {p: c for p, c, _ in usable}
         self.ids = {p: i for p, _, i in usable}
         self.longest = max(map(len, self.ids), default=1)
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.rim: dict[str, tuple | None] = {}
 
     def normalise(self, text: str) -> str:
+        """The normaliser's output, by substitutions of whole runs; ``transduce`` goes through it sign by sign."""
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
         if self.prefix and text:
             text = " " + text
         return text.replace(" ", SPACE) if self.escape else text
 
+    def transduce(self, text: str) -> str:
+        state, out = 0, []
+        for c in text:
+            state, put, same = self.normaliser[state, c == " "]
+            out += [put, c] if same else [put]
+        return "".join(out)
+
     def merged(self, text: str) -> list[str]:
-        """Pieces of a short text by merges of least cost, the leftmost first among equals."""
+        """Pieces of a short text by merges of least cost, the leftmost first among equals (what ``neighbours`` tells of two
+        pieces without merging them)."""
         parts, inf = list(text), float("inf")
         while len(parts) > 1:
             costs = [self.cost.get(a + b, inf) for a, b in zip(parts, parts[1:], strict=False)]
@@ -112,92 +152,145 @@ class Transducer:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def rims(self, p: str):
+        """(first parts, their costs, last parts, their costs, regular) while the merges build piece p: the cost of a part
+        is that of the merge which takes it in. None if merging does not give p. Regular: costs never fall."""
+        got = self.rim.get(p, ())
+        if got != ():
+            return got
+        parts, first, last, lows = list(p), [], [], []
+        heads, tails = [p[0]], [p[-1]]
+        while len(parts) > 1:
+            costs = [self.cost.get(a + b, float("inf")) for a, b in zip(parts, parts[1:], strict=False)]
+            low = min(costs)
+            if low == float("inf"):
+                break
+            i = costs.index(low)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            lows.append(low)
+            if i == 0:
+                first.append(low)
+                heads.append(parts[0])
+            if i == len(parts) - 1:
+                last.append(low)
+                tails.append(parts[-1])
+        inf = [float("inf")]
+        got = self.rim[p] = (heads, first + inf, tails, last + inf, lows == sorted(lows)) if len(parts) == 1 else None
+        return got
+
     def neighbours(self, a: str, b: str) -> bool:
+        """Whether merging a and b together gives just a and b: no merge over their border may come before the next merge
+        of either side; of equal ones the left comes first."""
         ok = self.pairs.get((a, b))
         if ok is None:
             if len(self.pairs) >= 4 * KEPT:
                 self.pairs.clear()
-            ok = self.pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+            x, y = self.rims(a) if a else True, self.rims(b)
+            if not x or not y or not a:
+                ok = bool(x and y)
+            elif not (x[4] and y[4]):
+                ok = self.merged(a + b) == [a, b]
+            else:
+                (_, _, tails, to_a, _), (heads, to_b, _, _, _), inf = x, y, float("inf")
+                i = j = 0
+                while True:
+                    over, left, right = self.cost.get(tails[i] + heads[j], inf), to_a[i], to_b[j]
+                    if over < left and over <= right:
+                        ok = False
+                        break
+                    if left == right == inf:
+                        ok = True
+                        break
+                    if left <= right:
+                        i += 1
+                    else:
+                        j += 1
+            self.pairs[a, b] = ok
         return ok
 
-    def lone_path(self, word: str) -> tuple[int, ...]:
-        """The only path of finite cost through one word of a model of merge type, depth first, long pieces first.
-        A place that was left once is never reached again, as the pieces before it are the same on every way."""
-        n, ids, ok, longest = len(word), self.ids, self.neighbours, self.longest
-        ends, dead = [0], set()
-        last, j = "", min(n, longest)
-        while ends[-1] < n:
-            i = ends[-1]
-            while j > i:
-                p = word[i:j]
-                if (p in ids or j == i + 1) and j not in dead and (ok(last, p) if last else i == 0 and (len(p) == 1 or ok("", p))):
-                    break
-                j -= 1
-            if j > i:
-                ends.append(j)
-                last, j = p, min(n, j + longest)
-            else:
-                dead.add(i)
-                j = ends.pop() - 1
-                last = word[ends[-2] : ends[-1]] if len(ends) > 1 else ""
+    def arcs(self, word: str, i: int):
+        """(end, cost, id) of the pieces that begin at place i; the fallback of its sign (id None) if it is no piece."""
+        at, j, lone = self.trie, i, True
+        while j < len(word):
+            at = at.get(word[j])
+            if at is None:
+                break
+            j += 1
+            end = at.get("")
+            if end is not None:
+                lone = lone and j > i + 1
+                yield j, *end
+        if lone:
+            yield i + 1, self.unknown, None
+
+    def path(self, word: str) -> tuple[int, ...]:
+        """Shortest path through the composition with one word."""
+        n = len(word)
+        before, pieces = self.with_acceptor(word) if self.merges else self.relaxed(word)
         out = []
-        for i, j in zip(ends, ends[1:], strict=False):
-            p = ids.get(word[i:j])
-            if p is None:
-                out += [self.byte.get(b, self.unk) for b in word[i:j].encode()] if self.byte else [self.unk]
+        while n:
+            if pieces[n] is not None:
+                out.append(pieces[n])
             else:
-                out.append(p)
-        return tuple(out)
+                out += [self.byte.get(b, self.unk) for b in reversed(word[before[n] : n].encode())] if self.byte else [self.unk]
+            n = before[n]
+        return tuple(reversed(out))
 
-    def path(self, word: str) -> tuple[int, ...]:
-        """Shortest path through one word."""
-        if self.merges:
-            return self.lone_path(word)
+    def relaxed(self, word: str):
+        """(place before, id) of the best arc into each place."""
         n = len(word)
-        best, back = [0.0] + [float("inf")] * n, [None] * (n + 1)
+        best, before, pieces = [0.0] + [float("inf")] * n, [0] * (n + 1), [None] * (n + 1)
         for i in range(n):
-            here, at, j = best[i], self.trie, i
-            if here == float("inf"):
+            for j, cost, piece in self.arcs(word, i):
+                if best[i] + cost < best[j]:
+                    best[j], before[j], pieces[j] = best[i] + cost, i, piece
+        return before, pieces
+
+    def with_acceptor(self, word: str):
+        """The same with the acceptor of neighbours: a state is a place and the last piece. The pieces of a finite path to
+        a place are the merges' result for the word up to there, so a place has one state of finite cost at most."""
+        n, pairs, trie = len(word), self.pairs, self.trie
+        last, before, pieces = [""] + [None] * n, [0] * (n + 1), [None] * (n + 1)
+        for i in range(n):
+            a = last[i]
+            if a is None:
                 continue
-            lone = True
+            at, j = trie, i
             while j < n:
                 at = at.get(word[j])
                 if at is None:
                     break
                 j += 1
-                end = at.get("")
-                if end is not None:
-                    lone = lone and j > i + 1
-                    if here + end[0] < best[j]:
-                        best[j], back[j] = here + end[0], (i, end[1])
-            if lone and here + self.unknown < best[i + 1]:
-                best[i + 1], back[i + 1] = here + self.unknown, (i, None)
-        out = []
-        while n:
-            i, p = back[n]
-            if p is None:
-                out += [self.byte.get(b, self.unk) for b in reversed(word[i:n].encode())] if self.byte else [self.unk]
-            else:
-                out.append(p)
-            n = i
-        return tuple(reversed(out))
+                if "" in at and last[j] is None:
+                    p = word[i:j]
+                    ok = pairs.get((a, p))
+                    if self.neighbours(a, p) if ok is None else ok:
+                        last[j], before[j], pieces[j] = p, i, at[""][1]
+            if last[i + 1] is None and word[i] not in self.ids:
+                last[i + 1], before[i + 1] = word[i], i
+        return before, pieces
 
     def encode(self, text: str) -> np.ndarray:
         return self.checked(text)[0]
 
     def checked(self, text: str) -> tuple[np.ndarray, bool]:
         """Ids of a text, and whether the finished ids decode to its normal form."""
-        kept, out, whole = self.kept, [], self.normalise(text)
-        for w in self.words.findall(whole):
-            p = kept.get(w)
-            if p is None:
-                p = self.path(w)
-                if len(kept) >= KEPT:
-                    kept.clear()
-                kept[w] = p
-            out += p
-        ids = np.array(out, dtype=np.int32)
-        return ids, b"".join(map(self.out.__getitem__, ids.tolist())) == whole.replace(SPACE, " ").encode()
+        ids, good = self.checked_all([text])
+        return ids[0], good[0]
+
+    def checked_all(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """The same for many texts, whose ids are decoded together."""
+        if len(self.kept) >= KEPT:
+            self.kept.clear()
+        whole = [self.normalise(t) for t in texts]
+        ids = [np.fromiter(chain.from_iterable(map(self.kept.__getitem__, self.words.findall(t))), np.int32) for t in whole]
+        want = [t.replace(SPACE, " ").encode() for t in whole]
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        size = self.start[flat + 1] - self.start[flat]
+        end = np.cumsum(size)
+        back = self.flat[np.repeat(self.start[flat] - (end - size), size) + np.arange(end[-1] if len(end) else 0)].tobytes()
+        at = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(int)]
+        return ids, [back[a:b] == w for a, b, w in zip(at, at[1:], want, strict=False)]
 
     def decode(self, ids) -> str:
         """Text of ids. Each U+2581 of a text comes back as a blank; bytes that are no UTF-8 as U+FFFD."""
@@ -221,22 +314,27 @@ def model_path() -> str:
 def encode(docs: DataFrame, text: str = "text", model: str | None = None, verify: bool = False) -> DataFrame:
     """docs with pieces (array of ids), n_pieces and, if asked for, round_trip (decoding gives the normalised text).
 
-    Null texts have null pieces, 0 and true; empty texts no pieces. Repeated rows get equal results. The model file is
-    read on the worker from the path given (installed with the tokenizers).
+    Null texts have null pieces, 0 and true; empty texts no pieces. Repeated rows get equal results, an empty table gives
+    no rows, and an input column with the name of a result gives way to it. The model file is read on the worker from the
+    path given (installed with the tokenizers).
     """
     prepare(docs.sparkSession)
+    docs = docs.drop("pieces", "n_pieces", *(["round_trip"] if verify else []))
     path, at = model or model_path(), docs.columns.index(text)
     more = {"pieces": "array<int>", "n_pieces": "long"} | ({"round_trip": "boolean"} if verify else {})
 
     def run(batches):
         t = compiled(path)
         for b in batches:
-            ids, ok = [], []
-            for x in b.column(at):
-                s = x.as_py()
-                got, good = (None, True) if s is None else t.checked(s)
-                ids.append(got)
-                ok.append(good)
+            texts = b.column(at).to_pylist()
+            ids, ok = [None] * len(texts), [True] * len(texts)
+            some = [i for i, s in enumerate(texts) if s is not None]
+            while some:
+                size = np.cumsum([len(texts[i]) for i in some])
+                n = max(1, int(np.searchsorted(size, CHUNK, side="right")))
+                for i, got, good in zip(some[:n], *t.checked_all([texts[i] for i in some[:n]]), strict=True):
+                    ids[i], ok[i] = got, good
+                some = some[n:]
             n = pa.array([0 if i is None else len(i) for i in ids], pa.int64())
             off = np.concatenate([[0], np.cumsum(n.to_numpy())]).astype(np.int32)
             flat = np.concatenate([i for i in ids if i is not None] or [np.zeros(0, np.int32)])

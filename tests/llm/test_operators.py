@@ -292,6 +292,48 @@ def test_round_trip_decodes_the_finished_ids():
     assert not t.checked("one two three")[1] and t.checked("one three")[1]
 
 
+def test_normaliser():
+    with open(sentence_pieces.model_path(), "rb") as f:
+        t = sentence_pieces.Transducer(f.read())
+    rng = random.Random(6)
+    for squeeze in (0, 1):
+        for prefix in (0, 1):
+            t.squeeze, t.prefix, t.normaliser = squeeze, prefix, sentence_pieces.normaliser(prefix, squeeze, 1)
+            for _ in range(200):
+                text = "".join(rng.choice("  ab▁é") for _ in range(rng.randrange(0, 12)))
+                assert t.transduce(text) == t.normalise(text)
+
+
+def test_neighbours_of_pieces():
+    """The acceptor against merging the joint text."""
+    with open(sentence_pieces.model_path(), "rb") as f:
+        t = sentence_pieces.Transducer(f.read())
+    rng, names = random.Random(4), sorted(t.ids)
+    short = [p for p in names if len(p) <= 3]
+    pairs = [(rng.choice(names), rng.choice(names)) for _ in range(4000)] + [(rng.choice(short), rng.choice(short)) for _ in range(8000)] + [(p[: len(p) // 2], p[len(p) // 2 :]) for p in names[::7] if len(p) > 1]
+    assert [t.neighbours(a, b) for a, b in pairs] == [t.merged(a + b) == [a, b] for a, b in pairs]
+
+
+def test_one_path_of_neighbours():
+    """Of all cuts of a word into pieces, the acceptor leaves the library's alone."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.model_path())
+    with open(sentence_pieces.model_path(), "rb") as f:
+        t = sentence_pieces.Transducer(f.read())
+
+    def cuts(word, i, last):
+        if i == len(word):
+            yield ()
+            return
+        for j, _, piece in t.arcs(word, i):
+            if t.neighbours(last, word[i:j]) or (not last and j == i + 1):
+                yield from ((piece, *rest) for rest in cuts(word, j, word[i:j]))
+
+    for word in ("unbelievable", "aaaaaaa", "xyzzyx", "internationalisation", "banana"):
+        assert [list(c) for c in cuts("▁" + word, 0, "")] == [lib.encode(word)] == [list(t.path("▁" + word))]
+
+
 def test_unigram_shortest_path():
     t = sentence_pieces.Transducer.__new__(sentence_pieces.Transducer)
     pieces = {"a": -1.0, "b": -1.0, "ab": -1.5, "abc": -5.0, "c": -1.2}
