@@ -24,7 +24,7 @@ ROUNDS, SWEEPS = 1, 3
 #: Candidates of a query that are reranked exactly.
 RERANK = 400
 #: Bytes of the queries that are broadcast at once; queries scored together; codes scored together; codes of a task.
-QUERY_BYTES, TILE, CHUNK, TASK_CODES = 4 << 20, 256, 16_384, 1 << 18
+QUERY_BYTES, TILE, CHUNK, TASK_CODES = 4 << 20, 128, 16_384, 1 << 20
 
 
 def valid(df: DataFrame, vec: str) -> DataFrame:
@@ -170,11 +170,31 @@ def _block(spark, codes: DataFrame, b: DataFrame, books: np.ndarray, qid: np.nda
                     held, size = [], 0
         if held:
             add(held)
-        for t, (s, i) in enumerate(best):
-            yield pd.DataFrame({"u": np.repeat(np.arange(t * TILE, t * TILE + len(s)), s.shape[1]), "id": i.ravel(), "s": s.ravel()})
+        yield pd.DataFrame([(t, i.shape[1], i.tobytes(), s.tobytes()) for t, (s, i) in enumerate(best)], columns=["tile", "n", "id", "s"])
 
-    found = codes.select("id", "code", "norm").mapInPandas(lookup, "u long, id long, s float")
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "id"))).where(F.col("r") <= RERANK)
+    def merge(batches):
+        """The best of each tile over all tasks, whose rows come together and are taken in one after the other."""
+        at, s, i = -1, None, None
+
+        def told():
+            return pd.DataFrame({"u": np.repeat(np.arange(at * TILE, at * TILE + len(s)), s.shape[1]), "id": i.ravel()})
+
+        for t in batches:
+            for tile, n, ids, scores in t.itertuples(index=False):
+                more_s, more_i = np.frombuffer(scores, np.float32).reshape(-1, n), np.frombuffer(ids, np.int64).reshape(-1, n)
+                if tile != at:
+                    if at >= 0:
+                        yield told()
+                    at, s, i = tile, more_s, more_i
+                else:
+                    s, i = np.concatenate([s, more_s], axis=1), np.concatenate([i, more_i], axis=1)
+                    top = np.argpartition(-s, min(RERANK, s.shape[1]) - 1, axis=1)[:, :RERANK]
+                    s, i = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
+        if at >= 0:
+            yield told()
+
+    found = codes.select("id", "code", "norm").mapInPandas(lookup, "tile int, n int, id binary, s binary")
+    best = found.repartition("tile").sortWithinPartitions("tile").mapInPandas(merge, "u long, id long")
 
     def rerank(batches):
         ask, m = shared.value

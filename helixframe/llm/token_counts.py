@@ -17,30 +17,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from helixframe.llm.common import only, prepare, read
+from helixframe.llm.common import cut, only, prepare, read
 
 BLOCK_TOKENS = 1 << 16
-#: Files above this are read in records of a divisor of their size, as one value can't hold them.
-WHOLE_BYTES = 1 << 30
+#: Files above this are read by ranges, in records of a divisor of their size.
+WHOLE_BYTES = 256 << 20
 EOD = 50256
-SUMMARY = "file string, block long, tokens long, seps long, first long, last long, inner array<long>"
+SUMMARY = "file string, block long, sub long, tokens long, seps long, first long, last long, inner array<long>"
 
 
 def read_token_files(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """Blocks (file, block, data) of flat token files in any store that Spark reads; none for an empty folder or file.
+    """Ranges (file, block, data) of flat token files in any store that Spark reads; none for an empty folder.
 
-    Bytes behind the last whole id of a file are left out. Files above WHOLE_BYTES are read by ranges, in records of the
-    largest divisor of their size up to a block; there an incomplete last id is an error.
+    Files up to WHOLE_BYTES are one range. Those above are read in records of the largest divisor of their size up to
+    BLOCK_TOKENS ids; an incomplete id at their end is an error.
     """
     listed = spark.read.format("binaryFile").load(path)
     big = [(r["path"], r["length"]) for r in listed.select("path", "length").where(F.col("length") > WHOLE_BYTES).collect()]
-    size = BLOCK_TOKENS * width
-    n = F.ceil(F.floor(F.octet_length("content") / width) * width / size).cast("int")
-    last = F.floor(F.octet_length("content") / width) * width
-    cut_at = lambda i: F.substring(F.col("content"), i * size + 1, F.least(F.lit(size), (last - i * size).cast("int")))
-    # the blocks leave the row of the file as an array, so that its content is copied once
-    small = listed.where(F.col("length") <= WHOLE_BYTES).select(F.col("path").alias("file"), F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), cut_at)).alias("b"))
-    return reduce(DataFrame.unionByName, [_ranges(spark, p, z, width) for p, z in big], small.select("file", F.posexplode("b").alias("block", "data")).select("file", F.col("block").cast("long"), "data"))
+    small = listed.where(F.col("length") <= WHOLE_BYTES).select(F.col("path").alias("file"), F.lit(0).cast("long").alias("block"), F.col("content").alias("data"))
+    return reduce(DataFrame.unionByName, [_ranges(spark, p, z, width) for p, z in big], small)
 
 
 def _ranges(spark: SparkSession, path: str, size: int, width: int) -> DataFrame:
@@ -52,29 +47,36 @@ def _ranges(spark: SparkSession, path: str, size: int, width: int) -> DataFrame:
     return spark.createDataFrame(rows.map(lambda kv: (path, kv[0] // record, kv[1])), "file string, block long, data binary")
 
 
-def count_tokens(blocks: DataFrame, eod: int = EOD, width: int = 2) -> DataFrame:
+def count_tokens(ranges: DataFrame, eod: int = EOD, width: int = 2) -> DataFrame:
     """(file, ordinal, n_tokens): tokens of each document of each file, separators not counted.
 
-    Blocks: (file, block, data), whole ids. Tokens after the last separator of a file are a document of their own
-    if there are any; two separators in a row enclose an empty document; an empty file has none.
+    Ranges: (file, block, data), of whole ids but the last of a file, where bytes behind the last whole id are left out.
+    Tokens after the last separator of a file are a document of their own if there are any; two separators in a row
+    enclose an empty document; an empty file has none.
     """
     kind = np.dtype("<u2" if width == 2 else "<u4")
+    names = [f.split()[0] for f in SUMMARY.split(", ")]
 
     def scan(batches):
         for b in batches:
-            out = []
             for f, k, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                ids = np.frombuffer(d.as_buffer() or b"", dtype=kind)
-                at = np.flatnonzero(ids == eod)
-                out.append((f, k, len(ids), len(at), int(at[0]) if len(at) else None, int(at[-1]) if len(at) else None, (np.diff(at) - 1).tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["file", "block", "tokens", "seps", "first", "last", "inner"]) if out else pa.RecordBatch.from_pylist([])
+                data = memoryview(d.as_buffer() or b"")
+                ids, out = np.frombuffer(data[: len(data) // width * width], dtype=kind), []
+                for i in range(0, len(ids), BLOCK_TOKENS):
+                    own = ids[i : i + BLOCK_TOKENS]
+                    at = np.flatnonzero(own == eod)
+                    out.append((f, k, i // BLOCK_TOKENS, len(own), len(at), int(at[0]) if len(at) else None, int(at[-1]) if len(at) else None, (np.diff(at) - 1).tolist()))
+                if out:
+                    kinds = (pa.string(), *[pa.int64()] * 6, pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return stitch(blocks.select("file", F.col("block").cast("long"), "data").mapInArrow(scan, SUMMARY))
+    # files are wide rows: one of them is in memory at a time, and they are read once
+    return stitch(cut(ranges.select("file", F.col("block").cast("long"), "data").mapInArrow(scan, SUMMARY), 1))
 
 
 def stitch(summaries: DataFrame) -> DataFrame:
     """Documents of files from the summaries of their blocks."""
-    w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("file").orderBy("block", "sub").rowsBetween(Window.unboundedPreceding, -1)
     s = summaries.withColumn("base", F.coalesce(F.sum("tokens").over(w), F.lit(0))).withColumn("docs", F.coalesce(F.sum("seps").over(w), F.lit(0)))
     s = s.withColumn("prev", F.coalesce(F.max(F.col("base") + F.col("last")).over(w), F.lit(-1)))
     inside = s.where("seps > 0").select("file", F.posexplode(F.concat(F.array(F.col("base") + F.col("first") - F.col("prev") - 1), "inner")).alias("i", "n"), "docs")
