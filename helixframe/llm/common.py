@@ -11,10 +11,14 @@ ARROW_ROWS = 512
 
 
 def prepare(spark: SparkSession) -> None:
-    """Set the checkpoint folder (only where the cluster names none) and small Arrow batches."""
+    """Set the checkpoint folder that the session names and small Arrow batches. A session of one machine that names none
+    gets a folder of its own; on a cluster that is an error, as executors would not share it."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hx-checkpoint-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="hx-checkpoint-"))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
@@ -43,6 +47,12 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def rest(df: DataFrame, text: str, *results: str):
+    """Struct r of the columns of df but the text and those with the name of a result, which gives way to it."""
+    taken = {text.lower(), *(n.lower() for n in results)}
+    return F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]).alias("r")
+
+
 def wider(df: DataFrame, **more: str) -> str:
     """Schema text of df with more columns."""
     return ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields], *[f"`{k}` {v}" for k, v in more.items()]])

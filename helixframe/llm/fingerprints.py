@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from helixframe.llm.common import cut, only, read
+from helixframe.llm.common import cut, only, read, rest
 
 #: Most buckets of neighbours by id; each is sorted in one task, with spilling.
 MAX_BUCKETS = 10_000
@@ -46,13 +46,14 @@ def collisions(docs: DataFrame, text: str = "text") -> DataFrame | None:
 
 
 def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with ``fingerprint``; null text counts as empty, an empty table gives no rows, repeated rows stay.
+    """docs with ``fingerprint``; null text counts as empty, an empty table gives no rows, repeated rows stay. An input
+    column of that name gives way to it.
 
     Equal canonical texts have equal fingerprints and different ones different fingerprints, as the bytes are
     compared inside each bucket.
     """
-    keyed = docs.withColumn("_canon", canonical(F.col(f"`{text}`"))).withColumn("_fp", digest(F.col("_canon")))
-    return _named(keyed, collisions(docs, text)).drop("_canon")
+    keyed = docs.select(rest(docs, "fingerprint"), canonical(F.col(f"`{text}`")).alias("_canon")).withColumn("_fp", digest(F.col("_canon")))
+    return _named(keyed, collisions(docs, text)).select("r.*", "fingerprint").drop("_")
 
 
 def _named(keyed: DataFrame, odd: DataFrame | None) -> DataFrame:

@@ -18,6 +18,8 @@ from helixframe.llm.text_kernel import U, mix, pieces
 
 DIM = 1024
 N = 3
+#: N-grams whose vectors are in memory at once.
+GRAMS = 4096
 #: Languages are few; more distinct labels than this are refused, as prototypes are broadcast.
 MAX_LANGUAGES = 10_000
 
@@ -36,8 +38,9 @@ def symbol(cp: int) -> int:
     return ord(c.lower()[0]) if c.isalpha() else 0
 
 
-def gram_counts(data: np.ndarray, off: np.ndarray):
-    """(counts of n-grams by text, their vectors, texts with a letter) of one piece."""
+def profiles(data: np.ndarray, off: np.ndarray):
+    """(bundled vectors by text, numbers of n-grams, texts with a letter) of one piece. The vectors of the n-grams are
+    made for GRAMS of them at a time."""
     rows = len(off) - 1
     cps = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
     at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[off]  # code points before each text
@@ -56,26 +59,29 @@ def gram_counts(data: np.ndarray, off: np.ndarray):
     has = np.bincount(doc[s != 0], minlength=rows) > 0
     n = len(s) - N + 1
     if n <= 0:
-        return np.zeros((rows, 0), np.float32), np.zeros((0, DIM), np.float32), has
+        return np.zeros((rows, DIM), np.float32), np.zeros(rows), has
     a = len(alphabet)
     code = (s[:n] * a + s[1 : n + 1]) * a + s[2 : n + 2]
     # the n-gram belongs to the text of its middle letter; grams around a gap between texts carry no letter pair
     row = doc[1 : n + 1]
     ok = (s[1 : n + 1] != 0) | ((s[:n] != 0) & (s[2 : n + 2] != 0) & (doc[:n] == doc[2 : n + 2]))
     code, row = code[ok], row[ok]
-    if a**3 <= 1 << 24:
-        mark = np.zeros(a**3, bool)
-        mark[code] = True
-        grams = np.flatnonzero(mark)
-        where = np.cumsum(mark) - 1
-        gi = where[code]
-    else:
-        grams, gi = np.unique(code, return_inverse=True)
-    counts = np.bincount(row * len(grams) + gi, minlength=rows * len(grams)).reshape(rows, len(grams)).astype(np.float32)
+    pair, count = np.unique(code * rows + row, return_counts=True)
+    gram, row = pair // rows, pair % rows
     base = np.stack([letter(int(x)) for x in alphabet])
     first, second = np.roll(base, 2, axis=1), np.roll(base, 1, axis=1)
-    vec = (first[grams // (a * a)] * second[grams // a % a] * base[grams % a]).astype(np.float32)
-    return counts, vec, has
+    out = np.zeros((rows, DIM), np.float32)
+    new = np.ones(len(gram), bool)
+    new[1:] = gram[1:] != gram[:-1]
+    number = np.cumsum(new) - 1
+    grams = gram[new]
+    for i in range(0, len(grams), GRAMS):
+        g = grams[i : i + GRAMS]
+        at = slice(*np.searchsorted(number, (i, i + len(g))))
+        counts = np.zeros((rows, len(g)), np.float32)
+        counts[row[at], number[at] - i] = count[at]
+        out += counts @ (first[g // (a * a)] * second[g // a % a] * base[g % a]).astype(np.float32)
+    return out, np.bincount(row, weights=count, minlength=rows), has
 
 
 def parts(data: np.ndarray, off: np.ndarray, most: int = 256):
@@ -95,13 +101,13 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
             tags = np.array(b.column(1).to_pylist(), dtype=object)
             for i, n, data, off in pieces(b.column(0)):
                 for j, d, o in parts(data, off):
-                    counts, vec, has = gram_counts(d, o)
+                    vec, n_grams, has = profiles(d, o)
                     t = tags[i + j : i + j + len(o) - 1]
-                    share = counts / np.maximum(counts.sum(1, keepdims=True), 1)
+                    share = vec / np.maximum(n_grams, 1)[:, None]
                     for tag in set(t):
                         m = (t == tag) & has
                         if m.any():
-                            total[tag] = total.get(tag, 0) + (share[m].sum(0) @ vec).astype(np.float64)
+                            total[tag] = total.get(tag, 0) + share[m].sum(0, dtype=np.float64)
         yield pa.RecordBatch.from_pydict({"lang": list(total), "v": [v.tolist() for v in total.values()]}, schema=pa.schema([("lang", pa.string()), ("v", pa.list_(pa.float64()))]))
 
     rows = docs.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").cast("string").alias("l"))
@@ -116,8 +122,10 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
     """docs with lang_pred and score (cosine, cut to 0..1); ``und`` and 0 for null texts, texts without a letter, or
-    if nothing was learned. Ties go to the first language by name. Repeated rows get equal results."""
+    if nothing was learned. Ties go to the first language by name. Repeated rows get equal results, an empty table gives
+    no rows, and an input column with the name of a result gives way to it."""
     prepare(docs.sparkSession)
+    docs = docs.drop("lang_pred", "score")
     names = list(prototypes)
     proto = np.stack(list(prototypes.values())).astype(np.float32) if names else np.zeros((0, DIM), np.float32)
     out_schema = wider(docs, lang_pred="string", score="double")
@@ -128,10 +136,9 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
             tag, score = np.full(b.num_rows, "und", dtype=object), np.zeros(b.num_rows)
             for i, n, data, off in pieces(b.column(at)):
                 for j, d, o in parts(data, off):
-                    counts, vec, has = gram_counts(d, o)
+                    docv, _, has = profiles(d, o)
                     if not names or not has.any():
                         continue
-                    docv = counts @ vec
                     cos = (docv @ proto.T) / np.maximum(np.linalg.norm(docv, axis=1, keepdims=True), 1e-12)
                     cos = np.round(cos.astype(np.float64), 6)
                     best = cos.argmax(1)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from helixframe.llm.common import only, read
+from helixframe.llm.common import only, read, rest
 
 # Phrases that must stand word for word, and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -51,8 +51,7 @@ def scan(docs: DataFrame, text: str = "text", base=BASE, notices=NOTICES) -> Dat
         [(t, j, w[j], w[j + 1], len(w) - 1, lab, exact, *[1 << j - i * BITS if i * BITS <= j < (i + 1) * BITS else 0 for i in range(len(masks))]) for t, w, lab, exact in temps for j in range(len(w) - 1)],
         f"t int, j int, a string, b string, need int, label string, exact boolean, {', '.join(f'{m} long' for m in masks)}",
     ).withColumn("h", F.xxhash64("a", "b"))
-    keep = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text and c.lower() not in RESULT]).alias("r") if set(docs.columns) - {text, *RESULT} else F.struct(F.lit(0)).alias("r")
-    words = docs.select(keep, F.array_remove(F.split(F.translate(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), UPPER, LOWER), BREAK), "").alias("words"))
+    words = docs.select(rest(docs, text, *RESULT), F.array_remove(F.split(F.translate(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), UPPER, LOWER), BREAK), "").alias("words"))
     # a text's last word has no second one, so its pair equals no template pair
     gram = lambda w, i: F.struct(F.xxhash64(w, F.try_element_at("words", i + 2)).alias("h"), w.alias("a"), F.try_element_at("words", i + 2).alias("b"))
     grams = words.select("r", F.monotonically_increasing_id().alias("u"), F.size("words").cast("long").alias("n"), F.transform("words", gram).alias("g"))
@@ -81,7 +80,7 @@ def scan(docs: DataFrame, text: str = "text", base=BASE, notices=NOTICES) -> Dat
         F.first("r").alias("r"), F.max("n").alias("n_words"), F.array_sort(F.collect_list(place)).alias("places"), F.count(F.when(exact, 1)).alias("n_base"), F.min(F.when(exact, F.col("lo"))).cast("long").alias("first_word"), F.max(F.when(exact, F.col("lo"))).cast("long").alias("last_word"),
         join(F.when(exact, F.col("label"))).alias("base_labels"), join(F.when(F.col("hit"), F.col("label"))).alias("labels"), F.coalesce(F.max(F.when(F.col("hit"), F.col("share"))), F.lit(0.0)).alias("score"),
     )
-    return out.select("r.*", *RESULT)
+    return out.select("r.*", *RESULT).drop("_")
 
 
 def op4_diagonal_voting(spark, sf_dir: str) -> DataFrame:

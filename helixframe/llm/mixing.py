@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from helixframe.llm.common import cut, only, prepare, read
+from helixframe.llm.common import cut, only, prepare, read, rest
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -48,13 +48,13 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
 
     Size: number of white-space separated words (null: 0), or the column expression ``size``. Documents without
     words take nothing. Null is a source of its own, the last one. Repeated rows are documents of their own. An
-    empty table gives no rows. The order of a source's documents comes from a hash of key and text, so reruns agree.
+    empty table gives no rows. An input column with the name of a result gives way to it. The order of a source's documents comes from a hash of key and text, so reruns agree.
     """
     spark = docs.sparkSession
     prepare(spark)
     words = F.regexp_count(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long") if size is None else size
     h = F.xxhash64(F.col(f"`{key}`").cast("string"), F.lit("mix"))
-    rows = cut(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("r"), F.col(f"`{source}`").alias("s"), words.alias("z"), h.alias("h"), F.xxhash64(F.col(f"`{text}`")).alias("x"), F.monotonically_increasing_id().alias("u")))
+    rows = cut(docs.select(rest(docs, text, "size", "source_size", "target", "taken"), F.col(f"`{source}`").alias("s"), words.alias("z"), h.alias("h"), F.xxhash64(F.col(f"`{text}`")).alias("x"), F.monotonically_increasing_id().alias("u")))
     per = rows.groupBy("s").agg(F.sum("z").alias("z")).limit(MAX_SOURCES + 1).collect()
     if len(per) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -92,7 +92,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     parts = parts.withColumn("part", hi - lo).where("part > 0")
     used = parts.join(slots, ["i", "block"]).groupBy("u").agg(F.sum("part").alias("taken"))
     out = rows.join(used, "u", "left").select("r", F.col("z").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    return out.select("r.*", "size", "source_size", "target", "taken")
+    return out.select("r.*", "size", "source_size", "target", "taken").drop("_")
 
 
 def _bits(rows: DataFrame) -> int:

@@ -98,8 +98,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, where) -> DataFrame:
 
 
 def score(docs: DataFrame, model: tuple[float, np.ndarray], text: str = "text") -> DataFrame:
-    """docs with score (0 to 1). Null and empty texts get the model's bias; repeated rows get equal scores."""
+    """docs with score (0 to 1). Null and empty texts get the model's bias; repeated rows get equal scores; an empty table
+    gives no rows. An input column of that name gives way to it."""
     prepare(docs.sparkSession)
+    docs = docs.drop("score")
     bias, weights = model
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2**BITS numbers
     at, schema = docs.columns.index(text), wider(docs, score="double")

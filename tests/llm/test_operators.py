@@ -56,6 +56,15 @@ def test_sharding(docs):
     assert collect(sharding.shard(docs.where("false").select("doc_id", "text"), shards=3)) == []
 
 
+def test_sharding_into_many_leaves(spark):
+    rows = [(i, f"text {i} " * (1 + i % 7), f"s{i % 11}") for i in range(6000)] + [(6000 + i, "copy " * 30, None) for i in range(500)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("shard", F.lit("x"))
+    got = sharding.shard(d, shards=64).groupBy("shard").agg(F.sum("size").alias("z"), F.count("*").alias("n"), F.max("slot").alias("s")).collect()
+    total = sum(len(t) + 1 for _, t, _ in rows)
+    assert len(got) == 64 and all(abs(r["z"] - total / 64) < total / 64 * 0.15 and r["s"] == r["n"] - 1 for r in got)
+    assert sharding.shard(d, shards=64).columns == ["doc_id", "source", "size", "text_crc32", "shard", "slot"]
+
+
 def test_language(spark):
     en, de = "the quick brown fox jumps over the lazy dog and then the other one", "der schnelle braune fuchs springt über den faulen hund und dann noch einer"
     train = spark.createDataFrame([(i, " ".join(random.Random(i).sample((en if i % 2 else de).split(), 9)), "en" if i % 2 else "de") for i in range(60)] + [(99, None, "en"), (98, "x", None)], "doc_id long, text string, lang string")
