@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import only, prepare, read, wider
 
 SPACE = "▁"
-#: Kept paths of a worker; beyond that it begins anew.
-KEPT = 1_000_000
+#: Kept paths and pairs of neighbours of a worker (some 50 and 100 MB); beyond that it begins anew.
+KEPT, PAIRS = 150_000, 400_000
 #: Characters of texts that are encoded together.
 CHUNK = 1 << 20
 #: Added to the cost of the worst piece for a character outside of all pieces.
@@ -183,7 +183,7 @@ class Transducer:
         of either side; of equal ones the left comes first."""
         ok = self.pairs.get((a, b))
         if ok is None:
-            if len(self.pairs) >= 4 * KEPT:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             x, y = self.rims(a) if a else True, self.rims(b)
             if not x or not y or not a:
