@@ -112,8 +112,8 @@ def distribution_text(dist: DataFrame, keys: Sequence[str], x: str) -> DataFrame
     return dist.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["t"]), ",").alias("dist"))
 
 
-def histogram(df: DataFrame, value: str) -> DataFrame:
-    return df.groupBy(value).agg(F.count("*").alias("count"))
+def histogram(df: DataFrame, value: str, *keys: str) -> DataFrame:
+    return df.groupBy(*keys, value).agg(F.count("*").alias("count"))
 
 
 def histogram_add(hist: DataFrame, value: str, more: DataFrame) -> DataFrame:
@@ -162,9 +162,10 @@ def log_factorial(n) -> Column:
     return F.when(c < 2, 0.0).otherwise(F.aggregate(F.sequence(F.lit(2), F.greatest(c, F.lit(2))), F.lit(0.0), lambda s, i: s + F.ln(i)))
 
 
-def kmer_coverage(k: int, read_length: int, base_coverage: float, p_error: float) -> float:
-    """Coverage of error-free k-mers: C (L - k) / L (1 - p)^k; 0 if k is above L."""
-    return base_coverage * max(read_length - k, 0) / read_length * (1 - p_error) ** k
+def kmer_coverage(k: int, read_length, base_coverage: float, p_error: float):
+    """Coverage of error-free k-mers: C (L - k) / L (1 - p)^k; 0 if k is above L. A column of lengths gives a column."""
+    left = F.greatest(read_length - k, F.lit(0)) if isinstance(read_length, Column) else max(read_length - k, 0)
+    return base_coverage * left / read_length * (1 - p_error) ** k
 
 
 def poisson(x, mean) -> Column:

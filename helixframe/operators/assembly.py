@@ -148,7 +148,7 @@ class Assembly:
 
     def paths_of(self, haps: DataFrame) -> DataFrame:
         """(path_id, i, edge_id) of styled sequences (hap_id, style, seq); an error that lists absent k-mers."""
-        rows = haps.select(F.col("hap_id").alias("path_id"), F.posexplode(K.styled_kmers("seq", "style", self.k)).alias("i", "kmer"))
+        rows = K.windows_of(haps.select(F.col("hap_id").alias("path_id"), "style", "seq"), K.styled_text("seq", "style", self.k), self.k, ("path_id",), position=True).withColumnRenamed("pos", "i")
         out = cut(rows.join(self.edges.select("kmer", "edge_id"), "kmer", "left"))
         missing = [r[0] for r in out.where("edge_id is null").select("kmer").distinct().limit(20).collect()]
         if missing:

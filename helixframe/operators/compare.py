@@ -29,6 +29,12 @@ def same_counts(ref: DataFrame, asm: DataFrame) -> DataFrame:
     return b.groupBy((F.coalesce("n", F.lit(0)) == F.coalesce("m", F.lit(0))).alias("same")).agg(F.count("*").alias("kmers"))
 
 
+def kmer_jaccard(ref: DataFrame, asm: DataFrame) -> DataFrame:
+    """(jaccard) of two sets of k-mers, in one shuffle of both."""
+    both = ref.select("kmer", F.lit(1).alias("r"), F.lit(0).alias("a")).unionByName(asm.select("kmer", F.lit(0).alias("r"), F.lit(1).alias("a"))).groupBy("kmer").agg(F.max("r").alias("r"), F.max("a").alias("a"))
+    return both.agg((F.sum(F.col("r") * F.col("a")).cast("double") / F.count("*")).alias("jaccard"))
+
+
 def dot_plot(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """(x, y): places of equal k-mers of two sequences."""
     x = a.select(F.posexplode(K.fragment_kmers("seq", k)).alias("x", "kmer"))

@@ -11,6 +11,9 @@ from pyspark.sql.window import Window
 from helixframe.functions import sequence as S
 from helixframe.plans.durable import cut
 
+#: Windows of a piece of a sequence: longer ones are cut, so that no row grows with a sequence's length.
+CHUNK = 1 << 14
+
 # ---- table functions: sequence to rows
 
 
@@ -21,34 +24,65 @@ def _windows(s: Column, k: int) -> Column:
     return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(b, i, F.lit(k)).cast("string"))).otherwise(F.array().cast("array<string>"))
 
 
+def fragment_text(seq, k: int) -> Column:
+    return S._c(seq)
+
+
+def linear_text(seq, k: int) -> Column:
+    s, pad = S._c(seq), F.lit(S.NULL_BASE * (k - 1))
+    return F.when(F.length(s) > 0, F.concat(pad, s, pad)).otherwise(F.lit(""))
+
+
+def circular_text(seq, k: int) -> Column:
+    s = S._c(seq)
+    turns = F.repeat(s, F.ceil(F.lit(k) / F.greatest(F.length(s), F.lit(1))).cast("int") + 1)
+    return F.when(F.length(s) >= k, F.concat(s, F.left(s, F.lit(k - 1)))).when(F.length(s) > 0, F.substr(turns, F.lit(1), F.length(s) + k - 1)).otherwise(F.lit(""))
+
+
+def styled_text(seq, style, k: int) -> Column:
+    """The string whose windows are the k-mers of a styled sequence."""
+    st = S._c(style)
+    return F.when(st == "C", circular_text(seq, k)).when(st == "L", linear_text(seq, k)).when(st == "F", fragment_text(seq, k)).otherwise(F.raise_error(F.concat(F.lit("unknown style: "), st)))
+
+
 def fragment_kmers(seq, k: int) -> Column:
     """k-mers of a fragment; none if it is shorter than k."""
-    return _windows(S._c(seq), k)
+    return _windows(fragment_text(seq, k), k)
 
 
 def linear_kmers(seq, k: int) -> Column:
     """k-mers of a linear sequence with n before and after. A sequence shorter than k gives mixed k-mers only."""
-    s, pad = S._c(seq), F.lit(S.NULL_BASE * (k - 1))
-    return F.when(F.length(s) > 0, _windows(F.concat(pad, s, pad), k)).otherwise(F.array().cast("array<string>"))
+    return _windows(linear_text(seq, k), k)
 
 
 def circular_kmers(seq, k: int) -> Column:
     """Exactly as many k-mers as the circle has bases."""
-    s = S._c(seq)
-    turns = F.repeat(s, F.ceil(F.lit(k) / F.greatest(F.length(s), F.lit(1))).cast("int") + 1)
-    ring = F.when(F.length(s) >= k, F.concat(s, F.left(s, F.lit(k - 1)))).otherwise(F.substr(turns, F.lit(1), F.length(s) + k - 1))
-    return F.when(F.length(s) > 0, _windows(ring, k)).otherwise(F.array().cast("array<string>"))
+    return _windows(circular_text(seq, k), k)
 
 
 def styled_kmers(seq, style, k: int) -> Column:
-    st = S._c(style)
-    return F.when(st == "C", circular_kmers(seq, k)).when(st == "L", linear_kmers(seq, k)).when(st == "F", fragment_kmers(seq, k)).otherwise(F.raise_error(F.concat(F.lit("unknown style: "), st)))
+    return _windows(styled_text(seq, style, k), k)
+
+
+TEXTS = {fragment_kmers: fragment_text, linear_kmers: linear_text, circular_kmers: circular_text}
+
+
+def windows_of(df: DataFrame, text: Column, k: int, keep: tuple[str, ...] = (), position: bool = False) -> DataFrame:
+    """One row for each k-letter window of a text, in time linear in its length: the text is made once (a generator is a
+    barrier for the optimizer, which would put it into every window), then cut into pieces of CHUNK windows."""
+    made = df.select(*keep, F.explode(F.array(text)).alias("_t")).select(*keep, F.col("_t").cast("binary").alias("_t"))
+    n = F.octet_length("_t") - k + 1
+    starts = F.when(n >= 1, F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1, F.lit(CHUNK)))
+    pieces = made.select(*keep, "_t", F.explode(starts).alias("_s")).select(*keep, "_s", F.substr("_t", F.col("_s") + 1, F.lit(CHUNK + k - 1)).cast("string").alias("_w"))
+    pieces = pieces.select(*keep, "_s", F.explode(F.array("_w")).alias("_w"))
+    if not position:
+        return pieces.select(*keep, F.explode(_windows(F.col("_w"), k)).alias("kmer"))
+    return pieces.select(*keep, "_s", F.posexplode(_windows(F.col("_w"), k)).alias("_i", "kmer")).select(*keep, (F.col("_s") + F.col("_i")).alias("pos"), "kmer")
 
 
 def kmer_rows(df: DataFrame, k: int, how=fragment_kmers, seq: str = "seq", keep: tuple[str, ...] = (), position: bool = False) -> DataFrame:
     """One row for each k-mer of each sequence, with its 0-based place if asked for."""
-    arr = how(seq, k)
-    return df.select(*keep, F.posexplode(arr).alias("pos", "kmer")) if position else df.select(*keep, F.explode(arr).alias("kmer"))
+    return windows_of(df, TEXTS[how](seq, k), k, keep, position)
 
 
 # ---- tables
@@ -79,7 +113,7 @@ def from_linear(seqs: DataFrame, k: int, seq: str = "seq") -> DataFrame:
 
 def from_styled(haps: DataFrame, k: int) -> DataFrame:
     """Counts over styled sequences of any length."""
-    return count(haps.select(F.explode(styled_kmers("seq", "style", k)).alias("kmer")))
+    return count(windows_of(haps, styled_text("seq", "style", k), k))
 
 
 def set_counts(table: DataFrame, new: DataFrame) -> DataFrame:
@@ -140,6 +174,35 @@ def sibling_pairs(table: DataFrame) -> DataFrame:
     return _pairs(table, S.suffix("kmer"), S.suffix("kmer"), "sibling")
 
 
+def extended(table: DataFrame) -> DataFrame:
+    """(kmer, upper): every (k+1)-mer of two adjacent k-mers, and the most copies that it can have."""
+    a, b = table.select("kmer", "n"), table.select(F.col("kmer").alias("child"), F.col("n").alias("_n"))
+    return successors(table).join(a, "kmer").join(b, "child").select(S.join("kmer", "child").alias("kmer"), F.least("n", "_n").alias("upper"))
+
+
+def size_stats(table: DataFrame) -> DataFrame:
+    """(genome_size, max_copy_num, n_emittable) of the k-mers that end with a base."""
+    return table.where(S.is_emittable("kmer")).agg(F.sum("n").alias("genome_size"), F.max("n").alias("max_copy_num"), F.count("*").alias("n_emittable"))
+
+
+def node_copy_nums(table: DataFrame) -> DataFrame:
+    """(node, copy_num): the sum over the k-mers out of each node."""
+    return edges(table).groupBy(F.col("source").alias("node")).agg(F.sum("n").alias("copy_num"))
+
+
+def transitions(table: DataFrame) -> DataFrame:
+    """(kmer, child, p): each successor's share of the counts of all successors. The children of a k-mer are those of its
+    suffix, so shares are found by suffix before the k-mers meet them."""
+    w = Window.partitionBy("_k")
+    b = table.select(F.col("kmer").alias("child"), S.prefix("kmer").alias("_k"), "n").select("child", "_k", (F.col("n").cast("double") / F.sum("n").over(w)).alias("p"))
+    return table.select("kmer", S.suffix("kmer").alias("_k")).join(b, "_k").select("kmer", "child", "p")
+
+
+def start_probabilities(table: DataFrame) -> DataFrame:
+    """(kmer, p): each k-mer's share of all counts; the sum is one row."""
+    return table.crossJoin(F.broadcast(table.agg(F.sum("n").alias("_t")))).select("kmer", (F.col("n").cast("double") / F.col("_t")).alias("p"))
+
+
 def edges_in(table: DataFrame, node: str) -> DataFrame:
     return table.where(S.suffix("kmer") == node)
 
@@ -222,7 +285,7 @@ def starts_and_ends(haps: DataFrame, k: int) -> DataFrame:
 
 def true_but_rare(table: DataFrame, haps: DataFrame, k: int, most: int = 1) -> DataFrame:
     """(hap_id, pos, kmer, n): k-mers of the genome, without n, that the table holds at most ``most`` times."""
-    t = haps.select("hap_id", F.posexplode(styled_kmers("seq", "style", k)).alias("pos", "kmer")).where(~S.has_null("kmer"))
+    t = windows_of(haps, styled_text("seq", "style", k), k, ("hap_id",), position=True).where(~S.has_null("kmer"))
     return t.join(table, "kmer", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).where(F.col("n") <= most).select("hap_id", "pos", "kmer", "n")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from helixframe.functions import probability as P
 from helixframe.functions import sequence as S
 from helixframe.operators import graph as G
-from helixframe.operators import hmm, kernels
+from helixframe.operators import compare, hmm, kernels
 from helixframe.operators import kmers as K
 
 KMER = 8
@@ -160,19 +160,17 @@ def dbg_scc(spark, sf):
 
 @query(f"{ENDS} SELECT a.kmer || b.base AS kmer, least(a.n, b.n) AS upper FROM e a JOIN e b ON a.target = b.source")
 def kp1_extend(spark, sf):
-    e = K.edges(counted(spark, sf))
-    b = e.select(F.col("source").alias("target"), F.col("base").alias("_b"), F.col("n").alias("_n"))
-    return e.join(b, "target").select(F.concat("kmer", "_b").alias("kmer"), F.least("n", "_n").alias("upper"))
+    return K.extended(counted(spark, sf))
 
 
 @query(f"{COUNTED} SELECT CAST(sum(n) AS BIGINT) AS genome_size, max(n) AS max_copy_num, CAST(count(*) AS BIGINT) AS n_emittable FROM kmers WHERE right(kmer, 1) <> 'n'")
 def genome_size(spark, sf):
-    return counted(spark, sf).where(S.is_emittable("kmer")).agg(F.sum("n").alias("genome_size"), F.max("n").alias("max_copy_num"), F.count("*").alias("n_emittable"))
+    return K.size_stats(counted(spark, sf))
 
 
 @query(f"{ENDS} SELECT source AS node, CAST(sum(n) AS BIGINT) AS copy_num FROM e GROUP BY source")
 def node_copy_num(spark, sf):
-    return K.edges(counted(spark, sf)).groupBy(F.col("source").alias("node")).agg(F.sum("n").alias("copy_num"))
+    return K.node_copy_nums(counted(spark, sf))
 
 
 @query(f"WITH {READS} SELECT read_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS seq FROM reads")
@@ -195,10 +193,10 @@ def ending_kmers(spark, sf):
     return r.select("read_id", F.explode(S.ending_kmers(F.right("seq", F.lit(KMER)))).alias("kmer"))
 
 
-@query(f"{FIRST}, b AS (SELECT unnest(['A','C','G','T']) AS b) SELECT read_id, kmer || b AS kmer FROM f, b UNION ALL SELECT read_id, b || kmer FROM f, b")
+@query(f"{COUNTED}, b AS (SELECT unnest(['A','C','G','T']) AS b) SELECT kmer, kmer || b AS neighbor FROM kmers, b UNION ALL SELECT kmer, b || kmer FROM kmers, b")
 def kmer_neighbors(spark, sf):
-    r = reads(spark, sf).where(F.length("seq") >= KMER)
-    return r.select("read_id", F.explode(S.neighbors(F.left("seq", F.lit(KMER)))).alias("kmer"))
+    """Neighbours of all k-mers of the reads."""
+    return counted(spark, sf).select("kmer", F.explode(S.neighbors("kmer")).alias("neighbor"))
 
 
 @query(f"""WITH {READS}, letters AS (SELECT read_id, CAST(i AS BIGINT) AS i, substr(seq, CAST(i AS BIGINT), 1) AS b FROM reads, generate_series(1, length(seq)) t(i) WHERE length(seq) > 0),
@@ -217,7 +215,7 @@ def read_stats(spark, sf):
 @query(f"WITH {READS} SELECT read_id, round(20.0 * (length(seq) - 40) / length(seq) * pow(0.999, 40), 6) AS coverage FROM reads WHERE length(seq) > 40")
 def kmer_coverage(spark, sf):
     r = reads(spark, sf).where("length(seq) > 40")
-    return r.select("read_id", F.round(20.0 * (F.length("seq") - 40) / F.length("seq") * F.pow(F.lit(0.999), F.lit(40)), 6).alias("coverage"))
+    return r.select("read_id", F.round(P.kmer_coverage(40, F.length("seq"), 20.0, 0.001), 6).alias("coverage"))
 
 
 @query("SELECT l_returnflag, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS sd, CAST(min(l_quantity) AS DOUBLE) AS min, CAST(max(l_quantity) AS DOUBLE) AS max FROM lineitem GROUP BY l_returnflag")
@@ -229,7 +227,7 @@ def stat_summary(spark, sf):
 @query("SELECT event_type, CAST(floor(value / 10) AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS count FROM events GROUP BY 1, 2")
 def hist(spark, sf):
     e = table(spark, sf, "events").select("event_type", F.floor(F.col("value") / 10).alias("bin"))
-    return e.groupBy("event_type", "bin").agg(F.count("*").alias("count"))
+    return P.histogram(e, "bin", "event_type")
 
 
 WEIGHTS = "w AS (SELECT user_id, event_type, CAST(floor(value / 10) AS BIGINT) AS x, -abs(value) / 50 AS lp FROM events WHERE value IS NOT NULL)"
@@ -275,9 +273,15 @@ def normal_log_prior(spark, sf):
 @query("""SELECT l_orderkey, round(sum(pow(2 - f, 2)), 5) AS v1, round(sum(pow(1 - 2 / (f + 1e-7), 2)), 5) AS v2, round(sum(pow(1 - 2 / (f + 0.1), 2) + pow(f / 2.1 - 1, 2)), 5) AS v4
 FROM (SELECT l_orderkey, CAST(l_quantity AS DOUBLE) / 10 AS f FROM lineitem) GROUP BY l_orderkey""")
 def mse_cost(spark, sf):
-    f = F.col("f")
-    li = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_quantity").cast("double") / 10).alias("f"))
-    return li.groupBy("l_orderkey").agg(F.round(F.sum(F.pow(2 - f, 2)), 5).alias("v1"), F.round(F.sum(F.pow(1 - 2 / (f + 1e-7), 2)), 5).alias("v2"), F.round(F.sum(F.pow(1 - 2 / (f + 0.1), 2) + F.pow(f / 2.1 - 1, 2)), 5).alias("v4"))
+    # each order's quantities are one edge's frequencies, seven at most
+    li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_quantity").cast("double") / 10).alias("f"))
+
+    def cost(batches):
+        for t in batches:
+            yield t.assign(**{name: [float(c(f, 2)) for f in t["f"]] for name, c in (("v1", kernels.cost_v1), ("v2", kernels.cost_v2), ("v4", kernels.cost_v4))}).drop(columns="f")
+
+    out = li.mapInPandas(cost, "l_orderkey long, v1 double, v2 double, v4 double")
+    return out.select("l_orderkey", *[F.round(c, 5).alias(c) for c in ("v1", "v2", "v4")])
 
 
 RANKED = "r AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k, max(value) OVER (PARTITION BY user_id) AS top, sum(value) OVER (PARTITION BY user_id ORDER BY value DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, sum(value) OVER (PARTITION BY user_id) AS total FROM events WHERE value > 0)"
@@ -306,16 +310,12 @@ def cumulative_cut(spark, sf):
 
 @query(f"{ENDS} SELECT a.kmer, b.kmer AS child, round(CAST(b.n AS DOUBLE) / sum(b.n) OVER (PARTITION BY a.kmer), 6) AS p FROM e a JOIN e b ON a.target = b.source WHERE a.n >= 20 AND b.n >= 20")
 def transition_prob(spark, sf):
-    t = K.remove_rare(counted(spark, sf), 20)
-    n = t.select(F.col("kmer").alias("child"), "n")
-    w = Window.partitionBy("kmer")
-    return K.successors(t).join(n, "child").select("kmer", "child", F.round(F.col("n").cast("double") / F.sum("n").over(w), 6).alias("p"))
+    return K.transitions(K.remove_rare(counted(spark, sf), 20)).select("kmer", "child", F.round("p", 6).alias("p"))
 
 
 @query(f"{COUNTED} SELECT kmer, round(CAST(n AS DOUBLE) / (SELECT sum(n) FROM kmers), 9) AS p FROM kmers")
 def init_prob(spark, sf):
-    t = counted(spark, sf)
-    return t.crossJoin(F.broadcast(t.agg(F.sum("n").alias("t")))).select("kmer", F.round(F.col("n").cast("double") / F.col("t"), 9).alias("p"))
+    return K.start_probabilities(counted(spark, sf)).select("kmer", F.round("p", 9).alias("p"))
 
 
 TWO = f"""WITH {READS}, refs AS (SELECT item_id AS read_id, upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '', 'g')) AS seq FROM benchmark), {windows('reads', KMER, 'ra')}, {windows('refs', KMER, 'rb')},
@@ -340,22 +340,17 @@ def kmer_asm_only(spark, sf):
 
 @query(f"{TWO} SELECT CAST(count(*) AS BIGINT) AS unique_in_ref, CAST(sum(CASE WHEN kmer IN (SELECT kmer FROM asm) THEN 1 ELSE 0 END) AS BIGINT) AS in_asm FROM ref WHERE n = 1")
 def unique_kmers(spark, sf):
-    ref, asm = two(spark, sf)
-    return ref.where("n = 1").join(asm.select("kmer", F.lit(1).alias("hit")), "kmer", "left").agg(F.count("*").alias("unique_in_ref"), F.sum(F.coalesce("hit", F.lit(0))).alias("in_asm"))
+    return compare.unique_in_ref(*two(spark, sf)).select(F.col("unique").alias("unique_in_ref"), F.col("found").alias("in_asm"))
 
 
 @query(f"{TWO} SELECT coalesce(r.n, 0) = coalesce(a.n, 0) AS same, CAST(count(*) AS BIGINT) AS kmers FROM ref r FULL OUTER JOIN asm a ON r.kmer = a.kmer GROUP BY 1")
 def same_count(spark, sf):
-    ref, asm = two(spark, sf)
-    both = ref.join(asm.withColumnRenamed("n", "m"), "kmer", "full_outer")
-    return both.groupBy((F.coalesce("n", F.lit(0)) == F.coalesce("m", F.lit(0))).alias("same")).agg(F.count("*").alias("kmers"))
+    return compare.same_counts(*two(spark, sf))
 
 
 @query(f"{TWO} SELECT round(CAST(count(*) AS DOUBLE) / ((SELECT count(*) FROM ref) + (SELECT count(*) FROM asm) - count(*)), 9) AS jaccard FROM ref JOIN asm ON ref.kmer = asm.kmer")
 def kmer_jaccard(spark, sf):
-    ref, asm = two(spark, sf)
-    both = ref.select("kmer", F.lit(1).alias("r"), F.lit(0).alias("a")).unionByName(asm.select("kmer", F.lit(0).alias("r"), F.lit(1).alias("a"))).groupBy("kmer").agg(F.sum("r").alias("r"), F.sum("a").alias("a"))
-    return both.agg(F.round(F.sum(F.col("r") * F.col("a")).cast("double") / F.count("*"), 9).alias("jaccard"))
+    return compare.kmer_jaccard(*two(spark, sf)).select(F.round("jaccard", 9).alias("jaccard"))
 
 
 SPANS = "s AS (SELECT l_orderkey % 100 AS node, l_partkey % 1000 AS a, l_partkey % 1000 + CAST(l_quantity AS BIGINT) AS b FROM lineitem)"
@@ -519,3 +514,6 @@ def posterior_search(spark, sf):
     # texts are few and each is seconds of work: they are spread over all partitions, whatever the files
     r = reads(spark, sf, "benchmark", "item_id").where("seq <> ''").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return r.mapInPandas(search, "read_id long, edge long, seq string, x long, p double")
+
+
+from helixframe import more_queries  # noqa: E402, F401  (registers its queries here)
