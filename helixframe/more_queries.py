@@ -84,15 +84,16 @@ def packed_cells(spark, sf):
     return x.select("l_orderkey", "l_linenumber", S.quad_get("x", 3).cast("long").alias("cell"), S.quad_set("x", 5, 2).alias("changed"), S.quad_shift_front("x").alias("front"), S.quad_shift_back("x").alias("back"))
 
 
-ORIGINS = """WITH o AS (SELECT l_orderkey, l_linenumber AS i, CASE WHEN l_suppkey % 4 <> 0 THEN l_orderkey % 5 END AS node, CASE WHEN l_suppkey % 4 <> 0 THEN l_linenumber * 3 + l_suppkey % 3 END AS pos FROM lineitem),
+ORIGINS = """WITH o AS (SELECT l_orderkey, l_linenumber AS i, CASE WHEN l_suppkey % 4 <> 0 THEN l_orderkey % 5 END AS node, CASE WHEN l_suppkey % 4 <> 0 THEN l_linenumber * 3 + l_suppkey % 3 END AS pos FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1, 2)),
 l AS (SELECT *, last_value(pos IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o),
 t AS (SELECT *, CASE WHEN pos IS NULL THEN 'I' ELSE repeat('D', CAST(greatest(coalesce(pos - before - 1, 0), 0) AS INT)) || 'M' END AS op, CASE WHEN pos IS NULL THEN 'I' ELSE node || '/' || pos END AS one FROM l),
-a AS (SELECT l_orderkey, string_agg(op, '' ORDER BY i) AS ops, repeat('A', CAST(count(*) AS INT)) AS seq, string_agg(one, ',' ORDER BY i) AS ones, arg_min(node, i) FILTER (pos IS NOT NULL) AS node, arg_min(pos, i) FILTER (pos IS NOT NULL) AS pos, count(pos) AS matches, bool_or(i = 1 AND pos IS NOT NULL) AS head, arg_max(CASE WHEN pos IS NULL THEN 0 ELSE 1 END, i) = 1 AS tail FROM t GROUP BY l_orderkey),
+a AS (SELECT l_orderkey, string_agg(op, '' ORDER BY i) AS ops, repeat('A', CAST(count(*) AS INT)) AS seq, string_agg(one, ',' ORDER BY i) AS ones, arg_min(node, i) FILTER (pos IS NOT NULL) AS node, arg_min(pos, i) FILTER (pos IS NOT NULL) AS pos, count(pos) AS matches, arg_min(CASE WHEN pos IS NULL THEN 0 ELSE 1 END, i) = 1 AS head, arg_max(CASE WHEN pos IS NULL THEN 0 ELSE 1 END, i) = 1 AS tail FROM t GROUP BY l_orderkey),
 c AS (SELECT *, array_to_string(list_transform(regexp_extract_all(ops, 'D+|M+|I+'), lambda x: CAST(length(x) AS VARCHAR) || left(x, 1)), '') AS cigar FROM a)"""
 
 
 def _origins(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("i"), F.when(F.col("l_suppkey") % 4 != 0, F.struct((F.col("l_orderkey") % 5).cast("long").alias("node"), (F.col("l_linenumber") * 3 + F.col("l_suppkey") % 3).cast("long").alias("pos"))).alias("o"))
+    li = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"))
+    li = li.select("l_orderkey", F.col("l_linenumber").alias("i"), F.when(F.col("l_suppkey") % 4 != 0, F.struct((F.col("l_orderkey") % 5).cast("long").alias("node"), (F.col("l_linenumber") * 3 + F.col("l_suppkey") % 3).cast("long").alias("pos"))).alias("o"))
     return li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "o"))), lambda x: x["o"]).alias("origins"))
 
 
