@@ -1,5 +1,6 @@
 """Shared helpers: sessions, clash-free columns, distributed components, durable cuts of lineage."""
 
+import json
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +54,14 @@ def rest(df: DataFrame, text: str, *results: str):
     return F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]).alias("r")
 
 
+def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Frame of a few rows that the driver holds, without a Python worker: they travel as a literal."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    struct = ", ".join(": ".join(f.split()) for f in schema.split(", "))
+    return spark.range(1).select(F.explode(F.from_json(F.lit(text), f"array<struct<{struct}>>")).alias("x")).select("x.*")
+
+
 def wider(df: DataFrame, **more: str) -> str:
     """Schema text of df with more columns."""
     return ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields], *[f"`{k}` {v}" for k, v in more.items()]])

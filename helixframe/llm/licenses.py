@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from helixframe.llm.common import only, read, rest
+from helixframe.llm.common import only, read, rest, small
 
 # Phrases that must stand word for word, and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -47,7 +47,8 @@ def scan(docs: DataFrame, text: str = "text", base=BASE, notices=NOTICES) -> Dat
     spark = docs.sparkSession
     temps = [(i, p.split(), lab, i < len(base)) for i, (p, lab) in enumerate([*base, *notices])]
     masks = [f"m{i}" for i in range(-(-max(len(w) - 1 for _, w, _, _ in temps) // BITS))]
-    pairs = spark.createDataFrame(
+    pairs = small(
+        spark,
         [(t, j, w[j], w[j + 1], len(w) - 1, lab, exact, *[1 << j - i * BITS if i * BITS <= j < (i + 1) * BITS else 0 for i in range(len(masks))]) for t, w, lab, exact in temps for j in range(len(w) - 1)],
         f"t int, j int, a string, b string, need int, label string, exact boolean, {', '.join(f'{m} long' for m in masks)}",
     ).withColumn("h", F.xxhash64("a", "b"))

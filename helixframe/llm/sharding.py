@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from helixframe.llm.common import cut, rest
+from helixframe.llm.common import cut, rest, small
 
 CELLS, HELD = 2048, 1 << 22
 HEAVY, UNITS = 64, 1 << 20
@@ -60,7 +60,7 @@ def shard(docs: DataFrame, target_bytes: int | None = None, shards: int | None =
     rows = rows.select("r", "u", "z", "c", F.xxhash64("g", F.pmod(F.col("u"), pieces)).alias("g"), (F.col("gz") > leaf / most).alias("big"), F.log2(F.col("z").cast("double")).alias("d0"), *[F.coalesce(f"m{i + 1}", f"d{i + 1}").alias(f"d{i + 1}") for i in range(len(have))])
     rows = cut(rows.withColumn("big", F.coalesce("big", F.lit(False))))
     heavy = {x["g"]: x for x in rows.where("big").groupBy("g").agg(F.sum("z").alias("z"), *[F.min(f"d{i}").alias(f"d{i}") for i in range(nd)]).where(F.col("z") > leaf / most).collect()}
-    light = rows.where("not big") if not heavy else rows.join(F.broadcast(spark.createDataFrame([(g,) for g in heavy], "g long")), "g", "left_anti")
+    light = rows.where("not big") if not heavy else rows.join(F.broadcast(small(spark, [(g,) for g in heavy], "g long")), "g", "left_anti")
     ext = [F.min(f"d{i}").alias(f"a{i}") for i in range(nd)] + [F.max(f"d{i}").alias(f"b{i}") for i in range(nd)]
     root = rows.agg(*ext).first()
     span = [((root[f"a{i}"] or 0.0), max((root[f"b{i}"] or 0.0) - (root[f"a{i}"] or 0.0), 1e-12)) for i in range(nd)]
@@ -98,7 +98,7 @@ def shard(docs: DataFrame, target_bytes: int | None = None, shards: int | None =
         cells = max(16, min(CELLS, HELD // len(level)))
         while any(w > 1 for w in width.values()):
             step = {f: -(-w // cells) for f, w in width.items()}
-            facts = spark.createDataFrame([(f, dim[f], low[f], step[f], width[f]) for f in dim], "node long, dim int, low long, step long, width long")
+            facts = small(spark, [(f, dim[f], low[f], step[f], width[f]) for f in dim], "node long, dim int, low long, step long, width long")
             here = light.join(F.broadcast(facts), "node").withColumn("off", place(F.col("dim")) - F.col("low")).where("off < width")
             hist: dict[int, list[tuple[int, int]]] = {}
             for x in here.groupBy("node", F.when(F.col("off") < 0, -1).otherwise(F.expr("off div step")).alias("cell")).agg(F.sum("z").alias("z")).collect():
@@ -114,12 +114,12 @@ def shard(docs: DataFrame, target_bytes: int | None = None, shards: int | None =
                     low[f], width[f] = low[f] + width[f], 1
                 else:
                     low[f], width[f] = low[f] + hit * step[f], step[f]
-        cuts = spark.createDataFrame([(f, dim[f], low[f], f + n // 2) for f, n in level], "node long, dim int, low long, right long")
+        cuts = small(spark, [(f, dim[f], low[f], f + n // 2) for f, n in level], "node long, dim int, low long, right long")
         light = light.join(F.broadcast(cuts), "node", "left").withColumn("node", F.when(place(F.col("dim")) >= F.col("low"), F.col("right")).otherwise(F.col("node"))).drop("dim", "low", "right")
         level = [x for f, n in level for x in ((f, n // 2), (f + n // 2, n - n // 2)) if x[1] > 1]
     out = light.select("r", "u", "z", "c", F.col("node").cast("int").alias("shard"))
     if heavy:
-        where = spark.createDataFrame([(g, a[0]) for g, a in at.items()], "g long, shard int")
+        where = small(spark, [(g, a[0]) for g, a in at.items()], "g long, shard int")
         out = out.unionByName(rows.join(F.broadcast(where), "g").select("r", "u", "z", "c", "shard"))
     # slots: rows of a shard are numbered by input partition, then by place in it; both windows stay small
     out = cut(out.select("r", "u", "z", "c", "shard", F.shiftright("u", 33).alias("p")))
