@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_dir(spark: SparkSession) -> None:
-    """Use spark.checkpoint.dir; a folder of our own only where it is unset."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hx-"))
+    """Use spark.checkpoint.dir; where it is unset a folder of our own on one machine, and an error on a cluster."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="hx-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -147,8 +147,10 @@ def prior(genome_size: int, expected: int, sigma: int) -> float:
     return -z * z / 2 - math.log(sigma) - math.log(2 * math.pi) / 2
 
 
-def likelihoods(g: Assembly, reads: DataFrame, mappings: DataFrame | None, params: hmm.Params, candidates: list[dict[int, int]]) -> list[float]:
-    """Log likelihood of all reads under each candidate: one pass over the reads; a task builds each model once."""
+def likelihoods(g: Assembly, reads: DataFrame, mappings: DataFrame | None, params: hmm.Params, candidates: list[dict[int, int]], sparse: bool = False) -> list[float]:
+    """Log likelihood of all reads under each candidate: one pass over the reads; a task builds each model once. With
+    mappings only their nodes are filled. Without, all nodes are, or with ``sparse`` the active ones (an approximation
+    that takes less time on large graphs); which one does not hang on the size of the graph."""
     models = [g.model(params, copies=c) for c in candidates]
     shared = reads.sparkSession.sparkContext.broadcast(models)
     rows = reads.select("read_id", "seq")
@@ -163,7 +165,7 @@ def likelihoods(g: Assembly, reads: DataFrame, mappings: DataFrame | None, param
             maps = list(t["map"]) if "map" in t else [None] * len(t)
             seqs = t["seq"].to_list()
             for j, h in enumerate(ms):
-                lps = hmm.forward_scores(h, seqs) if "map" not in t and h.n <= 2048 else [hmm.score(h, x, m) for x, m in zip(seqs, maps, strict=True)]
+                lps = hmm.forward_scores(h, seqs) if "map" not in t and not sparse else [hmm.score(h, x, m) for x, m in zip(seqs, maps, strict=True)]
                 yield pd.DataFrame({"candidate": [j], "lp": [float(np.sum(lps))]})
 
     got = {r["candidate"]: r["lp"] for r in rows.mapInPandas(go, "candidate int, lp double").groupBy("candidate").agg(F.sum("lp").alias("lp")).collect()}
@@ -179,9 +181,10 @@ class Problem:
     genome_size: int
     sigma: int
     mappings: DataFrame | None = None
+    sparse: bool = False
 
     def likelihoods(self, g: Assembly, candidates: list[dict[int, int]]) -> list[float]:
-        return likelihoods(g, self.reads, self.mappings, self.params, candidates)
+        return likelihoods(g, self.reads, self.mappings, self.params, candidates, self.sparse)
 
     def scores(self, g: Assembly, candidates: list[dict[int, int]]) -> list[Score]:
         t0 = time.perf_counter()
@@ -337,13 +340,13 @@ def compact_freqs(g: Assembly, freqs: DataFrame, coverage: float) -> dict[int, f
 
 def infer(g: Assembly, reads: DataFrame, k_final: int, params: hmm.Params, params_error: hmm.Params, genome_size: int, sigma: int, coverage: float, p0: float = 0.8, n_haplotypes: int = 2, max_iter: int = 10, on_k: Callable | None = None) -> tuple[Assembly, Posterior]:
     """Outer loop over k: map, search by rescue moves, purge edges without copies that are surely absent, extend,
-    estimate anew; at the end one full search with the error parameters."""
+    estimate anew; at the end one full search with the error parameters. Every search scores reads on their mappings."""
     from helixframe.plans.durable import cut
 
     while True:
         mappings = cut(map_reads(g, reads, params_error))
         freqs = compact_freqs(g, hmm.mapping_freqs(mappings), coverage)
-        g, post = sample_posterior(g, Problem(reads, params, genome_size, sigma), freqs, True, max_iter)
+        g, post = sample_posterior(g, Problem(reads, params, genome_size, sigma, mappings), freqs, True, max_iter)
         if on_k is not None:
             on_k(g, post, mappings)
         if g.k >= k_final:
@@ -355,7 +358,7 @@ def infer(g: Assembly, reads: DataFrame, k_final: int, params: hmm.Params, param
         g = g.set_copy_nums(D.copy_nums_from_mappings(g, usage, coverage, n_haplotypes if g.facts("terminal") is not None else None))
     mappings = cut(map_reads(g, reads, params_error))
     freqs = compact_freqs(g, hmm.mapping_freqs(mappings), coverage)
-    return sample_posterior(g, Problem(reads, params_error, genome_size, sigma), freqs, False, max_iter)
+    return sample_posterior(g, Problem(reads, params_error, genome_size, sigma, mappings), freqs, False, max_iter)
 
 
 def true_edges_missed(g: Assembly, post: Posterior, true: dict[int, int], most: float = 0.8) -> list[int]:

@@ -111,6 +111,26 @@ def test_search_of_each_text(spark, tmp_path):
     assert x.p == pytest.approx(y.p) and x.genome_size == y.genome_size == 18
 
 
+def test_infer_scores_on_mappings(spark):
+    """The outer loop from k = 4 to 5 gives the sequence again, and its searches score reads on their mappings."""
+    from helixframe.operators import kmers as K
+    from helixframe.operators.assembly import Assembly
+
+    seq, seen = "ACTTGCCATAGGATCA", []
+    haps = spark.createDataFrame([(0, "L", seq)], "hap_id long, style string, seq string")
+    reads = spark.createDataFrame([(i, seq) for i in range(4)], "read_id long, seq string")
+    g = Assembly.from_kmers(K.from_styled(haps, 4), 4)
+    params = hmm.Params.uniform(0.01)
+    out, post = Q.infer(g, reads, 5, params, params, len(seq), 2, 4.0, n_haplotypes=1, max_iter=2, on_k=lambda g, p, m: seen.append((g.k, m.count())))
+    assert out.k == 5 and [k for k, _ in seen] == [4, 5] and all(n > 0 for _, n in seen)
+    assert [(style, x) for style, x, _ in out.set_copy_nums(post.max_copy_nums()).styled_seqs()] == [("L", seq)]
+    g = out.set_copy_nums(post.max_copy_nums())
+    here = [g.facts("copies")]
+    mapped = Q.likelihoods(g, reads, Q.map_reads(g, reads, params), params, here)[0]
+    dense, sparse = Q.likelihoods(g, reads, None, params, here)[0], Q.likelihoods(g, reads, None, params, here, sparse=True)[0]
+    assert mapped <= dense + 1e-9 and abs(mapped - dense) < 0.1 and abs(sparse - dense) < 0.1
+
+
 def test_infos_text():
     u = [Q.Update("X", ((5, 1), (6, 1), (1, -1))), Q.Update("R", ((10, 1), (1, 1)), (0, 50, 111, "5.001", "Z")), Q.Update("S", ((5, -1),))]
     assert Q.infos_text(u) == "[X(e5+e6+e1-),R(e10+e1+|0|50|111|5.001|Z),S(e5-)]"
