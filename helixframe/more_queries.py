@@ -7,7 +7,7 @@ from helixframe.functions import sequence as S
 from helixframe.operators import graph as G
 from helixframe.operators import kmers as K
 from helixframe.operators.assembly import Assembly
-from helixframe.queries import COUNTED, KMER, READS, TWO, query, reads, table, two, windows
+from helixframe.queries import COUNTED, KMER, READS, TWO, query, reads, table, two, unitigs, windows
 
 LINEAR = f"WITH {READS}, padded AS (SELECT read_id, repeat('n', 4) || seq || repeat('n', 4) AS seq FROM reads WHERE length(seq) >= 5), {windows('padded', 5)}, kmers AS (SELECT kmer, CAST(count(*) AS BIGINT) AS n FROM rows GROUP BY kmer)"
 
@@ -169,20 +169,41 @@ def true_but_rare(spark, sf):
 
 # ---- the sequence graph of the reads, as linear genomes
 
-GRAPH = f"""{LINEAR}, ids AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS node_id FROM (SELECT left(kmer, 4) AS node FROM kmers UNION SELECT substr(kmer, 2) FROM kmers)),
-e AS (SELECT row_number() OVER (ORDER BY kmer) - 1 AS edge_id, a.node_id AS source, b.node_id AS target, right(kmer, 1) AS base, n AS copy_num, kmer FROM kmers JOIN ids a ON a.node = left(kmer, 4) JOIN ids b ON b.node = substr(kmer, 2))"""
-INNER = """deg AS (SELECT node, sum(i) AS n_in, sum(o) AS n_out FROM (SELECT source AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT target, 1, 0 FROM e) GROUP BY node),
-inner_nodes AS (SELECT d.node FROM deg d JOIN ids ON ids.node_id = d.node WHERE n_in = 1 AND n_out = 1 AND ids.node <> 'nnnn' AND d.node NOT IN (SELECT source FROM e WHERE source = target))"""
-WALK = f"""WITH RECURSIVE {GRAPH.removeprefix('WITH ')}, {INNER},
+
+def numbered_sql(kmers: str, k: int) -> str:
+    """Numbered nodes (ids) and edges (e) of a k-mer table."""
+    return f"""ids AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS node_id FROM (SELECT left(kmer, {k - 1}) AS node FROM {kmers} UNION SELECT substr(kmer, 2) FROM {kmers})),
+e AS (SELECT row_number() OVER (ORDER BY kmer) - 1 AS edge_id, a.node_id AS source, b.node_id AS target, right(kmer, 1) AS base, n AS copy_num, kmer FROM {kmers} JOIN ids a ON a.node = left(kmer, {k - 1}) JOIN ids b ON b.node = substr(kmer, 2))"""
+
+
+def walk_sql(k: int) -> str:
+    """Simple paths (c) of the numbered edges; every path begins at a node that is not an inner one."""
+    return f"""deg AS (SELECT node, sum(i) AS n_in, sum(o) AS n_out FROM (SELECT source AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT target, 1, 0 FROM e) GROUP BY node),
+inner_nodes AS (SELECT d.node FROM deg d JOIN ids ON ids.node_id = d.node WHERE n_in = 1 AND n_out = 1 AND ids.node <> '{'n' * (k - 1)}' AND d.node NOT IN (SELECT source FROM e WHERE source = target)),
 walk AS (SELECT edge_id AS head, source, target, [edge_id] AS path, base AS seq, kmer AS first_kmer, copy_num FROM e WHERE source NOT IN (SELECT node FROM inner_nodes)
 UNION ALL SELECT w.head, w.source, e.target, list_append(w.path, e.edge_id), w.seq || e.base, w.first_kmer, w.copy_num FROM walk w JOIN e ON e.source = w.target WHERE w.target IN (SELECT node FROM inner_nodes)),
-c AS (SELECT row_number() OVER (ORDER BY list_min(path)) - 1 AS edge_id, source, target, path, seq, left(first_kmer, 4) || seq AS kmer, copy_num, len(path) AS n_bases FROM walk WHERE target NOT IN (SELECT node FROM inner_nodes))"""
+c AS (SELECT row_number() OVER (ORDER BY list_min(path)) - 1 AS edge_id, source, target, path, seq, left(first_kmer, {k - 1}) || seq AS kmer, copy_num, len(path) AS n_bases FROM walk WHERE target NOT IN (SELECT node FROM inner_nodes))"""
+
+
+GRAPH = f"{LINEAR}, {numbered_sql('kmers', 5)}"
+WALK = f"WITH RECURSIVE {GRAPH.removeprefix('WITH ')}, {walk_sql(5)}"
 
 
 def graph(spark, sf) -> Assembly:
     return Assembly.from_kmers(linear(spark, sf), 5)
 
 
+AUGMENTED = f"""{COUNTED}, few AS (SELECT kmer, n FROM kmers WHERE n >= 5), dead AS (SELECT kmer, n, substr(kmer, 2) NOT IN (SELECT left(kmer, {KMER - 1}) FROM few) AS no_child, left(kmer, {KMER - 1}) NOT IN (SELECT substr(kmer, 2) FROM few) AS no_parent FROM few),
+more AS (SELECT repeat('n', CAST(i AS INT)) || left(kmer, {KMER} - CAST(i AS INT)) AS kmer, n FROM dead, generate_series(1, {KMER - 1}) t(i) WHERE no_parent UNION ALL SELECT substr(kmer, CAST(i AS INT) + 1) || repeat('n', CAST(i AS INT)), n FROM dead, generate_series(1, {KMER - 1}) t(i) WHERE no_child),
+aug AS (SELECT kmer, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM few UNION ALL SELECT * FROM more) GROUP BY kmer), {numbered_sql('aug', KMER)}"""
+
+
+@query(f"WITH RECURSIVE {AUGMENTED.removeprefix('WITH ')}, {walk_sql(KMER)} SELECT CAST(source AS BIGINT) AS source, CAST(target AS BIGINT) AS target, array_to_string(path, ',') AS path FROM c")
+def dbg_unitigs(spark, sf):
+    """Simple paths of the frequent 8-mers; circles of inner nodes alone, if there are any, have no place to begin in SQL."""
+    return unitigs(spark, sf).select("source", "target", F.concat_ws(",", F.transform("edges_in_full", lambda x: x.cast("string"))).alias("path"))
+
+
 @query(f"{GRAPH} SELECT CAST(edge_id AS BIGINT) AS edge_id, CAST(source AS BIGINT) AS source, CAST(target AS BIGINT) AS target, base, copy_num, kmer FROM e")
 def graph_edges(spark, sf):
     return graph(spark, sf).edges

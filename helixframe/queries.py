@@ -137,7 +137,13 @@ def dbg_augment_deadends(spark, sf):
     return K.augment_dead_ends(counted(spark, sf))
 
 
-@query()
+SURVIVORS = f"""WITH RECURSIVE {COUNTED.removeprefix('WITH ')}, few AS (SELECT kmer, n, left(kmer, {KMER - 1}) AS source, substr(kmer, 2) AS target FROM kmers WHERE n >= 2),
+s AS (SELECT *, n < 1000 AND (target NOT IN (SELECT source FROM few) OR source NOT IN (SELECT target FROM few)) AS gone, 0 AS turn FROM few
+UNION ALL SELECT kmer, n, source, target, (source IN (SELECT target FROM s WHERE gone) OR target IN (SELECT source FROM s WHERE gone)) AND (target NOT IN (SELECT source FROM s WHERE NOT gone) OR source NOT IN (SELECT target FROM s WHERE NOT gone)), turn + 1
+FROM s WHERE NOT gone AND EXISTS (SELECT 1 FROM s WHERE gone))"""
+
+
+@query(f"{SURVIVORS} SELECT kmer, n FROM s WHERE NOT gone AND turn = (SELECT max(turn) FROM s)")
 def dbg_remove_deadends(spark, sf):
     return K.remove_dead_ends(K.remove_rare(counted(spark, sf), 2), 1000)[0]
 
@@ -146,8 +152,7 @@ def _numbered(spark, sf, least: int) -> tuple[DataFrame, DataFrame]:
     return K.numbered(K.augment_dead_ends(K.remove_rare(counted(spark, sf), least)))
 
 
-@query()
-def dbg_unitigs(spark, sf):
+def unitigs(spark, sf):
     nodes, edges = _numbered(spark, sf, 5)
     return G.compact(edges, nodes.where("is_terminal").select(F.col("node_id").alias("node")))
 
