@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import only, prepare, read, wider
 
 SPACE = "▁"
-#: Kept paths and pairs of neighbours of a worker (some 50 and 100 MB); beyond that it begins anew.
-KEPT, PAIRS = 150_000, 400_000
+#: Kept paths and pairs of neighbours of a worker (some 80 and 60 MB); beyond that it begins anew.
+KEPT, PAIRS = 300_000, 700_000
 #: Characters of texts that are encoded together.
 CHUNK = 1 << 20
 #: Added to the cost of the worst piece for a character outside of all pieces.
@@ -121,7 +121,7 @@ class Transducer:
         self.cost = {p: c for p, c, _ in usable}
         self.ids = {p: i for p, _, i in usable}
         self.longest = max(map(len, self.ids), default=1)
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.rim: dict[str, tuple | None] = {}
 
     def normalise(self, text: str) -> str:
@@ -181,32 +181,23 @@ class Transducer:
     def neighbours(self, a: str, b: str) -> bool:
         """Whether merging a and b together gives just a and b: no merge over their border may come before the next merge
         of either side; of equal ones the left comes first."""
-        ok = self.pairs.get((a, b))
-        if ok is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            x, y = self.rims(a) if a else True, self.rims(b)
-            if not x or not y or not a:
-                ok = bool(x and y)
-            elif not (x[4] and y[4]):
-                ok = self.merged(a + b) == [a, b]
+        x, y = self.rims(a) if a else True, self.rims(b)
+        if not x or not y or not a:
+            return bool(x and y)
+        if not (x[4] and y[4]):
+            return self.merged(a + b) == [a, b]
+        (_, _, tails, to_a, _), (heads, to_b, _, _, _), inf = x, y, float("inf")
+        i = j = 0
+        while True:
+            over, left, right = self.cost.get(tails[i] + heads[j], inf), to_a[i], to_b[j]
+            if over < left and over <= right:
+                return False
+            if left == right == inf:
+                return True
+            if left <= right:
+                i += 1
             else:
-                (_, _, tails, to_a, _), (heads, to_b, _, _, _), inf = x, y, float("inf")
-                i = j = 0
-                while True:
-                    over, left, right = self.cost.get(tails[i] + heads[j], inf), to_a[i], to_b[j]
-                    if over < left and over <= right:
-                        ok = False
-                        break
-                    if left == right == inf:
-                        ok = True
-                        break
-                    if left <= right:
-                        i += 1
-                    else:
-                        j += 1
-            self.pairs[a, b] = ok
-        return ok
+                j += 1
 
     def arcs(self, word: str, i: int):
         """(end, cost, id) of the pieces that begin at place i; the fallback of its sign (id None) if it is no piece."""
@@ -249,25 +240,31 @@ class Transducer:
     def with_acceptor(self, word: str):
         """The same with the acceptor of neighbours: a state is a place and the last piece. The pieces of a finite path to
         a place are the merges' result for the word up to there, so a place has one state of finite cost at most."""
-        n, pairs, trie = len(word), self.pairs, self.trie
-        last, before, pieces = [""] + [None] * n, [0] * (n + 1), [None] * (n + 1)
+        n, pairs, trie, size = len(word), self.pairs, self.trie, len(self.pieces)
+        before, pieces = [None] * (n + 1), [None] * (n + 1)
+        before[0] = 0
         for i in range(n):
-            a = last[i]
-            if a is None:
+            if before[i] is None:
                 continue
+            # pairs are kept by ids; no piece holds a sign that is none, so all such signs are one neighbour
+            a = (size if not i else size + 1 if pieces[i] is None else pieces[i]) * size
             at, j = trie, i
             while j < n:
                 at = at.get(word[j])
                 if at is None:
                     break
                 j += 1
-                if "" in at and last[j] is None:
-                    p = word[i:j]
-                    ok = pairs.get((a, p))
-                    if self.neighbours(a, p) if ok is None else ok:
-                        last[j], before[j], pieces[j] = p, i, at[""][1]
-            if last[i + 1] is None and word[i] not in self.ids:
-                last[i + 1], before[i + 1] = word[i], i
+                end = at.get("")
+                if end is not None and before[j] is None:
+                    ok = pairs.get(a + end[1])
+                    if ok is None:
+                        if len(pairs) >= PAIRS:
+                            pairs.clear()
+                        ok = pairs[a + end[1]] = self.neighbours(word[before[i] : i], word[i:j])
+                    if ok:
+                        before[j], pieces[j] = i, end[1]
+            if before[i + 1] is None and word[i] not in self.ids:
+                before[i + 1] = i
         return before, pieces
 
     def encode(self, text: str) -> np.ndarray:
