@@ -398,7 +398,9 @@ def forward_scores(h: Model, seqs: list[str], batch: int = 512) -> np.ndarray:
 
     def into(v):
         r = np.zeros_like(v)
-        if len(by):
+        if len(heads) == len(by):  # one way into each node: nothing to add up
+            r[:, heads] = v[:, src] * tr
+        elif len(by):
             r[:, heads] = np.add.reduceat(v[:, src] * tr, first, axis=1)
         return r
 
