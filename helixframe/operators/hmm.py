@@ -389,52 +389,89 @@ def diff(a: Table, b: Table) -> float:
     return float(sum(np.abs(x * ka - y * kb).sum() for x, y in ((a.m, b.m), (a.i, b.i), (a.d, b.d))) + sum(abs(x * ka - y * kb) for x, y in ((a.mb, b.mb), (a.ib, b.ib), (a.e, b.e))))
 
 
-def forward_scores(h: Model, seqs: list[str], batch: int = 512) -> np.ndarray:
-    """Log probabilities of many reads by dense forward passes, a whole batch of reads in each step."""
-    p, out = h.params, np.full(len(seqs), -INF)
+def forward_scores(h: Model, seqs: list[str], batch: int = 256) -> np.ndarray:
+    """Log probabilities of many reads by dense forward passes, a whole batch of reads in each step. Nodes are rows and
+    reads columns, so a way between nodes moves whole rows; equal reads are scored once; values are rescaled every 8
+    bases (doubles hold eight factors of 1e-30). Empty reads score -inf; a letter that no node has mismatches them all."""
+    p, n = h.params, h.n
+    texts, which = np.unique(np.array([s or "" for s in seqs], dtype=object), return_inverse=True)
+    out = np.full(len(texts), -INF)
     by = np.argsort(h.target, kind="stable")
-    src, tr = h.source[by], h.trans[by]
+    src, tr = h.source[by], h.trans[by][:, None]
     heads, first = np.unique(h.target[by], return_index=True)
-
-    def into(v):
-        r = np.zeros_like(v)
+    chain = n > 1 and len(by) == n - 1 and np.array_equal(src, np.arange(n - 1)) and np.array_equal(h.target[by], np.arange(1, n)) and (tr == 1).all()
+
+    def into(v, r):
+        if chain:
+            r[0] = 0.0
+            r[1:] = v[:-1]
+            return r
+        r[:] = 0.0
         if len(heads) == len(by):  # one way into each node: nothing to add up
-            r[:, heads] = v[:, src] * tr
+            r[heads] = v[src] * tr
         elif len(by):
-            r[:, heads] = np.add.reduceat(v[:, src] * tr, first, axis=1)
+            r[heads] = np.add.reduceat(v[src] * tr, first, axis=0)
         return r
 
-    letters = np.unique(np.concatenate([h.base, np.array(list("ACGT"))]))
-    table = np.where(h.base[None, :] == letters[:, None], p.p_match, p.p_mismatch)
-    order = sorted((i for i in range(len(seqs)) if seqs[i]), key=lambda i: -len(seqs[i]))
+    letters = sorted({*h.base.tolist(), *"ACGT"})
+    table = np.where(h.base[:, None] == np.array([*letters, ""])[None, :], p.p_match, p.p_mismatch)
+    index = np.full(256, len(letters), np.uint8)
+    index[[ord(c) for c in letters]] = np.arange(len(letters))
+    init = h.init[:, None]
+    order = sorted((i for i in range(len(texts)) if texts[i]), key=lambda i: -len(texts[i]))
     for at in range(0, len(order), batch):
         idx = np.array(order[at : at + batch])
-        size = np.array([len(seqs[i]) for i in idx])
-        codes = [np.searchsorted(letters, np.array(list(seqs[i]))) for i in idx]
-        m = i_ = d = np.zeros((len(idx), h.n))
-        mb, ib, scale = np.ones(len(idx)), np.zeros(len(idx)), np.zeros(len(idx))
-        for j in range(int(size[0])):
-            live = int((size > j).sum())
-            if live < len(m):
-                m, i_, d, mb, ib, scale = (x[:live] for x in (m, i_, d, mb, ib, scale))
-            em = table[[codes[r][j] for r in range(live)]]
-            m2 = em * (into(p.mm * m + p.im * i_ + p.dm * d) + h.init * (p.mm * mb + p.im * ib)[:, None])
-            i2 = 0.25 * (p.p_open * m + p.p_ext * i_ + p.p_open * d)
+        size = np.array([len(texts[i]) for i in idx])
+        codes = np.zeros((int(size[0]), len(idx)), np.uint8)
+        for r, i in enumerate(idx):
+            codes[: size[r], r] = index[np.frombuffer(texts[i].encode("latin-1", "replace"), np.uint8)]
+        lives = len(idx) - np.searchsorted(size[::-1], np.arange(int(size[0])), side="right")
+        m, i_, d, a, b, c = (np.zeros((n, len(idx))) for _ in range(6))
+        ib, scale = np.zeros(len(idx)), np.zeros(len(idx))
+        mb = 1.0
+        for j, live in enumerate(lives.tolist()):
+            if live < m.shape[1]:
+                m, i_, d = (np.ascontiguousarray(x[:, :live]) for x in (m, i_, d))
+                a, b, c = (np.empty((n, live)) for _ in range(3))
+                ib, scale = ib[:live], scale[:live]
+            np.add(m, d, out=a)
+            i2 = np.multiply(a, 0.25 * p.p_open, out=b)  # insertions open from matches and deletions
+            np.multiply(m, p.mm - p.im, out=m)
+            a += i_
+            a *= p.im
+            a += m  # mm m + im i + dm d, as dm = im
+            i_ *= 0.25 * p.p_ext
+            i2 += i_
+            m2 = into(a, c)
+            m2 += init * (p.mm * mb + p.im * ib)
+            m2 *= np.take(table, codes[j, :live], axis=1)
             ib = 0.25 * (p.p_open * mb + p.p_ext * ib)
-            mb = np.zeros(live)
-            step = into(p.p_open * (m2 + i2)) + h.init * (p.p_open * ib)[:, None]
-            d2 = step.copy()
-            for _ in range(p.max_gaps):
-                step = into(p.p_ext * step)
-                d2 += step
-            top = np.maximum(np.maximum(np.maximum(m2.max(1), i2.max(1)), d2.max(1)), ib)
-            top = np.where(top > 0, top, 1.0)
-            m, i_, d, ib, scale = m2 / top[:, None], i2 / top[:, None], d2 / top[:, None], ib / top, scale + np.log(top)
-            ends = np.flatnonzero(size[:live] == j + 1)
-            if len(ends):
+            mb = 0.0
+            np.add(m2, i2, out=a)
+            a *= p.p_open
+            d2 = into(a, d)
+            d2 += init * (p.p_open * ib)
+            np.multiply(d2, p.p_ext, out=a)
+            step, spare = a, m
+            for gap in range(p.max_gaps):
+                spare = into(step, spare)
+                d2 += spare
+                if gap < p.max_gaps - 1:
+                    spare *= p.p_ext
+                step, spare = spare, step
+            m, i_, d, (a, b, c) = m2, i2, d2, (step, i_, spare)
+            if j % 8 == 7:
+                top = np.maximum(np.maximum(np.maximum(m.max(0), i_.max(0)), d.max(0)), ib)
+                top = np.where(top > 0, top, 1.0)
+                for x in (m, i_, d):
+                    x /= top
+                ib, scale = ib / top, scale + np.log(top)
+            done = live if j + 1 == len(lives) else live - int(lives[j + 1])
+            if j + 1 == len(lives) or done:
+                ends = slice(live - done, live)
                 with np.errstate(divide="ignore"):
-                    out[idx[ends]] = np.log(p.p_end * (m[ends] + i_[ends] + d[ends]).sum(1)) + scale[ends]
-    return out
+                    out[idx[ends]] = np.log(p.p_end * (m[:, ends] + i_[:, ends] + d[:, ends]).sum(0)) + scale[ends]
+    return out[which]
 
 
 # ---- mappings: rows (read_id, pos, node, lp)

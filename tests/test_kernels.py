@@ -110,3 +110,17 @@ def test_batched_sparse_and_dense_agree():
 def test_alignment():
     score, ops = kernels.align("ACGTACGT", "ACGTCGT")
     assert ops.count("D") == 1 and ops.count("M") == 7 and score == 7 - 6
+
+
+def test_batched_scores_of_graphs_and_odd_reads():
+    rng = random.Random(3)
+    for _ in range(25):
+        n = rng.randrange(1, 7)
+        edges = list(dict.fromkeys((rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(0, 9))))
+        base = [rng.choice("ACGTn") for _ in range(n - 1)] + ["A"]
+        params = hmm.Params(0.03, 0.02, 0.05, max_gaps=rng.randrange(0, 5))
+        h = hmm.graph_model(base, [s for s, _ in edges], [t for _, t in edges], [rng.randrange(0, 4) for _ in range(n)], params, least=1)
+        reads = ["".join(rng.choice("ACGT") for _ in range(rng.randrange(0, 40))) for _ in range(20)] + ["", "AXé中C"]
+        reads += reads[:3]
+        assert np.allclose(hmm.forward_scores(h, reads, 7), [hmm.full_prob(hmm.forward(h, x)) for x in reads], rtol=1e-10, atol=1e-9)
+    assert len(hmm.forward_scores(h, [])) == 0
