@@ -477,9 +477,9 @@ def forward_scores(h: Model, seqs: list[str], batch: int = 256) -> np.ndarray:
 # ---- mappings: rows (read_id, pos, node, lp)
 
 
-def map_read(h: Model, x: str, ratio: float | None = None, top: int | None = None, mapping: list | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+def map_read(h: Model, x: str, ratio: float | None = None, top: int | None = None, mapping: list | None = None, how: str = "adaptive") -> list[tuple[np.ndarray, np.ndarray]]:
     """For each base the candidate nodes and their log probabilities, best first."""
-    f, b = run(h, x, "mapping" if mapping is not None else "adaptive", mapping)
+    f, b = run(h, x, "mapping" if mapping is not None else how, mapping)
     out = []
     for t in state_probs(f, b):
         nodes = top_nodes(t, top)[: (t.total() > 0).sum()] if top else nodes_by_ratio(t, h.params.max_ratio if ratio is None else ratio)
@@ -491,7 +491,7 @@ def map_read(h: Model, x: str, ratio: float | None = None, top: int | None = Non
 MAPPING = "read_id long, pos int, node long, lp double"
 
 
-def generate_mappings(reads: DataFrame, h: Model, ratio: float | None = None, top: int | None = None) -> DataFrame:
+def generate_mappings(reads: DataFrame, h: Model, ratio: float | None = None, top: int | None = None, how: str = "adaptive") -> DataFrame:
     """Mapping rows of all reads; one task maps its reads with one copy of the model."""
     shared = reads.sparkSession.sparkContext.broadcast(h)
 
@@ -500,7 +500,7 @@ def generate_mappings(reads: DataFrame, h: Model, ratio: float | None = None, to
         for t in batches:
             for r, x in zip(t["read_id"], t["seq"], strict=True):
                 if x:
-                    got = map_read(model, x, ratio, top)
+                    got = map_read(model, x, ratio, top, how=how)
                     k = [len(v) for v, _ in got]
                     yield pd.DataFrame({"read_id": r, "pos": np.repeat(np.arange(len(x), dtype=np.int32), k), "node": np.concatenate([v for v, _ in got]), "lp": np.concatenate([p for _, p in got])})
 
@@ -527,6 +527,117 @@ def score_reads(reads: DataFrame, h: Model, mappings: DataFrame | None = None, h
     return rows.mapInPandas(go, "read_id long, lp double")
 
 
+def _per_read(reads: DataFrame, h: Model, schema: str, rows) -> DataFrame:
+    """Rows of each read that is not empty, from its (forward, backward) tables; a task keeps one read's tables."""
+    shared = reads.sparkSession.sparkContext.broadcast(h)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def go(batches):
+        model = shared.value
+        for t in batches:
+            for r, x in zip(t["read_id"], t["seq"], strict=True):
+                if x:
+                    yield pd.DataFrame({"read_id": r, **rows(model, x)})[names]
+
+    return reads.select("read_id", "seq").mapInPandas(go, schema)
+
+
+def backward_scores(reads: DataFrame, h: Model, sparse: bool = False) -> DataFrame:
+    """(read_id, lp) of each read by the backward pass alone."""
+    return _per_read(reads, h, "read_id long, lp double", lambda m, x: {"lp": [full_prob_backward((backward_sparse if sparse else backward)(m, x))]})
+
+
+def node_usage(reads: DataFrame, h: Model, how: str = "adaptive") -> DataFrame:
+    """(read_id, node, freq): expected uses of each node by each read; nodes without any are left out."""
+
+    def rows(m, x):
+        freq = node_freqs(*run(m, x, how), m.n)
+        on = np.flatnonzero(freq > 0)
+        return {"node": on, "freq": freq[on]}
+
+    return _per_read(reads, h, "read_id long, node long, freq double", rows)
+
+
+def edge_usage(reads: DataFrame, h: Model, how: str = "dense") -> DataFrame:
+    """(read_id, source, target, freq): expected uses of each edge; those of starts have a null source."""
+
+    def rows(m, x):
+        edge, init = edge_and_init_freqs(m, x, *run(m, x, how))
+        return {"source": pd.array([*m.source.tolist(), *[None] * m.n], dtype="Int64"), "target": np.concatenate([m.target, np.arange(m.n)]), "freq": np.concatenate([edge, init])}
+
+    return _per_read(reads, h, "read_id long, source long, target long, freq double", rows)
+
+
+def q_scores(reads: DataFrame, h: Model, how: str = "dense") -> DataFrame:
+    """(read_id, q_start, q_edge): the two parts of each read's expected log-likelihood."""
+
+    def rows(m, x):
+        start, edge = q_score(m, *edge_and_init_freqs(m, x, *run(m, x, how)))
+        return {"q_start": [start], "q_edge": [edge]}
+
+    return _per_read(reads, h, "read_id long, q_start double, q_edge double", rows)
+
+
+# ---- states: rows (read_id, pos, state, node, lp); states M, I, D have a node, IB none
+
+
+def state_rows(reads: DataFrame, h: Model, how: str = "adaptive") -> DataFrame:
+    """Posterior of the states after each base, one row for each state with a probability above 0."""
+
+    def rows(m, x):
+        pos, state, node, lp = [], [], [], []
+        for j, t in enumerate(state_probs(*run(m, x, how))):
+            for name, v in (("M", t.m), ("I", t.i), ("D", t.d), ("IB", np.array([t.ib]))):
+                on = np.flatnonzero(v > 0)
+                pos += [j] * len(on)
+                state += [name] * len(on)
+                node += [None] * len(on) if name == "IB" else on.tolist()
+                lp.append(np.log(v[on]))
+        return {"pos": np.array(pos, np.int32), "state": np.array(state, object), "node": pd.array(node, dtype="Int64"), "lp": np.concatenate(lp)}
+
+    return _per_read(reads, h, "read_id long, pos int, state string, node long, lp double", rows)
+
+
+def sum_states(rows: DataFrame, *by: str) -> DataFrame:
+    """Sum of tables as (by.., state, node, lp): a log-sum-exp in each state. Two tables add up as the sum of their union.
+    Rows are summed by whole logarithms first, so a state has a few hundred partial sums however many rows it holds."""
+    keys = [*by, "state", "node"]
+    parts = rows.groupBy(*keys, F.floor("lp").alias("whole")).agg(F.sum(F.exp(F.col("lp") - F.floor("lp"))).alias("p"))
+    w = parts.groupBy(*keys).agg(F.max("whole").alias("top"), F.collect_list(F.struct("whole", "p")).alias("ps"))
+    total = F.aggregate("ps", F.lit(0.0), lambda acc, x: acc + x["p"] * F.exp((x["whole"] - F.col("top")).cast("double")))
+    return w.select(*keys, (F.ln(total) + F.col("top")).alias("lp"))
+
+
+def multiply_states(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
+    """Product of two tables, state by state."""
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "state", "node")]
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    return a.alias("a").join(b.alias("b"), cond).select(*[f"a.{c}" for c in (*by, "state", "node")], (F.col("a.lp") + F.col("b.lp")).alias("lp"))
+
+
+def divide_states(rows: DataFrame, lp) -> DataFrame:
+    """Table over one probability, given as its logarithm."""
+    return rows.withColumn("lp", F.col("lp") - (lp if not isinstance(lp, (int, float)) else F.lit(float(lp))))
+
+
+def summary(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """(by.., text): the n most probable states of each table on a line, best first."""
+    w = Window.partitionBy(*by).orderBy(F.desc("lp"), "state", "node")
+    name = F.when(F.col("node").isNull(), F.col("state")).otherwise(F.concat(F.col("node"), F.lit(":"), F.col("state"), F.lit("(n"), F.col("node"), F.lit(")")))
+    best = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
+    items = F.array_sort(F.collect_list(F.struct("r", F.concat(name, F.format_string("%.5f", F.col("lp"))).alias("s"))))
+    return best.groupBy(*by).agg(F.array_join(F.transform(items, lambda x: x["s"]), ",").alias("text"))
+
+
+def mapping_texts(mappings: DataFrame) -> DataFrame:
+    """(read_id, pos, text): candidates of each base as node:percent, best first."""
+    w = Window.partitionBy("read_id", "pos").orderBy(F.desc("lp"), "node")
+    item = F.struct(F.row_number().over(w).alias("r"), F.concat(F.col("node"), F.lit(":"), F.format_string("%.1f", 100 * F.exp("lp"))).alias("s"))
+    return mappings.select("read_id", "pos", item.alias("x")).groupBy("read_id", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]), ",").alias("text"))
+
+
 def total_score(scores: DataFrame) -> float:
     """P(R): the product over reads."""
     return scores.agg(F.sum("lp")).first()[0] or 0.0

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from helixframe.functions import probability as P
 from helixframe.functions import sequence as S
+from helixframe.model_sql import Chain
 from helixframe.operators import graph as G
 from helixframe.operators import compare, hmm, kernels
 from helixframe.operators import kmers as K
@@ -38,6 +39,8 @@ def counted(spark, sf, k: int = KMER) -> DataFrame:
     return K.from_fragments(reads(spark, sf), k)
 
 
+FOUR, EIGHT = Chain("ACGT" * 16, 0.05), Chain("ACGTTGCA" * 6, 0.05)
+BENCH = "r AS (SELECT * FROM (SELECT item_id AS read_id, upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '', 'g')) AS seq FROM benchmark) WHERE seq <> '')"
 READS = "reads AS (SELECT doc_id AS read_id, upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '', 'g')) AS seq FROM documents)"
 
 
@@ -392,7 +395,7 @@ def poisson_binomial_kmer_loss(spark, sf):
     return c.select("c", "t", F.round(P.kmer_loss(F.col("c"), F.lit(40), F.lit(0.001), F.col("t")), 9).alias("loss"))
 
 
-@query()
+@query(f"WITH RECURSIVE {READS}, r AS (SELECT * FROM reads WHERE seq <> ''), {FOUR.forward('r', last=True)} SELECT read_id, round({FOUR.end()}, 6) AS lp FROM f")
 def hmm_forward_score(spark, sf):
     """Whole reads scored against a model of ACGT, 16 times over."""
     model = hmm.linear_model("ACGT" * 16, hmm.Params.mid_error())
@@ -402,6 +405,7 @@ def hmm_forward_score(spark, sf):
 
 @query()
 def hmm_mapping(spark, sf):
+    """Uses of each node by the sparse mapping of the reads; the dense one, in SQL too, is ``hmm_mapping_dense``."""
     model = hmm.linear_model("ACGTTGCA" * 6, hmm.Params.mid_error())
     r = reads(spark, sf, "benchmark", "item_id").where("seq <> ''")
     return hmm.mapping_freqs(hmm.generate_mappings(r, model)).select("node", F.round("freq", 5).alias("freq"))
@@ -521,4 +525,4 @@ def posterior_search(spark, sf):
     return r.mapInPandas(search, "read_id long, edge long, seq string, x long, p double")
 
 
-from helixframe import more_queries  # noqa: E402, F401  (registers its queries here)
+from helixframe import model_queries, more_queries  # noqa: E402, F401  (registers its queries here)
