@@ -7,10 +7,19 @@ from helixframe.functions import sequence as S
 from helixframe.operators.kmers import number
 
 
+def in_order(raw: DataFrame) -> DataFrame:
+    """Rows of a text source in the order of their files' names and places. Spark reads one file in its order, but packs
+    several files by size, so those are sorted."""
+    if len(raw.inputFiles()) < 2:
+        return raw
+    placed = raw.withColumn("_file", F.input_file_name()).withColumn("_at", F.input_file_block_start()).withColumn("_row", F.monotonically_increasing_id())
+    return placed.orderBy("_file", "_at", "_row").drop("_file", "_at", "_row")
+
+
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """(record_id, name, description, seq) of a FASTA file or folder, gzip by extension; record_id is the order in the
-    input. Records are split by Spark, so a large file is read by many tasks."""
-    raw = spark.read.text(path, lineSep=">").where("trim(value) <> ''").withColumn("_file", F.input_file_name())
+    input, files by name. Records are split by Spark, so a large file is read by many tasks."""
+    raw = in_order(spark.read.text(path, lineSep=">")).where("trim(value) <> ''")
     head = F.split_part("value", F.lit("\n"), F.lit(1))
     body = F.translate(F.substr("value", F.length(head) + 2), "\r\n\t ", "")
     name = F.regexp_extract(head, r"^(\S*)", 1)
@@ -27,15 +36,17 @@ def read_genome(spark: SparkSession, path: str) -> DataFrame:
     return scan(spark, path).select(F.col("record_id").alias("hap_id"), F.when(F.col("description") == "C", "C").otherwise("L").alias("style"), S.sanitize("seq").alias("seq"))
 
 
-def write_lines(lines: DataFrame, path: str, order: list, text: str = "line") -> None:
-    """One text file in the given order, gzip if the path ends in gz, dbz or mpz."""
-    out = lines.orderBy(*order).select(text).coalesce(1).write.mode("overwrite")
+def write_lines(lines: DataFrame, path: str, order: list, text: str = "line", one: bool = True) -> None:
+    """Text in the given order, gzip if the path ends in gz, dbz or mpz. ``one`` file is sorted and written by one task;
+    else a file for each range of the order, whose names are in order too (for lines that are too many for a task)."""
+    rows = lines.orderBy(*order).select(text)
+    out = (rows.coalesce(1) if one else rows).write.mode("overwrite")
     (out.option("compression", "gzip") if path.endswith(("gz", "dbz", "mpz")) else out).text(path)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines in the order of the file: (i, line)."""
-    return number(spark.read.text(path).withColumnRenamed("value", "line"), "i")
+    """Lines in the order of the file, or of the files' names in a folder: (i, line)."""
+    return number(in_order(spark.read.text(path)).withColumnRenamed("value", "line"), "i")
 
 
 def lines_of(spark: SparkSession, text: str) -> DataFrame:
@@ -47,8 +58,8 @@ def text_of(lines: DataFrame, order: list) -> str:
     return "\n".join(r["line"] for r in lines.orderBy(*order).collect())
 
 
-def write_reads(reads: DataFrame, path: str) -> None:
-    write_lines(reads.select("read_id", F.concat(F.lit(">r"), F.col("read_id").cast("string"), F.lit("\n"), "seq").alias("line")), path, ["read_id"])
+def write_reads(reads: DataFrame, path: str, one: bool = True) -> None:
+    write_lines(reads.select("read_id", F.concat(F.lit(">r"), F.col("read_id").cast("string"), F.lit("\n"), "seq").alias("line")), path, ["read_id"], one=one)
 
 
 def write_genome(haps: DataFrame, path: str) -> None:

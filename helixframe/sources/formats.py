@@ -143,9 +143,10 @@ def raw_gfa_lines(table: DataFrame, k: int, haps: DataFrame | None = None) -> Da
 
 
 def read_gfa(lines: DataFrame, ignore_n: bool = True, ignore_zero: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(segments(name, strand, seq, depth), links(a, a_strand, b, b_strand)) on both strands."""
+    """(segments(name, strand, seq, depth), links(a, a_strand, b, b_strand)) on both strands. Segments without a depth
+    have a null one and stay."""
     f = lines.select(F.split("line", "\t").alias("f"))
-    s = f.where("f[0] = 'S'").select(F.col("f")[1].alias("name"), F.col("f")[2].alias("seq"), F.regexp_extract(F.array_join("f", "\t"), r"DP:f:([0-9.]+)", 1).cast("double").alias("depth"))
+    s = f.where("f[0] = 'S'").select(F.col("f")[1].alias("name"), F.col("f")[2].alias("seq"), F.regexp_extract(F.array_join("f", "\t"), r"DP:f:([0-9.]+)", 1).try_cast("double").alias("depth"))
     s = s.withColumn("seq", F.translate("seq", "n", "")) if ignore_n else s
     s = s.where("seq <> ''") if ignore_n else s
     s = s.where("depth > 0 or depth is null") if ignore_zero else s
