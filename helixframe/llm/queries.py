@@ -1,6 +1,6 @@
 """Registry of the operators' queries and their SQL."""
 
-from helixframe.llm import fingerprints, jaccard_join, languages, licenses, mixing, neighbors, quality, sentence_pieces, sharding, token_counts
+from helixframe.llm import fingerprints, jaccard_join, languages, licenses, mixing, neighbors, phrases, quality, sentence_pieces, sharding, token_counts, web_archives, whitening
 
 
 def queries() -> dict:
@@ -15,8 +15,11 @@ def queries() -> dict:
         "op9_sentencepiece_wfst": sentence_pieces.op9_sentencepiece_wfst,
         "op10_metric_jaccard": jaccard_join.op10_metric_jaccard,
         "op7_ftrl_quality": quality.op7_ftrl_quality,
+        "op11_zip_warc": web_archives.op11_zip_warc,
+        "op12_svd_whitening": whitening.op12_svd_whitening,
+        "op13_apriori_phrases": phrases.op13_apriori_phrases,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_zip_warc": web_archives.SQL, "op13_apriori_phrases": phrases.SQL}
