@@ -201,10 +201,6 @@ class Package:
         self.lines.append(f"{key} {re.sub('[^0-9]', '', date)} {json.dumps(facts)}\n")
         self.size += len(packed)
 
-    @property
-    def full(self) -> bool:
-        return self.size >= PACKAGE_BYTES or len(self.lines) >= PACKAGE_RECORDS
-
     def close(self) -> tuple[str, int, int]:
         self.member.close()
         index = "".join(sorted(self.lines)).encode()
@@ -236,7 +232,7 @@ class _Stream(io.RawIOBase):
         pass
 
 
-def write_packages(rows: DataFrame, folder: str, date: str = "2020-01-01T00:00:00Z") -> DataFrame:
+def write_packages(rows: DataFrame, folder: str, date: str = "2020-01-01T00:00:00Z", package_bytes: int = PACKAGE_BYTES, package_records: int = PACKAGE_RECORDS) -> DataFrame:
     """Write rows (record_id, kind, uri, payload, digest, size, refers_to) into packages in a folder that all executors
     share; (path, length, records) of the packages. Kinds: response and revisit. Each task writes files of its own names
     and only finished ones are listed, so a repeated task leaves a file that nobody reads, and no record twice."""
@@ -247,7 +243,7 @@ def write_packages(rows: DataFrame, folder: str, date: str = "2020-01-01T00:00:0
             for r in b.to_pylist():
                 package = package or Package(folder)
                 package.add(record(r["kind"], r["record_id"], r["uri"], r["payload"], r["digest"], r["size"], r["refers_to"], date), r["uri"], date)
-                if package.full:
+                if package.size >= package_bytes or len(package.lines) >= package_records:
                     done.append(package.close())
                     package = None
         if package:
@@ -324,11 +320,11 @@ def _scan(read_at, m: Member) -> Iterator[tuple[int, int]]:
         raise ValueError(f"{m.name}: the last record is cut short")
 
 
-def _grouped(where: Iterator[tuple[int, int]]) -> Iterator[tuple[int, list[int]]]:
+def _grouped(where: Iterator[tuple[int, int]], most: int) -> Iterator[tuple[int, list[int]]]:
     """(start, lengths) of runs of neighbours, of bounded bytes and number; a longer record is a run of its own."""
     start, lengths, total = 0, [], 0
     for at, n in where:
-        if lengths and (at != start + total or total + n > RANGE_BYTES or len(lengths) >= RANGE_RECORDS):
+        if lengths and (at != start + total or total + n > RANGE_BYTES or len(lengths) >= most):
             yield start, lengths
             lengths = []
         if not lengths:
@@ -339,8 +335,8 @@ def _grouped(where: Iterator[tuple[int, int]]) -> Iterator[tuple[int, list[int]]
         yield start, lengths
 
 
-def ranges(packages: DataFrame) -> DataFrame:
-    """(path, start, gz, lengths): ranges of neighbouring records of packages (path, length).
+def ranges(packages: DataFrame, most: int = RANGE_RECORDS) -> DataFrame:
+    """(path, start, gz, lengths): ranges of neighbouring records, ``most`` at most, of packages (path, length).
 
     A task holds 16 bytes for each record of one index. An index that names a record twice counts it once; archive
     members that no index names are scanned. A package without archive members has no ranges; a compressed archive or
@@ -364,19 +360,19 @@ def ranges(packages: DataFrame) -> DataFrame:
                         if re.fullmatch(r"archive/.*\.warc(\.gz)?", m.name):
                             own = named.get(m.name.rpartition("/")[2])
                             found = _scan(read_at, m) if own is None else map(tuple, own.tolist())
-                            for start, lengths in _grouped(found):
+                            for start, lengths in _grouped(found, most):
                                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([m.start + start]), pa.array([m.name.endswith(".gz")]), pa.array([lengths], pa.list_(pa.int64()))], names=["path", "start", "gz", "lengths"])
 
     return packages.select("path", "length").mapInArrow(go, RANGES)
 
 
-def read_records(packages: DataFrame, payload: bool = True) -> DataFrame:
+def read_records(packages: DataFrame, payload: bool = True, most: int = RANGE_RECORDS) -> DataFrame:
     """Records of packages (path, length): record_id, record_type, target_uri, refers_to, payload_digest, payload_bytes and
     payload (null without ``payload``, and for records that have none).
 
     Only places travel; each task reads its ranges itself, one at a time. Broken records and payloads of another digest
     than their record names are errors."""
-    where = cut(ranges(packages))
+    where = cut(ranges(packages, most))
     total = where.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
     tasks = max(1, where.sparkSession.sparkContext.defaultParallelism, total // TASK_BYTES)
 

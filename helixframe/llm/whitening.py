@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import cut, only, read
 
 SCALE, SHIFT = 1024, 100_000
+#: Entries from here on would not fit 64 bits.
+WIDEST = 9.0e15
 FULL = 2048
 #: Singular values below this share of the first are zero to the precision of the Gram matrix.
 RANK = 1e-7
@@ -38,7 +40,9 @@ def whiten(rows: DataFrame, vector: str = "embedding", key: str = "vec_id", top:
     """
     v = F.col(f"`{vector}`").cast("array<double>")
     fine = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    good = rows.where(v.isNotNull() & fine).select(F.col(f"`{key}`").alias("key"), F.transform(v, lambda c: F.floor(c * SCALE) + F.lit(SHIFT)).alias("x"))
+    # only entries that fit are scaled, as Spark may do it for a row before it is left out
+    whole = lambda c: F.when(F.abs(c) < F.lit(WIDEST), F.floor(c * SCALE) + F.lit(SHIFT)).when(F.abs(c) < F.lit(float("inf")), F.raise_error(F.lit("an entry passes 64 bits after scaling")).cast("long"))
+    good = rows.where(v.isNotNull() & fine).select(F.col(f"`{key}`").alias("key"), F.transform(v, whole).alias("x"))
     sizes = good.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     spark = rows.sparkSession
     names = f"`{key}` {rows.schema[key].dataType.simpleString()}, component int, n long, deviation {EXACT}, whitened double, explained double, identity_error double"
