@@ -491,20 +491,31 @@ def map_read(h: Model, x: str, ratio: float | None = None, top: int | None = Non
 MAPPING = "read_id long, pos int, node long, lp double"
 
 
-def generate_mappings(reads: DataFrame, h: Model, ratio: float | None = None, top: int | None = None, how: str = "adaptive") -> DataFrame:
-    """Mapping rows of all reads; one task maps its reads with one copy of the model."""
+def mapping_lists(mappings: DataFrame) -> DataFrame:
+    """(read_id, map): the candidate nodes of each base of a read, in order; a base without any is left out."""
+    m = mappings.groupBy("read_id", "pos").agg(F.collect_list("node").alias("nodes"))
+    return m.groupBy("read_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "nodes"))), lambda s: s["nodes"]).alias("map"))
+
+
+def generate_mappings(reads: DataFrame, h: Model, ratio: float | None = None, top: int | None = None, how: str = "adaptive", within: DataFrame | None = None) -> DataFrame:
+    """Mapping rows of all reads; one task maps its reads with one copy of the model. ``within``: a mapping whose nodes
+    alone may be used, for the reads that it gives nodes for every base."""
     shared = reads.sparkSession.sparkContext.broadcast(h)
+    rows = reads.select("read_id", "seq")
+    if within is not None:
+        rows = rows.join(mapping_lists(within), "read_id", "left")
 
     def go(batches):
         model = shared.value
         for t in batches:
-            for r, x in zip(t["read_id"], t["seq"], strict=True):
+            maps = t["map"] if "map" in t else [None] * len(t)
+            for r, x, m in zip(t["read_id"], t["seq"], maps, strict=True):
                 if x:
-                    got = map_read(model, x, ratio, top, how=how)
+                    got = map_read(model, x, ratio, top, m if m is not None and len(m) == len(x) else None, how=how)
                     k = [len(v) for v, _ in got]
                     yield pd.DataFrame({"read_id": r, "pos": np.repeat(np.arange(len(x), dtype=np.int32), k), "node": np.concatenate([v for v, _ in got]), "lp": np.concatenate([p for _, p in got])})
 
-    return reads.select("read_id", "seq").mapInPandas(go, MAPPING)
+    return rows.mapInPandas(go, MAPPING)
 
 
 def score_reads(reads: DataFrame, h: Model, mappings: DataFrame | None = None, how: str = "sparse") -> DataFrame:
@@ -512,8 +523,7 @@ def score_reads(reads: DataFrame, h: Model, mappings: DataFrame | None = None, h
     shared = reads.sparkSession.sparkContext.broadcast(h)
     rows = reads.select("read_id", "seq")
     if mappings is not None:
-        m = mappings.groupBy("read_id", "pos").agg(F.collect_list("node").alias("nodes")).groupBy("read_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "nodes"))), lambda s: s["nodes"]).alias("map"))
-        rows = rows.join(m, "read_id", "left")
+        rows = rows.join(mapping_lists(mappings), "read_id", "left")
 
     def go(batches):
         model = shared.value

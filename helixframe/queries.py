@@ -525,4 +525,4 @@ def posterior_search(spark, sf):
     return r.mapInPandas(search, "read_id long, edge long, seq string, x long, p double")
 
 
-from helixframe import format_queries, model_queries, more_queries, number_queries  # noqa: E402, F401  (registers its queries here)
+from helixframe import carry_queries, format_queries, model_queries, more_queries, number_queries  # noqa: E402, F401  (registers its queries here)
