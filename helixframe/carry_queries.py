@@ -1,12 +1,17 @@
 """Queries of carried mappings, tables of samples and searches by joins, and the same in SQL. Their reads are the ACGT
 letters of the pages' addresses."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
 from helixframe.operators import inherit
 from helixframe.operators import kmers as K
+from helixframe.plans import samples
+from helixframe.plans.durable import ensure_dir
 from helixframe.queries import query, table
+from helixframe.sources import fasta, formats
 
 URLS = "urls AS (SELECT page_id AS read_id, upper(regexp_replace(coalesce(url, ''), '[^ACGTacgt]', '', 'g')) AS seq FROM pages)"
 
@@ -15,6 +20,12 @@ def urls(spark, sf):
     return table(spark, sf, "pages").select(F.col("page_id").alias("read_id"), S.acgt_only(F.coalesce("url", F.lit(""))).alias("seq"))
 
 
+def folder(spark, name: str) -> str:
+    """A new folder in the shared checkpoint folder."""
+    ensure_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def linear_sql(k: int) -> str:
     return f"""p{k} AS (SELECT repeat('n', {k - 1}) || seq || repeat('n', {k - 1}) AS seq FROM urls WHERE length(seq) >= {k}),
 t{k} AS (SELECT substr(seq, CAST(i AS BIGINT), {k}) AS kmer, CAST(count(*) AS DOUBLE) AS n FROM p{k}, generate_series(1, length(seq) - {k - 1}) t(i) GROUP BY 1)"""
@@ -60,3 +71,68 @@ def map_inherited_compared(spark, sf):
     """Common and all 6-mers of each base, and the total variation of inherited and fresh weights."""
     a, b, _ = _inherited(spark, sf)
     return inherit.compare(a, b).select("read_id", F.col("pos").cast("long").alias("pos"), "shared", "either", F.round("distance", 6).alias("distance"))
+
+
+# ---- the posterior as a table: embeddings as samples of 64 edges, in two portions
+
+SAMPLED = """WITH rows AS (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(abs(CAST(c AS DOUBLE)) * 3) AS BIGINT)) AS copies, 5 * CAST(embedding[1] AS DOUBLE) AS likelihood, -CAST(label AS DOUBLE) AS prior FROM embeddings),
+scored AS (SELECT *, ln(1 + list_sum(copies)) AS n_euler, CAST(list_sum(copies) AS BIGINT) AS genome_size, 'v' || vec_id AS infos FROM rows),
+store AS (SELECT *, likelihood + prior + n_euler AS p_lp, row_number() OVER (ORDER BY label >= 5, vec_id) AS i FROM scored QUALIFY row_number() OVER (PARTITION BY copies ORDER BY label >= 5, vec_id) = 1),
+z AS (SELECT max(p_lp) + ln(sum(exp(p_lp - (SELECT max(p_lp) FROM store)))) AS z FROM store),
+pairs AS (SELECT infos, p_lp, unnest(range(len(copies))) AS edge, unnest(copies) AS x FROM store),
+dist AS (SELECT edge, x, sum(exp(p_lp - z)) AS p FROM pairs, z GROUP BY edge, x)"""
+
+
+def sampled(spark, sf):
+    """Store of the embeddings with labels below 5, then of the others."""
+    copies = F.transform("embedding", lambda c: F.floor(F.abs(c.cast("double")) * 3).cast("long"))
+    e = table(spark, sf, "embeddings").withColumn("copy_nums", copies).withColumn("size", F.aggregate("copy_nums", F.lit(0).cast("long"), lambda a, b: a + b))
+    rows = samples.scored(e.select("label", F.col("vec_id").alias("sample_id"), F.transform("copy_nums", lambda _, i: i.cast("long")).alias("edges"), "copy_nums", (5 * F.col("embedding")[0].cast("double")).alias("likelihood"), (-F.col("label")).alias("prior"), F.ln(1 + F.col("size")).alias("n_euler"), F.col("size").alias("genome_size"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("infos")))
+    first = e.where("label < 5").select(F.col("vec_id").alias("sample_id"))
+    return samples.upsert(samples.upsert(samples.empty(spark), rows.join(first, "sample_id", "left_semi")), rows.join(first, "sample_id", "left_anti"))
+
+
+def truth(spark):
+    return spark.range(64).select(F.col("id").alias("edge"), (F.col("id") % 2).alias("copy_num"))
+
+
+@query(f"{SAMPLED} SELECT infos, array_to_string(copies, ',') AS copy_nums, genome_size, round(p_lp, 6) AS p_lp FROM store")
+def posterior_store(spark, sf):
+    return sampled(spark, sf).select("infos", F.array_join(F.transform("copy_nums", lambda x: x.cast("string")), ",").alias("copy_nums"), "genome_size", F.round("p_lp", 6).alias("p_lp"))
+
+
+@query(f"{SAMPLED} SELECT s.infos, round(s.p_lp, 6) AS p_lp, round(z, 6) AS z, (SELECT count(*) FROM store) AS samples FROM store s, z ORDER BY s.p_lp DESC, i DESC LIMIT 1")
+def posterior_best(spark, sf):
+    s = sampled(spark, sf)
+    b, z = samples.best(s).withColumn("k", F.lit(0)), samples.total(s).withColumn("k", F.lit(0))
+    return b.join(z, "k").select("infos", F.round("p_lp", 6).alias("p_lp"), F.round("z", 6).alias("z"), "samples")
+
+
+@query(f"{SAMPLED} SELECT CAST(edge AS BIGINT) AS edge, x, round(p, 6) AS p FROM dist")
+def posterior_marginals(spark, sf):
+    return samples.marginals(sampled(spark, sf)).select("edge", "x", F.round("p", 6).alias("p"))
+
+
+@query(f"{SAMPLED} SELECT infos, genome_size, round(p_lp, 6) AS p_lp, CAST(row_number() OVER (ORDER BY p_lp DESC, i) - 1 AS BIGINT) AS sample_id FROM store")
+def posterior_post_file(spark, sf):
+    """The samples in the order of a POST file, as read from it."""
+    path = folder(spark, "samples.post")
+    fasta.write_lines(samples.post_lines(sampled(spark, sf)), path, formats.ORDER, one=False)
+    return samples.read_post(fasta.read_lines(spark, path)).select("infos", "genome_size", F.round("p_lp", 6).alias("p_lp"), "sample_id")
+
+
+@query(f"""{SAMPLED}, best AS (SELECT copies FROM store ORDER BY p_lp DESC, i DESC LIMIT 1)
+SELECT CAST(5 AS INT) AS k, 'e' || edge AS edge, CAST(edge % 2 AS INT) AS copy_num_true, round(sum(x * p), 5) AS mean, round(coalesce(sum(p) FILTER (x = edge % 2), 0), 5) AS p_true, round(coalesce(sum(p) FILTER (x = 0), 0), 5) AS p_zero FROM dist GROUP BY edge""")
+def posterior_inspect_edges(spark, sf):
+    """Edges against a truth that has every other one, as read from an INSPECT file."""
+    path = folder(spark, "samples.inspect")
+    fasta.write_lines(samples.inspect_lines(sampled(spark, sf), 5, None, truth(spark)), path, formats.ORDER, one=False)
+    return formats.scan_inspect(spark, path)[2].drop("dist")
+
+
+@query(f"{SAMPLED} SELECT infos, CAST(row_number() OVER (ORDER BY p_lp DESC, i) - 1 AS INT) AS rank, round(p_lp - z, 6) AS p_lp, CAST(list_sum(list_transform(copies, lambda c, j: abs(c - (j - 1) % 2))) AS INT) AS dist FROM store, z")
+def posterior_inspect_samples(spark, sf):
+    """Samples with their rank, probability and distance from the truth, as read from an INSPECT file."""
+    path = folder(spark, "samples.inspect")
+    fasta.write_lines(samples.inspect_lines(sampled(spark, sf), 5, None, truth(spark)), path, formats.ORDER, one=False)
+    return formats.scan_inspect(spark, path)[1].select("infos", "rank", F.round("p_lp", 6).alias("p_lp"), "dist")

@@ -119,9 +119,13 @@ def gfa_posterior_lines(g: Assembly, post: Posterior, true: dict[int, int] | Non
         t = "?" if true is None else true[e]
         off = max(-1.0, min(1.0, mean - g.facts("copies")[e]))
         rows.append((e, f"{mean:.3f}x {t}x ({','.join(f'p({x})={p:.3f}' for x, p in d.items())})", f"#{int(255 * max(off, 0)):02x}00{int(255 * max(-off, 0)):02x}"))
-    lab = g.spark.createDataFrame(rows, "edge_id long, _l string, _c string")
+    return gfa_marked_lines(g, g.spark.createDataFrame(rows, "edge_id long, label string, colour string"))
+
+
+def gfa_marked_lines(g: Assembly, marks: DataFrame) -> DataFrame:
+    """GFA of the segments that marks(edge_id, label, colour) names, so marked, and of all links."""
     base = gfa_lines(g, F.lit(""), F.lit(""))
-    fixed = base.where("part = 0").withColumn("edge_id", F.col("i.edge_id")).join(F.broadcast(lab), "edge_id").select("part", "i", F.concat(F.regexp_extract("line", r"^(.*)\tLB:Z:\tCL:Z:$", 1), F.lit("\tLB:Z:"), "_l", F.lit("\tCL:Z:"), "_c").alias("line"))
+    fixed = base.where("part = 0").withColumn("edge_id", F.col("i.edge_id")).join(marks, "edge_id").select("part", "i", F.concat(F.regexp_extract("line", r"^(.*)\tLB:Z:\tCL:Z:$", 1), F.lit("\tLB:Z:"), "label", F.lit("\tCL:Z:"), "colour").alias("line"))
     return fixed.unionByName(base.where("part = 1"))
 
 
