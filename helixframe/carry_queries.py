@@ -1,15 +1,14 @@
 """Queries of carried mappings, tables of samples and searches by joins, and the same in SQL. Their reads are the ACGT
 letters of the pages' addresses."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
-from helixframe.operators import inherit
+from helixframe.operators import blocks, hmm, inherit
+from helixframe.operators import graph as G
 from helixframe.operators import kmers as K
 from helixframe.plans import samples
-from helixframe.plans.durable import ensure_dir
+from helixframe.plans.durable import cut, shared_folder
 from helixframe.queries import query, table
 from helixframe.sources import fasta, formats
 
@@ -20,12 +19,6 @@ def urls(spark, sf):
     return table(spark, sf, "pages").select(F.col("page_id").alias("read_id"), S.acgt_only(F.coalesce("url", F.lit(""))).alias("seq"))
 
 
-def folder(spark, name: str) -> str:
-    """A new folder in the shared checkpoint folder."""
-    ensure_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-
-
 def linear_sql(k: int) -> str:
     return f"""p{k} AS (SELECT repeat('n', {k - 1}) || seq || repeat('n', {k - 1}) AS seq FROM urls WHERE length(seq) >= {k}),
 t{k} AS (SELECT substr(seq, CAST(i AS BIGINT), {k}) AS kmer, CAST(count(*) AS DOUBLE) AS n FROM p{k}, generate_series(1, length(seq) - {k - 1}) t(i) GROUP BY 1)"""
@@ -116,7 +109,7 @@ def posterior_marginals(spark, sf):
 @query(f"{SAMPLED} SELECT infos, genome_size, round(p_lp, 6) AS p_lp, CAST(row_number() OVER (ORDER BY p_lp DESC, i) - 1 AS BIGINT) AS sample_id FROM store")
 def posterior_post_file(spark, sf):
     """The samples in the order of a POST file, as read from it."""
-    path = folder(spark, "samples.post")
+    path = shared_folder(spark, "samples.post")
     fasta.write_lines(samples.post_lines(sampled(spark, sf)), path, formats.ORDER, one=False)
     return samples.read_post(fasta.read_lines(spark, path)).select("infos", "genome_size", F.round("p_lp", 6).alias("p_lp"), "sample_id")
 
@@ -125,7 +118,7 @@ def posterior_post_file(spark, sf):
 SELECT CAST(5 AS INT) AS k, 'e' || edge AS edge, CAST(edge % 2 AS INT) AS copy_num_true, round(sum(x * p), 5) AS mean, round(coalesce(sum(p) FILTER (x = edge % 2), 0), 5) AS p_true, round(coalesce(sum(p) FILTER (x = 0), 0), 5) AS p_zero FROM dist GROUP BY edge""")
 def posterior_inspect_edges(spark, sf):
     """Edges against a truth that has every other one, as read from an INSPECT file."""
-    path = folder(spark, "samples.inspect")
+    path = shared_folder(spark, "samples.inspect")
     fasta.write_lines(samples.inspect_lines(sampled(spark, sf), 5, None, truth(spark)), path, formats.ORDER, one=False)
     return formats.scan_inspect(spark, path)[2].drop("dist")
 
@@ -133,6 +126,33 @@ def posterior_inspect_edges(spark, sf):
 @query(f"{SAMPLED} SELECT infos, CAST(row_number() OVER (ORDER BY p_lp DESC, i) - 1 AS INT) AS rank, round(p_lp - z, 6) AS p_lp, CAST(list_sum(list_transform(copies, lambda c, j: abs(c - (j - 1) % 2))) AS INT) AS dist FROM store, z")
 def posterior_inspect_samples(spark, sf):
     """Samples with their rank, probability and distance from the truth, as read from an INSPECT file."""
-    path = folder(spark, "samples.inspect")
+    path = shared_folder(spark, "samples.inspect")
     fasta.write_lines(samples.inspect_lines(sampled(spark, sf), 5, None, truth(spark)), path, formats.ORDER, one=False)
     return formats.scan_inspect(spark, path)[1].select("infos", "rank", F.round("p_lp", 6).alias("p_lp"), "dist")
+
+
+# ---- block models: candidates of changed copies on the reads that they touch
+
+LETTERS = "(VALUES ('A'), ('C'), ('G'), ('T'))"
+CHANGED = f"""WITH {URLS}, {linear_sql(5)}, pair AS (SELECT x.b AS x, y.b AS y, CAST((position(x.b IN 'ACGT') - 1) * 4 + position(y.b IN 'ACGT') - 1 AS BIGINT) AS candidate FROM {LETTERS} x(b), {LETTERS} y(b)),
+change AS (SELECT candidate, kmer, sum(delta) AS delta FROM (SELECT candidate, x || y || x || y || x AS kmer, 2 AS delta FROM pair UNION ALL SELECT candidate, y || x || y || x || y, 1 FROM pair) WHERE kmer IN (SELECT kmer FROM t5) GROUP BY ALL),
+copies AS (SELECT c.candidate, t5.kmer, n + coalesce(delta, 0) AS n FROM (SELECT DISTINCT candidate FROM change) c CROSS JOIN t5 LEFT JOIN change USING (candidate, kmer)),
+facts AS (SELECT *, sum(n) FILTER (right(kmer, 1) <> 'n') OVER (PARTITION BY candidate, left(kmer, 4)) AS ways, sum(n) FILTER (right(kmer, 1) <> 'n') OVER (PARTITION BY candidate) AS whole FROM copies),
+steps AS (SELECT read_id, CAST(i AS BIGINT) AS i, substr('nnnn' || seq, CAST(i AS BIGINT), 5) AS kmer FROM urls, generate_series(1, length(seq)) t(i) WHERE length(seq) >= 5)"""
+
+
+@query(f"""{CHANGED}, lps AS (SELECT candidate, sum(CASE WHEN i = 1 THEN ln(1e-5) + ln(n / whole) ELSE ln(n / ways) END + ln(1 - 1e-5)) AS lp FROM steps JOIN facts USING (kmer) GROUP BY candidate),
+hit AS (SELECT candidate, kmer FROM change UNION SELECT candidate, t5.kmer FROM change JOIN t5 ON substr(t5.kmer, 2) = left(change.kmer, 4)),
+again AS (SELECT candidate, count(DISTINCT read_id) AS rescored FROM hit JOIN steps USING (kmer) GROUP BY candidate)
+SELECT candidate, round(lp, 3) AS lp, coalesce(rescored, 0) AS rescored FROM lps LEFT JOIN again USING (candidate)""")
+def model_candidates(spark, sf):
+    """Log likelihood of the addresses on their own graph of 5-mers under 16 candidates, which raise the copies of the 5-mers
+    of two letters in turn, and the reads that were scored anew. Without errors, so that SQL can follow each base."""
+    r = urls(spark, sf).where("length(seq) >= 5")
+    nodes, edges = map(cut, K.numbered(K.from_linear(r, 5)))
+    inner = G.line_graph(edges).join(nodes.where("is_terminal").select(F.col("node_id").alias("node")), "node", "left_anti")
+    model = blocks.BlockModel(edges.select(F.col("edge_id").alias("node_id"), "base", "copy_num", F.col("edge_id").alias("owner")), inner.select(F.col("a").alias("source"), F.col("b").alias("target")), 5)
+    rows = [(4 * i + j, z, d) for i, x in enumerate("ACGT") for j, y in enumerate("ACGT") for z, d in ((f"{x}{y}{x}{y}{x}", 2), (f"{y}{x}{y}{x}{y}", 1))]
+    changes = spark.createDataFrame(rows, "candidate long, kmer string, delta long").join(edges.select("kmer", F.col("edge_id").alias("edge")), "kmer")
+    got = model.candidate_scores(r, cut(inherit.by_context(r, edges, 5)), hmm.Params.zero_error(), changes)
+    return got.select("candidate", F.round("lp", 3).alias("lp"), "rescored")

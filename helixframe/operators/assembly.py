@@ -18,6 +18,7 @@ from helixframe.functions import sequence as S
 from helixframe.operators import graph as G
 from helixframe.operators import hmm, kernels
 from helixframe.operators import kmers as K
+from helixframe.operators.blocks import BlockModel
 from helixframe.plans.durable import cut
 
 
@@ -293,6 +294,12 @@ class Assembly:
 
         return hmm.graph_model(n["base"].to_numpy(), e["source"].map(at).to_numpy(), e["target"].map(at).to_numpy(), c, replace(params, n_warmup=self.k), least=least, uniform=uniform)
 
+    def blocks(self) -> BlockModel:
+        """The model in blocks of the shared folder, for reads that are mapped."""
+        if "blocks" not in self._local:
+            self._local["blocks"] = BlockModel.of(self)
+        return self._local["blocks"]
+
     def node_ids(self) -> list[int]:
         """Full edge of each node of the model."""
         self.model(hmm.Params.default())

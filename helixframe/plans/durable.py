@@ -1,7 +1,11 @@
 """Cutting lineage so that lost executors cost little: checkpoints in the folder that the cluster names."""
 
+import re
 import tempfile
+import uuid
+from functools import lru_cache
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,3 +22,15 @@ def ensure_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     ensure_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """Path of a new folder in the shared checkpoint folder."""
+    ensure_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+@lru_cache(maxsize=64)
+def store(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system of a path or URI, for tasks that read and write it themselves, and the path in it."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri) if ":" in uri else f"file://{uri}")

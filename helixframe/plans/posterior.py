@@ -148,30 +148,37 @@ def prior(genome_size: int, expected: int, sigma: int) -> float:
 
 
 def likelihoods(g: Assembly, reads: DataFrame, mappings: DataFrame | None, params: hmm.Params, candidates: list[dict[int, int]], sparse: bool = False) -> list[float]:
-    """Log likelihood of all reads under each candidate: one pass over the reads; a task builds each model once. With
-    mappings only their nodes are filled. Without, all nodes are, or with ``sparse`` the active ones (an approximation
-    that takes less time on large graphs); which one does not hang on the size of the graph."""
+    """Log likelihood of all reads under each candidate. With mappings only their nodes are filled: the reads are scored
+    once on blocks of the model, and each candidate again on the reads that touch its changes. Without, all nodes are
+    filled, or with ``sparse`` the active ones (an approximation that takes less time on large graphs); then every task
+    holds the whole model, once for each candidate. Which one does not hang on the size of the graph."""
+    if mappings is not None:
+        return mapped_likelihoods(g, reads, mappings, params, candidates)
     models = [g.model(params, copies=c) for c in candidates]
     shared = reads.sparkSession.sparkContext.broadcast(models)
-    rows = reads.select("read_id", "seq")
-    if mappings is not None:
-        at = reads.sparkSession.createDataFrame(list(enumerate(g.node_ids())), "i int, node long")
-        m = mappings.join(F.broadcast(at), "node").groupBy("read_id", "pos").agg(F.collect_list("i").alias("n")).groupBy("read_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "n"))), lambda s: s["n"]).alias("map"))
-        rows = rows.join(m, "read_id", "left")
 
     def go(batches):
         ms = shared.value
         for t in batches:
-            maps = list(t["map"]) if "map" in t else [None] * len(t)
             seqs = t["seq"].to_list()
             for j, h in enumerate(ms):
-                lps = hmm.forward_scores(h, seqs) if "map" not in t and not sparse else [hmm.score(h, x, m) for x, m in zip(seqs, maps, strict=True)]
+                lps = [hmm.score(h, x) for x in seqs] if sparse else hmm.forward_scores(h, seqs)
                 yield pd.DataFrame({"candidate": [j], "lp": [float(np.sum(lps))]})
 
-    got = {r["candidate"]: r["lp"] for r in rows.mapInPandas(go, "candidate int, lp double").groupBy("candidate").agg(F.sum("lp").alias("lp")).collect()}
+    got = {r["candidate"]: r["lp"] for r in reads.select("read_id", "seq").mapInPandas(go, "candidate int, lp double").groupBy("candidate").agg(F.sum("lp").alias("lp")).collect()}
     return [got.get(j, 0.0) for j in range(len(candidates))]
 
 
+def mapped_likelihoods(g: Assembly, reads: DataFrame, mappings: DataFrame, params: hmm.Params, candidates: list[dict[int, int]]) -> list[float]:
+    """Log likelihood of all reads on their mappings under each candidate, from changes of the graph's own copies."""
+    base = g.facts("copies")
+    rows = [(j, int(e), int(n) - base[e]) for j, c in enumerate(candidates) for e, n in c.items() if n != base[e]]
+    rows += [(j, next(iter(base), 0), 0) for j in range(len(candidates))]  # so that each is there
+    changes = reads.sparkSession.createDataFrame(rows, "candidate long, edge long, delta long")
+    got = {r["candidate"]: r["lp"] for r in g.blocks().candidate_scores(reads, mappings, params, changes).collect()}
+    return [got[j] for j in range(len(candidates))]
+
+
 @dataclass
 class Problem:
     """What a search needs besides the graph."""

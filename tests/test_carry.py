@@ -50,7 +50,7 @@ def test_inherited_tops_are_recomputed_ones(spark):
     g = Assembly.from_kmers(K.from_styled(haps, 8), 8)
     got = inherit.check(g, reads, hmm.Params.uniform(0.001), 10).orderBy("k").collect()
     assert [r.k for r in got] == [9, 10]
-    assert all(r.bases == 40 * (reads.count() - 1) and r.same_top == 1.0 and r.distance < 1e-6 for r in got)
+    assert all(r.bases == 40 * (reads.count() - 1) and r.same_top == 1.0 and r.distance < 1e-4 for r in got)
 
 
 def test_context_mapping(spark):
