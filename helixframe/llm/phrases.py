@@ -1,124 +1,177 @@
 """Phrase collocations by level-wise (Apriori) passes.
 
 Level k counts the k-grams whose both overlapping (k-1)-grams are frequent. The frequent grams of the levels before
-travel to the tasks as a sieve of bounded size: their sorted 64-bit hashes while they are at most ``HASHES``, and beyond
-that a bitmap of ``BITS`` bits. A sieve only lets too much through (equal hashes), never too little, and the counts are
-kept by the grams themselves, so the counts are exact on both ways. Cuts are scored from the level tables by joins.
+travel to the tasks as a sieve: a bitmap of 16 bits a gram, two of them set, and of ``BITS`` bits at most. A sieve lets
+some others through (equal bits), never too few, and the counts are kept by the grams themselves, so they are exact
+whatever the size of the sieve. Cuts are scored from the level tables by joins.
 """
 
+from collections import Counter
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from helixframe.llm.common import cut, only, read
 
-HASHES, BITS = 1 << 22, 1 << 28
-#: Words of a chunk, and distinct grams that a task holds before it hands them over.
-CHUNK, HELD = 1 << 20, 1 << 19
+BITS = 1 << 28
+#: Words that are numbered at once, grams that a task holds before it counts them, rows of a batch handed over.
+CHUNK, HELD, ROWS = 1 << 18, 1 << 22, 1 << 16
+#: Bits of a word's number, so that three fit 64 bits.
+NUMBER = 21
 #: First groups of the ranking; each hands on at most as many rows as are asked for.
 GROUPS = 256
 #: Bytes as a count sees them: A-Z lowered, ends of pieces as line feeds, tabs as blanks.
 SEEN = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
-SEED = 42
 
 
-def gram_hash(lang: Column, gram: Column) -> Column:
-    """Hash of a gram in its language; the tasks compute the same from bytes."""
-    return F.xxhash64(F.concat(lang, F.lit("\t"), gram))
+def mixed(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of grams that a word is put behind."""
+    h = h * np.uint64(0x9E3779B97F4A7C15) + word
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def word_hashes(lang: bytes, words: list[bytes]) -> np.ndarray:
+    seed = xxhash.xxh32_intdigest(lang)
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), dtype=np.uint64, count=len(words))
+
+
+def gram_hash(lang: bytes, gram: bytes) -> int:
+    h = word_hashes(lang, gram.split(b" "))
+    return int(reduce(lambda x, y: mixed(x, y), (h[i : i + 1] for i in range(len(h))))[0])
 
 
 class Sieve:
     """Frequent grams of a level: some others may pass, none is lost."""
 
-    def __init__(self, hashes: np.ndarray | None = None, bitmap: np.ndarray | None = None):
-        self.hashes, self.bitmap = hashes, bitmap
+    def __init__(self, bitmap: np.ndarray):
+        self.bitmap = bitmap  # of 64-bit cells, a power of two of them
 
     @classmethod
-    def of(cls, frequent: DataFrame, hashes: int = HASHES, bits: int = BITS) -> "Sieve":
-        """From (lang, gram). The driver holds 8 bytes for each gram up to ``hashes``, else ``bits`` / 8 bytes."""
-        h = frequent.select(gram_hash(F.col("lang"), F.col("gram")).alias("h"))
-        if frequent.count() <= hashes:
-            return cls(hashes=np.sort(h.toArrow().column(0).to_numpy()))
-        at = F.pmod("h", F.lit(bits))
-        cells = h.groupBy(F.shiftright(at, 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b")).toArrow()
+    def of(cls, frequent: DataFrame, most: int = BITS) -> "Sieve":
+        """From (lang, gram). The driver holds ``most`` / 4 bytes at most, whatever the number of grams."""
+        bits = min(most, max(64, 1 << (16 * frequent.count()).bit_length()))
+
+        def places(batches):
+            for b in batches:
+                h = np.array([gram_hash(x.encode(), g.encode()) for x, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], dtype=np.uint64)
+                both = np.concatenate([h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1)]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(both >> 6), pa.array(np.left_shift(np.int64(1), both & 63))], names=["i", "b"])
+
+        cells = frequent.select("lang", "gram").mapInArrow(places, "i long, b long").groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
         bitmap = np.zeros(bits // 64, dtype=np.int64)
         bitmap[cells.column("i").to_numpy()] = cells.column("b").to_numpy()
-        return cls(bitmap=bitmap)
+        return cls(bitmap)
 
-    def passes(self, lang: bytes, grams: list[bytes]) -> np.ndarray:
-        head = lang + b"\t"
-        h = np.fromiter((xxhash.xxh64_intdigest(head + g, SEED) for g in grams), dtype=np.uint64, count=len(grams)).view(np.int64)
-        if self.bitmap is not None:
-            at = h & (self.bitmap.size * 64 - 1)
-            return (self.bitmap[at >> 6] >> (at & 63)) & 1 > 0
-        if not len(self.hashes):
-            return np.zeros(len(h), dtype=bool)
-        return self.hashes[np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)] == h
+    def passes(self, h: np.ndarray) -> np.ndarray:
+        last = np.uint64(self.bitmap.size * 64 - 1)
+        at = (h & last).astype(np.int64)
+        ok = (self.bitmap[at >> 6] >> (at & 63)) & 1
+        at = ((h >> np.uint64(32)) & last).astype(np.int64)
+        return (ok & (self.bitmap[at >> 6] >> (at & 63))) & 1 > 0
 
 
-class Counter:
-    """Counts of the k-grams of one language in one task; numbers of words and grams hold until the next ``drain``."""
+class Numbers(dict):
+    """Words by number, in the order they come."""
+
+    def __init__(self):
+        super().__init__({b"": 0})
+        self.names = [b""]
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self.names)
+        self.names.append(word)
+        return n
+
+
+class Grams:
+    """The k-grams (k > 1) of one language in one task, by numbers of words that hold until the next ``drain``."""
 
     def __init__(self, lang: bytes, k: int, sieves: list[Sieve]):
-        self.lang, self.k, self.sieves, self.total = lang, k, sieves, 0
+        self.lang, self.k, self.sieves = lang, k, sieves
         self.reset()
 
     def reset(self) -> None:
-        self.numbers: list[dict] = [{b"": 0} if j == 0 else {0: 0} for j in range(max(1, self.k - 1))]  # 0: not frequent
-        self.names: list[list[bytes]] = [[b""] for _ in self.numbers]
-        self.codes, self.counts, self.bytes = np.empty(0, np.int64), np.empty(0, np.int64), 0
-
-    def _number(self, j: int, fresh: list, grams: list[bytes]) -> None:
-        """Numbers for new grams of j + 1 words; those that the level's sieve stops get 0."""
-        ok = self.sieves[j].passes(self.lang, grams) if j < len(self.sieves) else np.ones(len(grams), dtype=bool)
-        seen, names = self.numbers[j], self.names[j]
-        for key, g, there in zip(fresh, grams, ok.tolist(), strict=True):
-            seen[key] = len(names) if there else 0
-            self.bytes += 64 + len(g)
-            if there:
-                names.append(g)
+        self.numbers, self.hash, self.ok = Numbers(), np.zeros(1, np.uint64), np.zeros(1, bool)
+        self.codes: list[np.ndarray] = []
+        self.held = self.bytes = 0
 
     def add(self, flat: list[bytes]) -> None:
         """Words in order, with an empty one behind each piece."""
-        fresh = list(set(flat) - self.numbers[0].keys())
-        self._number(0, fresh, fresh)
-        words = np.fromiter(map(self.numbers[0].__getitem__, flat), dtype=np.int64, count=len(flat))
-        at = words
+        names = self.numbers.names
+        was = len(names)
+        words = np.fromiter(map(self.numbers.__getitem__, flat), dtype=np.int64, count=len(flat))
+        fresh = word_hashes(self.lang, names[was:])
+        self.bytes += sum(map(len, names[was:])) + 128 * len(fresh)
+        self.hash, self.ok = np.concatenate([self.hash, fresh]), np.concatenate([self.ok, self.sieves[0].passes(fresh)])
+        there, hashes = self.ok[words], self.hash[words]
+        h = hashes
         for j in range(1, self.k):
-            both = (at[:-1] > 0) & (at[1:] > 0)
-            code = np.where(both, at[:-1] << 32 | words[j:], 0)
+            there = there[:-1] & there[1:]
             if j < self.k - 1:
-                kinds, back = np.unique(code, return_inverse=True)
-                seen = self.numbers[j]
-                fresh = [c for c in kinds.tolist() if c not in seen]
-                self._number(j, fresh, [self.names[j - 1][c >> 32] + b" " + self.names[0][c & 0xFFFFFFFF] for c in fresh])
-                at = np.fromiter(map(seen.__getitem__, kinds.tolist()), dtype=np.int64, count=len(kinds))[back]
-            else:
-                at = code
-        kinds, n = np.unique(at[at > 0], return_counts=True)
-        self.total += int((words > 0).sum()) if self.k == 1 else 0
-        both = np.concatenate([self.codes, kinds])
-        self.codes, back = np.unique(both, return_inverse=True)
-        self.counts = np.bincount(back, weights=np.concatenate([self.counts, n]), minlength=len(self.codes)).astype(np.int64)
+                h = mixed(h[:-1], hashes[j:])
+                at = np.flatnonzero(there)
+                there[at] = self.sieves[j].passes(h[at])
+        at = np.flatnonzero(there)
+        if self.k <= 3:
+            code = words[at]
+            for j in range(1, self.k):
+                code = code << NUMBER | words[at + j]
+        else:
+            code = np.stack([words[at + j] for j in range(self.k)], axis=1)
+        self.codes.append(code)
+        self.held += len(code)
 
     @property
     def full(self) -> bool:
-        return len(self.codes) > HELD or self.bytes > 128 * HELD
+        return self.held > HELD or self.bytes > 32 * HELD or len(self.numbers.names) > (1 << NUMBER) - CHUNK
 
-    def drain(self) -> tuple[list[bytes], list[int]]:
-        codes = self.codes.tolist()
-        if self.k == 1:
-            grams = [self.names[0][c] for c in codes]
-        else:
-            grams = [self.names[self.k - 2][c >> 32] + b" " + self.names[0][c & 0xFFFFFFFF] for c in codes]
-        out = grams, self.counts.tolist()
+    def drain(self):
+        """Batches of (gram, count)."""
+        codes = np.concatenate(self.codes) if self.codes else np.empty(0, np.int64)
+        names = pa.array(self.numbers.names, pa.large_binary())
+        k, lang = self.k, self.lang
         self.reset()
-        return out
+        codes, n = np.unique(codes, return_counts=True, axis=0 if codes.ndim > 1 else None)
+        for i in range(0, len(codes), ROWS):
+            c = codes[i : i + ROWS]
+            parts = [c[:, j] if c.ndim > 1 else c >> (NUMBER * (k - 1 - j)) & ((1 << NUMBER) - 1) for j in range(k)]
+            grams = pc.binary_join_element_wise(*[names.take(pa.array(p)) for p in parts], pa.scalar(b" ", pa.large_binary()))
+            yield batch(lang, grams.cast(pa.binary()), n[i : i + ROWS])
+
+
+def batch(lang: bytes, grams, n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.binary()), grams if isinstance(grams, pa.Array) else pa.array(grams, pa.binary()), pa.array(n, pa.int64())], names=["lang", "gram", "f"])
+
+
+class Words:
+    """Words of one language in one task."""
+
+    def __init__(self, lang: bytes):
+        self.lang, self.counts, self.total = lang, Counter(), 0
+
+    def add(self, flat: list[bytes]) -> None:
+        self.counts.update(flat)
+        self.total += len(flat) - self.counts.pop(b"", 0)
+
+    @property
+    def full(self) -> bool:
+        return len(self.counts) > HELD // 8
+
+    def drain(self):
+        counts, total = self.counts, self.total
+        self.counts, self.total = Counter(), 0
+        grams, n = list(counts), list(counts.values())
+        for i in range(0, len(grams), ROWS):
+            yield batch(self.lang, grams[i : i + ROWS], n[i : i + ROWS])
+        if total:
+            yield batch(self.lang, [None], [total])
 
 
 def pieces(text: bytes) -> list[list[bytes]]:
@@ -132,45 +185,40 @@ def level(docs: DataFrame, k: int, sieves: list[Sieve], least: int) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(sieves)
 
     def go(batches):
-        held: dict[bytes, Counter] = {}
+        held: dict[bytes, Words | Grams] = {}
+        waiting: dict[bytes, list[bytes]] = {}
 
-        def rows(c: Counter):
-            grams, n = c.drain()
-            if grams:
-                yield pa.RecordBatch.from_arrays([pa.array([c.lang] * len(grams), pa.binary()), pa.array(grams, pa.binary()), pa.array(n, pa.int64())], names=["lang", "gram", "f"])
-            if c.total:
-                yield pa.RecordBatch.from_arrays([pa.array([c.lang], pa.binary()), pa.array([None], pa.binary()), pa.array([c.total], pa.int64())], names=["lang", "gram", "f"])
-                c.total = 0
+        def take(lang: bytes):
+            c = held.get(lang) or held.setdefault(lang, Words(lang) if k == 1 else Grams(lang, k, shared.value))
+            c.add(waiting.pop(lang))
+            if c.full:
+                yield from c.drain()
 
         for b in batches:
-            flats: dict[bytes, list[bytes]] = {}
             for lang, text in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                flat = flats.setdefault(lang, [])
+                flat = waiting.setdefault(lang, [])
                 for words in pieces(text):
                     if words:
                         flat += words
                         flat.append(b"")
-                if len(flat) > CHUNK:
-                    c = held.setdefault(lang, Counter(lang, k, shared.value))
-                    c.add(flats.pop(lang))
-                    if c.full:
-                        yield from rows(c)
-            for lang, flat in flats.items():
-                if not flat:
-                    continue
-                c = held.setdefault(lang, Counter(lang, k, shared.value))
-                c.add(flat)
-                if c.full:
-                    yield from rows(c)
+                    if len(flat) > CHUNK:
+                        yield from take(lang)
+                        flat = waiting.setdefault(lang, [])
+            while sum(map(len, waiting.values())) > CHUNK:
+                yield from take(max(waiting, key=lambda x: len(waiting[x])))
+            while sum(c.held for c in held.values() if k > 1) > HELD:
+                yield from max(held.values(), key=lambda c: c.held).drain()
+        for lang in list(waiting):
+            yield from take(lang)
         for c in held.values():
-            yield from rows(c)
+            yield from c.drain()
 
     parts = docs.mapInArrow(go, "lang binary, gram binary, f long")
     parts = parts.select(F.col("lang").cast("string").alias("lang"), F.col("gram").cast("string").alias("gram"), "f")
     return parts.groupBy("lang", "gram").agg(F.sum("f").alias("f")).where(F.col("gram").isNull() | (F.col("f") >= least))
 
 
-def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", words: int = 3, least: int = 10, cover: int = 50, top: int = 2000, hashes: int = HASHES) -> DataFrame:
+def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", words: int = 3, least: int = 10, cover: int = 50, top: int = 2000, bits: int = BITS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the collocations of each language, best first.
 
     Candidates are phrases of 2 to ``words`` words that occur ``least`` times; a cut is scored floor(1000000 a a / (l r))
@@ -187,7 +235,7 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", words: int
             total = t.where("gram is null").select("lang", F.col("f").alias("n"))
         tables.append(t.where("gram is not null"))
         if k < words:
-            sieves.append(Sieve.of(tables[-1], hashes))
+            sieves.append(Sieve.of(tables[-1], bits))
     freq = reduce(DataFrame.unionByName, tables)
     cand = reduce(DataFrame.unionByName, [t.withColumn("m", F.lit(k + 2)) for k, t in enumerate(tables[1:])])
     part = lambda start, n: F.array_join(F.slice("w", start, n), " ")

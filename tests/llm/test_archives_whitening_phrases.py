@@ -248,39 +248,51 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize(("hashes", "more"), [(1 << 22, {}), (3, {}), (1 << 22, {"words": 4, "cover": 80, "top": 7, "least": 12})])
-def test_phrases(spark, monkeypatch, hashes, more):
+@pytest.mark.parametrize(("bits", "more"), [(phrases.BITS, {}), (64, {}), (phrases.BITS, {"words": 4, "cover": 80, "top": 7, "least": 12}), (64, {"words": 5, "least": 11})])
+def test_phrases(spark, bits, more):
+    """Also with sieves that let nearly all through."""
     rows = corpus()
     df = spark.createDataFrame([(t, lang, 1, "x") for t, lang in rows], "text string, lang string, f int, gram string").repartition(5)
-    got = phrases.phrases(df, hashes=hashes, **more)
+    got = phrases.phrases(df, bits=bits, **more)
     assert sorted(tuple(r) for r in got.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()) == brute_phrases(rows, **more)
 
 
-def test_phrases_in_small_portions(spark, monkeypatch):
-    rows = corpus()[:160]
-    df = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+@pytest.mark.parametrize("k", [1, 2, 3, 4])
+def test_grams_in_small_portions(spark, k):
+    rows = [(t, lang) for t, lang in corpus()[:170] if lang == "aa"]
+    flat = [w for t, _ in rows for p in phrases.pieces((t or "").encode()) if p for w in [*p, b""]]
+    every = phrases.Sieve(np.full(1, -1, np.int64))
 
-    def counted(chunk, held):
-        c = phrases.Counter(b"aa", 3, [])
-        flat = [w for t, lang in rows if lang == "aa" for p in phrases.pieces((t or "").encode()) if p for w in [*p, b""]]
-        total = Counter()
-        at = 0
+    def counted(chunk, often):
+        c, total, at = phrases.Words(b"aa") if k == 1 else phrases.Grams(b"aa", k, [every] * k), Counter(), 0
         while at < len(flat):
             end = flat.index(b"", min(at + chunk, len(flat) - 1)) + 1
             c.add(flat[at:end])
             at = end
-            if len(c.codes) > held or at >= len(flat):
-                total.update(dict(zip(*c.drain(), strict=True)))
+            if often or at >= len(flat):
+                for b in c.drain():
+                    for gram, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                        total[gram] += n
         return total
 
-    assert counted(10, 5) == counted(1 << 20, 1 << 20)
-    assert phrases.phrases(df.limit(0)).count() == 0
+    f = Counter()
+    for t, _ in rows:
+        for w in phrases.pieces((t or "").encode()):
+            f.update(b" ".join(w[i : i + k]) for i in range(len(w) - k + 1))
+    got = counted(10, True)
+    assert got == counted(1 << 20, False) and (got.pop(None) == sum(f.values()) if k == 1 else True) and got == f
 
 
-def test_hash_of_tasks_is_that_of_spark(spark):
-    grams = [("aa", "new york"), ("", "é ß"), ("zz", "x" * 100)]
-    df = spark.createDataFrame(grams, "lang string, gram string")
-    sieve = phrases.Sieve.of(df)
-    for s in (sieve, phrases.Sieve.of(df, 0, 1 << 12)):
-        assert all(s.passes(lang.encode(), [gram.encode()])[0] for lang, gram in grams)
-    assert not sieve.passes(b"aa", [b"other", b"york new"]).any()
+def test_no_documents(spark):
+    assert phrases.phrases(spark.createDataFrame([], "text string, lang string")).count() == 0
+    assert phrases.phrases(spark.createDataFrame([(None, None), ("", "aa")], "text string, lang string")).count() == 0
+
+
+def test_sieves(spark):
+    grams = [("aa", "new york"), ("", "é ß"), ("zz", "x" * 100), ("aa", "one two three")]
+    frame = spark.createDataFrame(grams, "lang string, gram string")
+    for most in (64, phrases.BITS):
+        sieve = phrases.Sieve.of(frame, most)
+        assert all(sieve.passes(np.array([phrases.gram_hash(x.encode(), g.encode())], np.uint64))[0] for x, g in grams)
+    others = np.array([phrases.gram_hash(b"aa", b"other %d" % i) for i in range(1000)], np.uint64)
+    assert sieve.passes(others).mean() < 0.1 and not phrases.Sieve.of(frame.limit(0)).passes(others).any()
