@@ -4,7 +4,8 @@ letters of the pages' addresses."""
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
-from helixframe.operators import blocks, hmm, inherit
+from helixframe.more_queries import NET, net
+from helixframe.operators import blocks, hmm, inherit, search
 from helixframe.operators import graph as G
 from helixframe.operators import kmers as K
 from helixframe.plans import samples
@@ -156,3 +157,37 @@ def model_candidates(spark, sf):
     changes = spark.createDataFrame(rows, "candidate long, kmer string, delta long").join(edges.select("kmer", F.col("edge_id").alias("edge")), "kmer")
     got = model.candidate_scores(r, cut(inherit.by_context(r, edges, 5)), hmm.Params.zero_error(), changes)
     return got.select("candidate", F.round("lp", 3).alias("lp"), "rescored")
+
+
+# ---- searches by joins on the graph of suppliers
+
+FLOW = f"{NET}, f AS (SELECT *, edge_id % 3 AS flow, CAST(edge_id * 7 % 11 + 1 AS DOUBLE) AS cost FROM net)"
+ARCS = "arcs AS (SELECT edge_id, 1 AS dir, source, target, cost FROM f UNION ALL SELECT edge_id, -1, target, source, cost FROM f WHERE flow > 0)"
+
+
+def flow_net(spark, sf):
+    return net(spark, sf).withColumn("flow", F.col("edge_id") % 3).withColumn("cost", (F.col("edge_id") * 7 % 11 + 1).cast("double")).withColumn("low", F.lit(0)).withColumn("high", F.col("flow") + 1)
+
+
+TEXT = "array_to_string(list_transform(path, lambda a: 'e' || (abs(a) - 1) || CASE WHEN a > 0 THEN '+' ELSE '-' END), '')"
+
+
+@query(f"""WITH RECURSIVE {FLOW}, {ARCS}, d AS (SELECT edge_id AS origin, target AS node, 1 AS hops, {{'cost': cost, 'path': [{{'e': edge_id, 'd': 1}}]}} AS best FROM arcs WHERE dir = 1 AND source <> target
+UNION ALL SELECT origin, node, hops, best FROM (SELECT d.origin, a.target AS node, d.hops + 1 AS hops, min({{'cost': d.best.cost + a.cost, 'path': list_append(d.best.path, {{'e': a.edge_id, 'd': a.dir}})}}) AS best FROM d JOIN arcs a ON a.source = d.node AND a.edge_id <> d.origin WHERE d.hops < 12 AND d.node <> (SELECT source FROM f WHERE edge_id = d.origin) GROUP BY d.origin, a.target, d.hops)),
+best AS (SELECT origin, min({{'cost': best.cost, 'hops': hops, 'path': best.path}}) AS b FROM d JOIN f ON f.edge_id = d.origin AND f.source = d.node GROUP BY origin)
+SELECT edge_id, cost, CAST(1 AS INT) AS hops, 'e' || edge_id || '+' AS cycle FROM f WHERE source = target
+UNION ALL SELECT origin, b.cost, CAST(b.hops AS INT), array_to_string(list_transform(b.path, lambda a: 'e' || a.e || CASE WHEN a.d > 0 THEN '+' ELSE '-' END), '') FROM best WHERE len(list_distinct(list_transform(b.path, lambda a: a.e))) = len(b.path)""")
+def net_shortest_cycles(spark, sf):
+    """The cheapest cycle of at most 12 arcs over each edge that raises it, in the residual graph; one search for all."""
+    arcs = search.residual(flow_net(spark, sf), F.col("cost"))
+    got = search.shortest_cycles(arcs, arcs.where("dir = 1"), 12)
+    return got.select("edge_id", "cost", "hops", search.cycle_text().alias("cycle"))
+
+
+@query(f"""WITH RECURSIVE {FLOW}, {ARCS}, p AS (SELECT source AS root, target AS node, [(edge_id + 1) * dir] AS path, [target] AS seen, 0 AS flips, dir FROM arcs WHERE target >= source
+UNION ALL SELECT p.root, a.target, list_append(path, (a.edge_id + 1) * a.dir), list_append(seen, a.target), flips + CAST(p.dir <> a.dir AS INT), a.dir FROM p JOIN arcs a ON a.source = p.node
+WHERE p.node <> p.root AND len(path) < 4 AND a.target >= p.root AND NOT list_contains(seen, a.target) AND NOT list_contains(path, a.edge_id + 1) AND NOT list_contains(path, -a.edge_id - 1) AND flips + CAST(p.dir <> a.dir AS INT) <= 2)
+SELECT root, {TEXT} AS cycle, CAST(flips AS INT) AS flips FROM p WHERE node = root""")
+def net_short_moves(spark, sf):
+    """Changes of at most four edges and two turns that keep a circulation."""
+    return search.short_moves(flow_net(spark, sf), 4, 2).select("root", search.cycle_text().alias("cycle"), "flips")
