@@ -7,7 +7,7 @@ from helixframe.functions import sequence as S
 from helixframe.operators import graph as G
 from helixframe.operators import kmers as K
 from helixframe.operators.assembly import Assembly
-from helixframe.queries import COUNTED, KMER, READS, TWO, query, reads, table, two, unitigs, windows
+from helixframe.queries import COUNTED, KMER, READS, TWO, dbg_scc, query, reads, table, two, unitigs, windows
 
 LINEAR = f"WITH {READS}, padded AS (SELECT read_id, repeat('n', 4) || seq || repeat('n', 4) AS seq FROM reads WHERE length(seq) >= 5), {windows('padded', 5)}, kmers AS (SELECT kmer, CAST(count(*) AS BIGINT) AS n FROM rows GROUP BY kmer)"
 
@@ -198,6 +198,15 @@ more AS (SELECT repeat('n', CAST(i AS INT)) || left(kmer, {KMER} - CAST(i AS INT
 aug AS (SELECT kmer, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM few UNION ALL SELECT * FROM more) GROUP BY kmer), {numbered_sql('aug', KMER)}"""
 
 
+#: Of the component of the end of all linear genomes, which is what it reaches and what reaches it, and of the rest by closure.
+query(f"""WITH RECURSIVE {AUGMENTED.removeprefix('WITH ')}, n AS (SELECT DISTINCT source, target FROM e), t AS (SELECT node_id FROM ids WHERE node = '{'n' * (KMER - 1)}'),
+fore AS (SELECT node_id AS v FROM t UNION SELECT n.target FROM fore JOIN n ON n.source = fore.v), back AS (SELECT node_id AS v FROM t UNION SELECT n.source FROM back JOIN n ON n.target = back.v), core AS (SELECT v FROM fore INTERSECT SELECT v FROM back),
+rest AS (SELECT node_id AS v FROM ids WHERE node_id NOT IN (SELECT v FROM core)), inside AS (SELECT * FROM n WHERE source IN (SELECT v FROM rest) AND target IN (SELECT v FROM rest)),
+reach AS (SELECT v AS a, v AS b FROM rest UNION SELECT r.a, i.target FROM reach r JOIN inside i ON r.b = i.source),
+scc AS (SELECT x.a AS node, min(x.b) AS scc FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a UNION ALL SELECT v, (SELECT min(v) FROM core) FROM core), m AS (SELECT scc, count(*) AS edges FROM e JOIN scc ON e.target = scc.node GROUP BY scc)
+SELECT CAST(s.scc AS BIGINT) AS scc, CAST(count(*) AS BIGINT) AS nodes, CAST(coalesce(any_value(m.edges), 0) AS BIGINT) AS edges FROM scc s LEFT JOIN m ON s.scc = m.scc GROUP BY s.scc""")(dbg_scc)
+
+
 @query(f"WITH RECURSIVE {AUGMENTED.removeprefix('WITH ')}, {walk_sql(KMER)} SELECT CAST(source AS BIGINT) AS source, CAST(target AS BIGINT) AS target, array_to_string(path, ',') AS path FROM c")
 def dbg_unitigs(spark, sf):
     """Simple paths of the frequent 8-mers; circles of inner nodes alone, if there are any, have no place to begin in SQL."""

@@ -5,6 +5,7 @@ are numpy functions in ``kernels``, run by applyInPandas on the compacted graph.
 """
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,16 +23,26 @@ def degree_stats(edges: DataFrame) -> DataFrame:
 
 
 def remove_dead_end_nodes(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Edges left after removing nodes without a way in or out until there are none."""
-    live = cut(edges)
+    """Edges left after removing nodes without a way in or out until there are none.
+
+    Each round drops the edges at such nodes and then makes one edge of each simple path, so that a path of any length
+    goes in one round and a tree in as many as the logarithm of its size."""
+    live, levels = cut(edges.select("edge_id", "source", "target")), []
     for _ in range(max_rounds):
-        gone = degrees(live).where("n_in = 0 or n_out = 0").select("node")
-        nxt = live.join(gone, live["source"] == gone["node"], "left_anti")
-        nxt = cut(nxt.join(gone, nxt["target"] == gone["node"], "left_anti"))
-        if nxt.count() == live.count():
-            return nxt
-        live = nxt
-    raise RuntimeError("dead ends did not settle")
+        gone = cut(degrees(live).where("n_in = 0 or n_out = 0").select("node"))
+        if gone.isEmpty():
+            break
+        left = live.join(gone, live["source"] == gone["node"], "left_anti")
+        left = cut(left.join(gone, left["target"] == gone["node"], "left_anti"))
+        places = simple_paths(left, _inner(left))
+        levels.append(places.select(F.col("e").alias("edge_id"), F.col("head")))
+        live = _joined(left, places)
+    else:
+        raise RuntimeError("dead ends did not settle")
+    alive = live.select("edge_id")
+    for level in reversed(levels):
+        alive = cut(level.join(alive.withColumnRenamed("edge_id", "head"), "head", "left_semi").select("edge_id"))
+    return edges.join(alive, "edge_id", "left_semi")
 
 
 def isolated_nodes_removed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -53,15 +64,31 @@ def compact(edges: DataFrame, keep: DataFrame | None = None) -> DataFrame:
     paths take O(log length) joins. A cycle of contracted nodes alone ends as one loop, broken before its smallest
     edge. Ids are the smallest edge of each path, in the order of ids.
     """
+    e = edges.select("edge_id", "source", "target")
+    paths = simple_paths(e, _inner(e, keep))
+    full = paths.join(e.withColumnRenamed("edge_id", "e"), "e")
+    out = full.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("d", "e", "source", "target"))).alias("x"))
+    out = out.select(F.array_min(F.transform("x", lambda s: s["e"])).alias("_low"), F.col("x")[0]["source"].alias("source"), F.element_at("x", -1)["target"].alias("target"), F.transform("x", lambda s: s["e"]).alias("edges_in_full"))
+    from helixframe.operators.kmers import number
+
+    return number(out.orderBy("_low"), "edge_id").select("edge_id", "source", "target", "edges_in_full")
+
+
+def _inner(edges: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+    """(node): nodes to contract."""
     inner = degrees(edges).where("n_in = 1 and n_out = 1").select("node")
     loops = edges.where("source = target").select(F.col("source").alias("node"))
     inner = inner.join(loops, "node", "left_anti")
-    if keep is not None:
-        inner = inner.join(keep.select("node"), "node", "left_anti")
-    e = edges.select("edge_id", "source", "target")
+    return inner if keep is None else inner.join(keep.select("node"), "node", "left_anti")
+
+
+def simple_paths(e: DataFrame, inner: DataFrame) -> DataFrame:
+    """(e, head, d): the simple path of each edge, named by its first edge, and the edge's place in it; by pointer doubling,
+    in rows of fixed size."""
+    inner = cut(inner)
     before = e.join(inner, e["target"] == inner["node"], "left_semi").select(F.col("edge_id").alias("prev"), F.col("target").alias("source"))
     ptr = cut(e.join(before, "source", "left").select(F.col("edge_id").alias("e"), F.coalesce("prev", "edge_id").alias("p"), F.when(F.col("prev").isNull(), 0).otherwise(1).cast("long").alias("d"), F.least("edge_id", F.coalesce("prev", "edge_id")).alias("low")))
-    n_edges, span, moving = e.count(), 1, True
+    n_edges, span, moving = e.count(), 1, not inner.isEmpty()
     while moving and span < 2 * n_edges:
         up = ptr.select(F.col("e").alias("p"), F.col("p").alias("pp"), F.col("d").alias("dd"), F.col("low").alias("ll"))
         ptr = cut(ptr.join(up, "p").select("e", F.col("pp").alias("p"), (F.col("d") + F.col("dd")).alias("d"), F.least("low", "ll").alias("low")))
@@ -73,12 +100,14 @@ def compact(edges: DataFrame, keep: DataFrame | None = None) -> DataFrame:
     rings = ptr.join(heads, "p", "left_anti")
     if not rings.isEmpty():
         paths = paths.unionByName(_rings(rings.select("e", "low"), e, inner))
-    full = paths.join(e.withColumnRenamed("edge_id", "e"), "e")
-    out = full.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("d", "e", "source", "target"))).alias("x"))
-    out = out.select(F.array_min(F.transform("x", lambda s: s["e"])).alias("_low"), F.col("x")[0]["source"].alias("source"), F.element_at("x", -1)["target"].alias("target"), F.transform("x", lambda s: s["e"]).alias("edges_in_full"))
-    from helixframe.operators.kmers import number
+    return cut(paths)
 
-    return number(out.orderBy("_low"), "edge_id").select("edge_id", "source", "target", "edges_in_full")
+
+def _joined(e: DataFrame, places: DataFrame) -> DataFrame:
+    """One edge (edge_id, source, target) for each simple path, under the id of its first edge."""
+    at = places.join(e.withColumnRenamed("edge_id", "e"), "e")
+    ends = at.groupBy("head").agg(F.min_by("source", "d").alias("source"), F.max_by("target", "d").alias("target"))
+    return cut(ends.select(F.col("head").alias("edge_id"), "source", "target"))
 
 
 def _rings(rings: DataFrame, edges: DataFrame, inner: DataFrame) -> DataFrame:
@@ -95,22 +124,74 @@ def _rings(rings: DataFrame, edges: DataFrame, inner: DataFrame) -> DataFrame:
 
 
 def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(node, scc) by forward and backward colouring: colours spread forward from the smallest node, and what a colour's
-    root reaches backward inside the colour is its component; the rest goes on without it."""
-    nodes = edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node"))).distinct()
-    left, e, done = cut(nodes), cut(edges.select("source", "target").distinct()), None
+    """(node, scc): strongly connected components, named by their smallest node.
+
+    The graph is first cut down: nodes without a way in or out are components of their own, and simple paths become
+    edges, again and again while that helps; a path or tree takes O(log) rounds. What is left is coloured: colours spread
+    forward from the smallest node, what a colour's root reaches backward inside the colour is a component, and the
+    rest is cut down again. Last, the nodes of contracted paths join the component of both ends of their path, or are
+    their own."""
+    ids = edges.select("source", "target")
+    nodes = cut(ids.select(F.col("source").alias("node")).unionByName(ids.select(F.col("target").alias("node"))).distinct())
+    e, levels, found = _named_edges(ids), [], []
     for _ in range(max_rounds):
+        e, more = _cut_down(e, max_rounds)
+        levels += more
+        left = cut(e.select(F.col("source").alias("node")).unionByName(e.select(F.col("target").alias("node"))).distinct())
         if left.isEmpty():
-            return done if done is not None else nodes.select("node", F.col("node").alias("scc"))
-        colour = _spread(left.select("node", F.col("node").alias("c")), e)
-        own = colour.where("node = c").select("node", "c")
-        ce = e.join(colour.withColumnRenamed("node", "source").withColumnRenamed("c", "cs"), "source").join(colour.withColumnRenamed("node", "target").withColumnRenamed("c", "ct"), "target").where("cs = ct").select(F.col("target").alias("source"), F.col("source").alias("target"))
-        back = _reach(own.select("node"), cut(ce))
-        found = cut(colour.join(back, "node", "left_semi").select("node", F.col("c").alias("scc")))
-        done = found if done is None else cut(done.unionByName(found))
-        left = cut(left.join(found, "node", "left_anti"))
-        e = cut(e.join(left.withColumnRenamed("node", "source"), "source", "left_semi").join(left.withColumnRenamed("node", "target"), "target", "left_semi").select("source", "target"))
-    raise RuntimeError("components did not settle")
+            break
+        pairs = e.select("source", "target")
+        colour = _spread(left.select("node", F.col("node").alias("c")), pairs)
+        same = pairs.join(colour.withColumnRenamed("node", "source").withColumnRenamed("c", "cs"), "source").join(colour.withColumnRenamed("node", "target").withColumnRenamed("c", "ct"), "target").where("cs = ct")
+        back = _reach(colour.where("node = c").select("node"), cut(same.select(F.col("target").alias("source"), F.col("source").alias("target"))))
+        got = cut(colour.join(back, "node", "left_semi").select("node", F.col("c").alias("scc")))
+        found.append(got)
+        ways = e.join(got.withColumnRenamed("node", "source").drop("scc"), "source", "left_anti")
+        e = cut(ways.join(got.withColumnRenamed("node", "target").drop("scc"), "target", "left_anti").select("edge_id", "source", "target"))
+    else:
+        raise RuntimeError("components did not settle")
+    inside = reduce(DataFrame.unionByName, levels).select("node").distinct() if levels else nodes.limit(0)
+    known = reduce(DataFrame.unionByName, found) if found else nodes.limit(0).withColumn("scc", F.col("node"))
+    # nodes that were never contracted are coloured or alone; contracted ones follow, the last contracted first
+    own = nodes.join(inside, "node", "left_anti").join(known, "node", "left").select("node", F.coalesce("scc", "node").alias("scc"))
+    scc = cut(own)
+    for level in reversed(levels):
+        a = scc.select(F.col("node").alias("u"), F.col("scc").alias("a"))
+        b = scc.select(F.col("node").alias("v"), F.col("scc").alias("b"))
+        new = level.join(a, "u").join(b, "v").select("node", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("node")).alias("scc"))
+        scc = cut(scc.unionByName(new))
+    least = scc.groupBy("scc").agg(F.min("node").alias("least"))
+    return scc.join(least, "scc").select("node", F.col("least").alias("scc"))
+
+
+def _named_edges(pairs: DataFrame) -> DataFrame:
+    """Edges (edge_id, source, target) of the different pairs, loops left out."""
+    return cut(cut(pairs.where("source <> target").distinct()).withColumn("edge_id", F.monotonically_increasing_id()).select("edge_id", "source", "target"))
+
+
+def _cut_down(e: DataFrame, max_rounds: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(edges left, contracted nodes as frames (node, u, v) of the ends of their paths), after dropping ends and
+    contracting paths until a round takes less than a twentieth of the edges."""
+    levels, n = [], e.count()
+    for _ in range(max_rounds):
+        if not n:
+            break
+        gone = cut(degrees(e).where("n_in = 0 or n_out = 0").select("node"))
+        left = e.join(gone, e["source"] == gone["node"], "left_anti")
+        left = cut(left.join(gone, left["target"] == gone["node"], "left_anti"))
+        places = simple_paths(left, _inner(left))
+        paths = _joined(left, places)
+        last = places.groupBy("head").agg(F.max("d").alias("last"))
+        inner = places.join(last, "head").where("d < last").join(left.withColumnRenamed("edge_id", "e").drop("source"), "e")
+        inner = inner.select("head", F.col("target").alias("node")).join(paths.select(F.col("edge_id").alias("head"), F.col("source").alias("u"), F.col("target").alias("v")), "head")
+        inner = cut(inner.select("node", "u", "v"))
+        if not inner.isEmpty():
+            levels.append(inner)
+        e = _named_edges(paths)
+        was, n = n, e.count()
+        if 20 * (was - n) < was:
+            break
+    return e, levels
 
 
 def _spread(labels: DataFrame, e: DataFrame) -> DataFrame:
