@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
 from helixframe.more_queries import NET, net
-from helixframe.operators import blocks, hmm, inherit, search
+from helixframe.operators import blocks, euler, hmm, inherit, search
 from helixframe.operators import graph as G
 from helixframe.operators import kmers as K
 from helixframe.plans import samples
@@ -191,3 +191,35 @@ SELECT root, {TEXT} AS cycle, CAST(flips AS INT) AS flips FROM p WHERE node = ro
 def net_short_moves(spark, sf):
     """Changes of at most four edges and two turns that keep a circulation."""
     return search.short_moves(flow_net(spark, sf), 4, 2).select("root", search.cycle_text().alias("cycle"), "flips")
+
+
+# ---- Euler circuits
+
+RINGS = f"""WITH {URLS}, rings AS (SELECT left(repeat(seq, 4), CAST(length(seq) + 3 AS INT)) AS ring FROM urls WHERE length(seq) >= 1),
+t AS (SELECT substr(ring, CAST(i AS BIGINT), 4) AS kmer FROM rings, generate_series(1, length(ring) - 3) t(i))"""
+
+
+def rings(spark, sf):
+    """(nodes, edges) of the 4-mers of the addresses as circles."""
+    haps = urls(spark, sf).where("seq <> ''").select("seq", F.lit("C").alias("style"))
+    return K.numbered(K.from_styled(haps, 4))
+
+
+@query(f"{RINGS} SELECT kmer, CAST(count(*) AS BIGINT) AS uses, CAST(count(*) AS BIGINT) AS joined FROM t GROUP BY kmer")
+def euler_circuit_uses(spark, sf):
+    """How often the Euler circuits of all addresses pass each 4-mer, and how often the next use begins where it ends. SQL
+    can't tell which circuit it is, but that each copy is used once and each step is joined."""
+    _, edges = rings(spark, sf)
+    c = cut(euler.circuits(edges))
+    bad = euler.broken(c).withColumn("bad", F.lit(1))
+    got = c.join(bad, ["circuit", "i"], "left").groupBy("edge_id").agg(F.count("*").alias("uses"), (F.count("*") - F.count("bad")).alias("joined"))
+    return got.join(edges.select("edge_id", "kmer"), "edge_id").select("kmer", "uses", "joined")
+
+
+@query(f"""WITH RECURSIVE {RINGS.removeprefix('WITH ')}, n AS (SELECT DISTINCT left(kmer, 3) AS a, substr(kmer, 2) AS b FROM t), reach AS (SELECT a, a AS b FROM n UNION SELECT r.a, n.b FROM reach r JOIN n ON n.a = r.b),
+part AS (SELECT a, min(b) AS part FROM reach GROUP BY a) SELECT CAST(count(*) AS BIGINT) AS steps, min(t.kmer) AS first FROM t JOIN part ON part.a = left(t.kmer, 3) GROUP BY part""")
+def euler_circuit_sizes(spark, sf):
+    """Steps and smallest 4-mer of each circuit: there is one for each connected part."""
+    _, edges = rings(spark, sf)
+    got = euler.circuits(edges).join(edges.select("edge_id", "kmer"), "edge_id").groupBy("circuit").agg(F.count("*").alias("steps"), F.min("kmer").alias("first"))
+    return got.select("steps", "first")

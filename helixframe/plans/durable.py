@@ -24,6 +24,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder. A checkpoint keeps what Spark knows of the columns of a frame; where a loop makes a
+    frame from its own last state that grows with each round, and planning with it. A table knows nothing."""
+    path = shared_folder(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """Path of a new folder in the shared checkpoint folder."""
     ensure_dir(spark)
