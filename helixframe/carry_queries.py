@@ -5,13 +5,13 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
 from helixframe.more_queries import NET, net
-from helixframe.operators import blocks, euler, hmm, inherit, search
+from helixframe.operators import blocks, euler, hmm, inherit, search, spans
 from helixframe.operators import graph as G
 from helixframe.operators import kmers as K
 from helixframe.plans import samples
 from helixframe.plans.durable import cut, shared_folder
-from helixframe.queries import query, table
-from helixframe.sources import fasta, formats
+from helixframe.queries import READS, query, reads, table
+from helixframe.sources import fasta, formats, ranges
 
 URLS = "urls AS (SELECT page_id AS read_id, upper(regexp_replace(coalesce(url, ''), '[^ACGTacgt]', '', 'g')) AS seq FROM pages)"
 
@@ -223,3 +223,37 @@ def euler_circuit_sizes(spark, sf):
     _, edges = rings(spark, sf)
     got = euler.circuits(edges).join(edges.select("edge_id", "kmer"), "edge_id").groupBy("circuit").agg(F.count("*").alias("steps"), F.min("kmer").alias("first"))
     return got.select("steps", "first")
+
+
+# ---- running totals, spans, FASTA by ranges
+
+
+@query(f"""WITH {READS}, t AS (SELECT read_id, length(seq) AS bases, coalesce(sum(length(seq)) OVER (ORDER BY read_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, (SELECT sum(length(seq)) FROM reads) // 3 AS target FROM reads)
+SELECT read_id, CAST(bases AS BIGINT) AS bases, CAST(before AS BIGINT) AS before FROM t WHERE before < target""")
+def reads_up_to_target(spark, sf):
+    """Reads in their order until they hold a third of all bases."""
+    r = cut(reads(spark, sf).select("read_id", F.length("seq").cast("long").alias("bases")))
+    target = r.agg(F.sum("bases")).first()[0] or 0
+    return spans.up_to(r, ["read_id"], "bases", target // 3)
+
+
+PLACES = "p AS (SELECT page_id, length(url) AS host, page_id * 37 % 5000 AS lo, page_id * 37 % 5000 + 1 + (page_id % 11) * (page_id % 13) AS hi FROM pages), q AS (SELECT page_id AS other, length(url) AS host, page_id * 91 % 5000 AS a, page_id * 91 % 5000 + CASE WHEN page_id % 97 = 0 THEN 600 ELSE page_id % 7 END AS b FROM pages)"
+
+
+@query(f"WITH {PLACES} SELECT page_id, CAST(count(*) AS BIGINT) AS met, CAST(sum(least(hi, b) - greatest(lo, a)) AS BIGINT) AS shared FROM p JOIN q ON p.host = q.host AND lo < b AND a < hi AND a < b GROUP BY page_id")
+def span_overlaps(spark, sf):
+    """Spans of mixed sizes on as many lines as addresses have lengths: partners of each and what they share."""
+    t, i = table(spark, sf, "pages"), F.col("page_id")
+    host = F.length("url").cast("long").alias("host")
+    p = t.select("page_id", host, (i * 37 % 5000).alias("lo"), (i * 37 % 5000 + 1 + (i % 11) * (i % 13)).alias("hi"))
+    q = t.select(i.alias("other"), host, (i * 91 % 5000).alias("a"), (i * 91 % 5000 + F.when(i % 97 == 0, 600).otherwise(i % 7)).alias("b"))
+    met = spans.overlaps(p, q, ["host"], ("lo", "hi"), ("a", "b"))
+    return met.groupBy("page_id").agg(F.count("*").alias("met"), F.sum(F.least("hi", "b") - F.greatest("lo", "a")).alias("shared"))
+
+
+@query(f"WITH {URLS}, t AS (SELECT substr(seq, CAST(i AS BIGINT), 5) AS kmer FROM urls, generate_series(1, length(seq) - 4) t(i) WHERE length(seq) >= 5) SELECT kmer, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY kmer")
+def fasta_range_kmers(spark, sf):
+    """5-mers of the addresses, counted in FASTA files by ranges of 4 KiB that cut records, headers and lines anywhere."""
+    path = shared_folder(spark, "urls.fa")
+    fasta.write_reads(urls(spark, sf), path, one=False)
+    return ranges.kmer_counts(spark, path, 5, 4096)
