@@ -46,10 +46,10 @@ def paired(rows: DataFrame) -> DataFrame:
 def cycles(pairs: DataFrame) -> DataFrame:
     """(u, cycle): the smallest use of each cycle of next pointers, by doubling: equal minima of neighbouring stretches
     mean that the stretches are the whole cycle, as uses differ."""
-    ptr = cut(pairs.select("u", F.col("next").alias("p"), F.least("u", "next").alias("low")))
+    ptr = written(pairs.select("u", F.col("next").alias("p"), F.least("u", "next").alias("low")))
     while True:
         up = ptr.select(F.col("u").alias("p"), F.col("p").alias("pp"), F.col("low").alias("ll"))
-        new = cut(ptr.join(up, "p").select("u", F.col("pp").alias("p"), F.least("low", "ll").alias("low"), (F.col("ll") < F.col("low")).alias("moved")))
+        new = written(ptr.join(up, "p").select("u", F.col("pp").alias("p"), F.least("low", "ll").alias("low"), (F.col("ll") < F.col("low")).alias("moved")))
         done = new.where("moved").isEmpty()
         ptr = new.drop("moved")
         if done:
@@ -82,10 +82,10 @@ def places(state: DataFrame) -> DataFrame:
     back = state.select(F.col("next").alias("u"), F.col("u").alias("b"), "cycle")
     head = F.col("u") == F.col("cycle")
     # a cycle's name is its smallest use, which heads it
-    ptr = cut(back.select("u", "cycle", F.when(head, F.col("u")).otherwise(F.col("b")).alias("p"), F.when(head, 0).otherwise(1).cast("long").alias("i")))
+    ptr = written(back.select("u", "cycle", F.when(head, F.col("u")).otherwise(F.col("b")).alias("p"), F.when(head, 0).otherwise(1).cast("long").alias("i")))
     while not ptr.where("p <> cycle").isEmpty():
         up = ptr.select(F.col("u").alias("p"), F.col("p").alias("pp"), F.col("i").alias("ii"))
-        ptr = cut(ptr.join(up, "p").select("u", "cycle", F.col("pp").alias("p"), (F.col("i") + F.col("ii")).alias("i")))
+        ptr = written(ptr.join(up, "p").select("u", "cycle", F.col("pp").alias("p"), (F.col("i") + F.col("ii")).alias("i")))
     return ptr.select("u", "cycle", "i")
 
 
