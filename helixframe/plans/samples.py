@@ -40,6 +40,12 @@ def scored(rows: DataFrame) -> DataFrame:
     return s.withColumn("p_lp", F.col("likelihood") + F.col("prior") + F.col("n_euler")).select(*[c.split()[0] for c in SCHEMA.split(", ")])
 
 
+def of_frame(rows: DataFrame) -> DataFrame:
+    """Store of a search's samples (as of ``Posterior.frame``)."""
+    infos = F.concat(F.lit("["), F.array_join("infos", ","), F.lit("]"))
+    return upsert(empty(rows.sparkSession), scored(rows.withColumn("infos", infos).drop("p_lp")))
+
+
 def upsert(store: DataFrame, new: DataFrame) -> DataFrame:
     """Store with the new rows (as of ``scored``) whose vector it doesn't hold, in the order of their ids behind its own; of
     equal new vectors the first. What is there stays as it is. An empty side is fine."""
