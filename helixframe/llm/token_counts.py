@@ -8,7 +8,7 @@ gives each block its place and the last separator before it, which closes the do
 
 import base64
 import uuid
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from helixframe.llm.common import cut, only, prepare, read
+from helixframe.llm.web_archives import store
 
 BLOCK_TOKENS = 1 << 16
-#: Files above this are read by ranges, in records of a divisor of their size.
-WHOLE_BYTES = 256 << 20
+#: Files above this are read by ranges of so many ids.
+WHOLE_BYTES, RANGE_TOKENS = 256 << 20, 1 << 22
 EOD = 50256
 SUMMARY = "file string, block long, sub long, tokens long, seps long, first long, last long, inner array<long>"
 
@@ -29,22 +30,33 @@ SUMMARY = "file string, block long, sub long, tokens long, seps long, first long
 def read_token_files(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """Ranges (file, block, data) of flat token files in any store that Spark reads; none for an empty folder.
 
-    Files up to WHOLE_BYTES are one range. Those above are read in records of the largest divisor of their size up to
-    BLOCK_TOKENS ids; an incomplete id at their end is an error.
+    Files up to WHOLE_BYTES are one range. Those above are listed by length alone and read in the tasks, by ranges of
+    RANGE_TOKENS ids whose last one is shorter; an incomplete id at their end is an error.
     """
     listed = spark.read.format("binaryFile").load(path)
-    big = [(r["path"], r["length"]) for r in listed.select("path", "length").where(F.col("length") > WHOLE_BYTES).collect()]
     small = listed.where(F.col("length") <= WHOLE_BYTES).select(F.col("path").alias("file"), F.lit(0).cast("long").alias("block"), F.col("content").alias("data"))
-    return reduce(DataFrame.unionByName, [_ranges(spark, p, z, width) for p, z in big], small)
+    big = listed.where(F.col("length") > WHOLE_BYTES).select(F.col("path").alias("file"), "length")
+    odd = big.where(F.col("length") % width != 0).first()
+    if odd is not None:
+        raise ValueError(f"{odd['file']}: {odd['length']} bytes are no whole ids of {width} bytes")
+    return small if big.isEmpty() else small.unionByName(_ranges(big, width))
 
 
-def _ranges(spark: SparkSession, path: str, size: int, width: int) -> DataFrame:
-    """Blocks of one file by fixed-length records."""
-    if size % width:
-        raise ValueError(f"{path}: {size} bytes are no whole ids of {width} bytes")
-    record = next(width * r for r in range(min(BLOCK_TOKENS, size // width), 0, -1) if size // width % r == 0)
-    rows = spark.sparkContext.newAPIHadoopFile(path, "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf={"fixedlengthinputformat.record.length": str(record)})
-    return spark.createDataFrame(rows.map(lambda kv: (path, kv[0] // record, kv[1])), "file string, block long, data binary")
+def _ranges(files: DataFrame, width: int, tokens: int = RANGE_TOKENS) -> DataFrame:
+    """(file, block, data) of files(file, length): only offsets are shuffled, and a task holds one range at a time."""
+    step = tokens * width
+    starts = files.select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step).cast("long"))).alias("start"))
+
+    def fetch(batches):
+        for b in batches:
+            for f, length, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                system, p = store(f)
+                with system.open_input_file(p) as h:
+                    data = h.read_at(min(step, length - at), at)
+                yield pa.RecordBatch.from_arrays([pa.array([f]), pa.array([at // step], pa.int64()), pa.array([data], pa.binary())], names=["file", "block", "data"])
+
+    parts = starts.sparkSession.sparkContext.defaultParallelism
+    return starts.repartition(max(parts, 200), "file", "start").mapInArrow(fetch, "file string, block long, data binary")
 
 
 def count_tokens(ranges: DataFrame, eod: int = EOD, width: int = 2) -> DataFrame:
