@@ -217,6 +217,25 @@ def test_neighbours_by_codes(spark, monkeypatch):
     assert all(r["score"] == pytest.approx(u[r["query_id"]] @ u[r["vec_id"]], abs=1e-12) for r in got)
 
 
+def test_neighbours_are_the_nearest_where_codes_tell_little(spark, monkeypatch):
+    """Many dimensions, a common mean, equal directions and large values: with few candidates by code alone most would be missed."""
+    for name, value in {"RERANK": 8, "TILE": 16, "CHUNK": 700, "FIT_ROWS": 300, "PIECE": 200}.items():
+        monkeypatch.setattr(neighbors, name, value)
+    rng = np.random.default_rng(5)
+    wide = rng.normal(size=(1500, 200))
+    for x in (wide, 50 + 0.05 * wide, wide[rng.integers(0, 40, 1500)] + 0.001 * wide, wide[rng.integers(0, 300, 1500)] * rng.integers(1, 3, (1500, 1))):
+        x = x.astype(np.float32)
+        e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+        got = neighbors.search(e, e.where("vec_id % 50 = 0")).collect()
+        u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+        s = u[::50] @ u.T
+        s[np.arange(30), np.arange(0, 1500, 50)] = -9
+        want = -np.sort(-s, axis=1)[:, :5]
+        mine = {(r["query_id"], r["rank"]): r["score"] for r in got}
+        assert len(got) == len(mine) == 150
+        assert all(abs(mine[50 * i, j + 1] - want[i, j]) < 1e-12 for i in range(30) for j in range(5))
+
+
 def test_quality(spark):
     good, bad = "the cat and the dog went home and had some tea", "$$$ %% buy now !!! $$$ win win win"
     rows = [(i, " ".join(random.Random(i).sample((good if i % 3 else bad).split(), 7)), int(i % 3 > 0)) for i in range(300)]
