@@ -29,9 +29,9 @@ def fasta_records(spark, sf):
 
 @query(f"WITH {READS} SELECT row_number() OVER (ORDER BY read_id) - 1 AS read_id, seq FROM reads WHERE seq <> ''")
 def fasta_reads(spark, sf):
-    """Reads in one compressed file."""
+    """Reads in compressed files."""
     path = folder(spark, "reads.fa") + ".gz"
-    fasta.write_reads(reads(spark, sf).where("seq <> ''"), path)
+    fasta.write_reads(reads(spark, sf).where("seq <> ''"), path, one=False)
     return fasta.read_reads(spark, path)
 
 
@@ -45,7 +45,7 @@ def haps(spark, sf):
 @query(f"WITH {STYLED} SELECT hap_id, style, seq FROM haps")
 def fasta_genome(spark, sf):
     path = folder(spark, "genome.fa")
-    fasta.write_genome(haps(spark, sf), path)
+    fasta.write_genome(haps(spark, sf), path, one=False)
     return fasta.read_genome(spark, path)
 
 
@@ -54,7 +54,7 @@ def sam_lines(spark, sf):
     """Each read placed from the third base of its own haplotype on."""
     h, path = haps(spark, sf), folder(spark, "reads.sam")
     place = F.transform(F.sequence(F.lit(0), F.length("seq") - 1), lambda i: F.struct(F.col("hap_id").cast("long").alias("node"), (i + 2).cast("long").alias("pos")))
-    fasta.write_sam(h, h.select(F.col("hap_id").alias("read_id"), "seq", place.alias("origins")), path)
+    fasta.write_sam(h, h.select(F.col("hap_id").alias("read_id"), "seq", place.alias("origins")), path, one=False)
     return fasta.read_lines(spark, path).select("line")
 
 
@@ -93,15 +93,15 @@ UNION ALL SELECT concat_ws({T}, 'E', CAST(edge_id AS VARCHAR), CAST(source AS VA
 def dbg_file(spark, sf):
     """Lines of the DBG file, as read from it."""
     path = folder(spark, "graph.dbg")
-    fasta.write_lines(formats.dbg_lines(graph(spark, sf)), path, formats.ORDER)
+    fasta.write_lines(formats.dbg_lines(graph(spark, sf)), path, formats.ORDER, one=False)
     return fasta.read_lines(spark, path).select("line")
 
 
 @query(f"{GRAPH} SELECT CAST(edge_id AS BIGINT) AS edge_id, base, copy_num, kmer FROM e")
 def dbg_file_edges(spark, sf):
-    """Edges of the graph that is read from a compressed file."""
+    """Edges of the graph that is read from compressed files."""
     path = folder(spark, "graph") + ".dbz"
-    fasta.write_lines(formats.dbg_lines(graph(spark, sf)), path, formats.ORDER)
+    fasta.write_lines(formats.dbg_lines(graph(spark, sf)), path, formats.ORDER, one=False)
     return formats.read_dbg(fasta.read_lines(spark, path)).edges.select("edge_id", "base", "copy_num", "kmer")
 
 
@@ -114,14 +114,14 @@ def dbg_file_compact(spark, sf):
 @query(f"{GRAPH}{AT} SELECT 'P' || {T} || string_agg(CAST(edge_id AS VARCHAR), ',' ORDER BY i) AS line FROM p JOIN e ON p.kmer = e.kmer GROUP BY path_id")
 def paths_file(spark, sf):
     path = folder(spark, "reads.paths")
-    fasta.write_lines(formats.paths_lines(graph(spark, sf).paths_of(_haps(spark, sf))), path, formats.ORDER)
+    fasta.write_lines(formats.paths_lines(graph(spark, sf).paths_of(_haps(spark, sf))), path, formats.ORDER, one=False)
     return fasta.read_lines(spark, path).select("line")
 
 
 @query(f"{GRAPH}{AT} SELECT CAST(dense_rank() OVER (ORDER BY path_id) - 1 AS BIGINT) AS path_id, i, CAST(edge_id AS BIGINT) AS edge_id FROM p JOIN e ON p.kmer = e.kmer")
 def paths_file_read(spark, sf):
     path = folder(spark, "reads.paths")
-    fasta.write_lines(formats.paths_lines(graph(spark, sf).paths_of(_haps(spark, sf))), path, formats.ORDER)
+    fasta.write_lines(formats.paths_lines(graph(spark, sf).paths_of(_haps(spark, sf))), path, formats.ORDER, one=False)
     return formats.read_paths(fasta.read_lines(spark, path))
 
 
@@ -132,7 +132,7 @@ LINKS = "SELECT a.edge_id AS a, b.edge_id AS b, a.target AS node FROM c a JOIN c
 UNION ALL SELECT concat_ws({T}, 'L', CAST(a AS VARCHAR), '+', CAST(b AS VARCHAR), '+', '0M', 'ID:Z:' || node) FROM ({LINKS})""")
 def gfa_file(spark, sf):
     path = folder(spark, "graph.gfa")
-    fasta.write_lines(formats.gfa_lines(graph(spark, sf)), path, formats.ORDER)
+    fasta.write_lines(formats.gfa_lines(graph(spark, sf)), path, formats.ORDER, one=False)
     return fasta.read_lines(spark, path).select("line")
 
 
@@ -172,7 +172,7 @@ def _map_lines(spark, sf):
 @query(f"WITH {CELLS} SELECT concat_ws({T}, CAST(read_id AS VARCHAR), CAST(pos AS VARCHAR), substr('ACGTACGTACGTACGT', pos + 1, 1), string_agg(node || ':' || lp, ',' ORDER BY lp DESC, node)) AS line FROM cells GROUP BY read_id, pos")
 def map_file(spark, sf):
     path = folder(spark, "reads") + ".mpz"
-    fasta.write_lines(_map_lines(spark, sf), path, formats.ORDER)
+    fasta.write_lines(_map_lines(spark, sf), path, formats.ORDER, one=False)
     return fasta.read_lines(spark, path).select("line")
 
 

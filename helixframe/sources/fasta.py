@@ -62,15 +62,15 @@ def write_reads(reads: DataFrame, path: str, one: bool = True) -> None:
     write_lines(reads.select("read_id", F.concat(F.lit(">r"), F.col("read_id").cast("string"), F.lit("\n"), "seq").alias("line")), path, ["read_id"], one=one)
 
 
-def write_genome(haps: DataFrame, path: str) -> None:
-    write_lines(haps.select("hap_id", F.concat(F.lit(">g"), F.col("hap_id").cast("string"), F.lit(" "), "style", F.lit("\n"), "seq").alias("line")), path, ["hap_id"])
+def write_genome(haps: DataFrame, path: str, one: bool = True) -> None:
+    write_lines(haps.select("hap_id", F.concat(F.lit(">g"), F.col("hap_id").cast("string"), F.lit(" "), "style", F.lit("\n"), "seq").alias("line")), path, ["hap_id"], one=one)
 
 
-def write_sam(haps: DataFrame, reads: DataFrame, path: str) -> None:
+def write_sam(haps: DataFrame, reads: DataFrame, path: str, one: bool = True) -> None:
     """One @SQ line for each haplotype, then one line for each forward read."""
     head = haps.select(F.lit(0).alias("part"), F.col("hap_id").alias("i"), F.concat(F.lit("@SQ\tSN:g"), F.col("hap_id").cast("string"), F.lit("\tLN:"), F.length("seq").cast("string")).alias("line"))
     body = reads.select(F.lit(1).alias("part"), F.col("read_id").alias("i"), S.sam_line(F.concat(F.lit("r"), F.col("read_id").cast("string")), "seq", "origins").alias("line"))
-    write_lines(head.unionByName(body), path, ["part", "i"])
+    write_lines(head.unionByName(body), path, ["part", "i"], one=one)
 
 
 DATASET = "genome array<string>, genome_size long, reads array<string>, phmm_params map<string,double>"
