@@ -17,7 +17,7 @@ URLS = "urls AS (SELECT page_id AS read_id, upper(regexp_replace(coalesce(url, '
 
 
 def urls(spark, sf):
-    return table(spark, sf, "pages").select(F.col("page_id").alias("read_id"), S.acgt_only(F.coalesce("url", F.lit(""))).alias("seq"))
+    return table(spark, sf, "pages").select(F.col("page_id").alias("read_id"), F.explode(F.array(S.acgt_only(F.coalesce("url", F.lit(""))))).alias("seq"))
 
 
 def linear_sql(k: int) -> str:

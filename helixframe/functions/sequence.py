@@ -32,7 +32,7 @@ def sanitize(seq) -> Column:
 
 def acgt_only(text) -> Column:
     """Text reduced to its ACGT letters in upper case."""
-    return F.upper(F.regexp_replace(_c(text), "[^ACGTacgt]", ""))
+    return F.upper(F.regexp_replace(_c(text), "[^ACGTacgt]+", ""))
 
 
 def drop_nulls(seq) -> Column:

@@ -19,7 +19,7 @@ from helixframe.operators import graph as G
 from helixframe.operators import hmm, kernels
 from helixframe.operators import kmers as K
 from helixframe.operators.blocks import BlockModel
-from helixframe.plans.durable import cut
+from helixframe.plans.durable import cut, lookup
 
 
 class MissingKmers(ValueError):
@@ -37,6 +37,7 @@ class Assembly:
     @classmethod
     def from_kmers(cls, table: DataFrame, k: int, ignore_copy_nums: bool = False) -> "Assembly":
         """Graph of a k-mer table; the counts are copy numbers and must be a circulation unless they are ignored."""
+        table = cut(table)
         if not ignore_copy_nums and not K.is_consistent(table):
             raise ValueError("copy numbers in and out of a node differ")
         nodes, edges = K.numbered(table)
@@ -150,32 +151,36 @@ class Assembly:
     def paths_of(self, haps: DataFrame) -> DataFrame:
         """(path_id, i, edge_id) of styled sequences (hap_id, style, seq); an error that lists absent k-mers."""
         rows = K.windows_of(haps.select(F.col("hap_id").alias("path_id"), "style", "seq"), K.styled_text("seq", "style", self.k), self.k, ("path_id",), position=True).withColumnRenamed("pos", "i")
-        out = cut(rows.join(self.edges.select("kmer", "edge_id"), "kmer", "left"))
-        missing = [r[0] for r in out.where("edge_id is null").select("kmer").distinct().limit(20).collect()]
+        known = lookup(self.edges.select("kmer", "edge_id"))
+        # the windows are made twice, which costs less than to write them all
+        missing = [r[0] for r in rows.select("kmer").distinct().join(known, "kmer", "left_anti").limit(20).collect()]
         if missing:
             raise MissingKmers(", ".join(sorted(missing)))
-        return out.select("path_id", "i", "edge_id")
+        return rows.join(known, "kmer").select("path_id", "i", "edge_id")
 
     def broken_paths(self, paths: DataFrame, level: str = "edges") -> DataFrame:
         """path_id of the paths that are not closed walks."""
-        e = getattr(self, level).select("edge_id", "source", "target")
+        e = lookup(getattr(self, level).select("edge_id", "source", "target"))
         w = Window.partitionBy("path_id").orderBy("i")
-        p = paths.join(e, "edge_id").withColumn("_next", F.coalesce(F.lead("source").over(w), F.first("source").over(w)))
+        p = paths.join(e, "edge_id").select("path_id", "i", "source", "target").withColumn("_next", F.coalesce(F.lead("source").over(w), F.first("source").over(w)))
         return p.where("target <> _next").select("path_id").distinct()
 
     def path_in_compact(self, paths: DataFrame) -> DataFrame:
         """Full paths as compact paths: the compact edge at each full edge that begins one, in the order of the path. The
         path must start at such a place or it is rotated to the first one."""
-        p = paths.join(self.full_to_compact().withColumnRenamed("i", "at"), paths["edge_id"] == F.col("full")).where("at = 0")
+        heads = lookup(self.full_to_compact().where("i = 0").select("full", "compact"))
+        p = paths.join(heads, paths["edge_id"] == F.col("full"))
         return p.select("path_id", (F.row_number().over(Window.partitionBy("path_id").orderBy("i")) - 1).alias("i"), F.col("compact").alias("edge_id"))
 
     def path_in_full(self, paths: DataFrame) -> DataFrame:
-        p = paths.join(self.full_to_compact().withColumnRenamed("i", "at"), paths["edge_id"] == F.col("compact"))
+        p = paths.join(lookup(self.full_to_compact().withColumnRenamed("i", "at")), paths["edge_id"] == F.col("compact"))
         return p.select("path_id", (F.row_number().over(Window.partitionBy("path_id").orderBy("i", "at")) - 1).alias("i"), F.col("full").alias("edge_id"))
 
     def copy_nums_of_paths(self, paths: DataFrame) -> DataFrame:
         """(edge_id, copy_num) of compact edges as often as full paths use them."""
-        used = self.path_in_compact(paths).groupBy("edge_id").agg(F.count("*").alias("copy_num"))
+        # counted without the order of the paths
+        heads = lookup(self.full_to_compact().where("i = 0").select("full", F.col("compact").alias("_c")))
+        used = paths.join(heads, paths["edge_id"] == F.col("full")).groupBy(F.col("_c").alias("edge_id")).agg(F.count("*").alias("copy_num"))
         return self.compact.select("edge_id").join(used, "edge_id", "left").withColumn("copy_num", F.coalesce("copy_num", F.lit(0).cast("long")))
 
     def circuits(self, copies: dict[int, int] | None = None) -> list[list[int]]:

@@ -295,7 +295,8 @@ def top(table: DataFrame, k: int) -> DataFrame:
 
 def numbered(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes(node_id, km1mer, is_terminal), edges(edge_id, source, target, base, copy_num, kmer)) with ids in the order of
-    the k-mers: numbers are counted by range partition, never in one sorted task."""
+    the k-mers: numbers are counted by range partition, never in one sorted task. The table is computed once."""
+    table = cut(table)
     e = number(edges(table).orderBy("kmer"), "edge_id")
     n = number(nodes(table).orderBy("node"), "node_id")
     ids = n.select("node_id", "node")

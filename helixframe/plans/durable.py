@@ -7,6 +7,10 @@ from functools import lru_cache
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a table that is broadcast, at most.
+LOOKUP_ROWS = 100_000
 
 
 def ensure_dir(spark: SparkSession) -> None:
@@ -32,6 +36,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lookup(df: DataFrame) -> DataFrame:
+    """df, marked to be broadcast if it has few rows: what is joined with it is not shuffled then, whatever its keys."""
+    return F.broadcast(df) if df.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS else df
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """Path of a new folder in the shared checkpoint folder."""
     ensure_dir(spark)
