@@ -7,6 +7,9 @@ from pyspark.sql.window import Window
 from helixframe.functions import sequence as S
 from helixframe.operators import kmers as K
 
+#: Pieces of a cs string whose places are summed up in one row, at most.
+SHORT = 1024
+
 
 def kmers_with_position(seqs: DataFrame, k: int) -> DataFrame:
     """(kmer, places): every k-mer on both strands with (name, pos, strand)."""
@@ -118,14 +121,26 @@ def cs_steps(cs) -> Column:
 
 def aligned_pairs(paf: DataFrame, ignore_match: bool = False) -> DataFrame:
     """(query, target, kind, q, t, n): runs of matches (:), substitutions (*), insertions (+) and deletions (-)."""
-    s = paf.where("cs is not null").select("query", "target", "q_start", "t_start", F.posexplode(cs_steps("cs")).alias("i", "x"))
-    kind = F.left("x", F.lit(1))
-    n = F.when(kind == ":", F.substr("x", F.lit(2)).cast("long")).when(kind == "*", 1).otherwise(F.length("x") - 1)
-    s = s.select("query", "target", "q_start", "t_start", "i", kind.alias("kind"), n.alias("n"))
-    w = Window.partitionBy("query", "target", "q_start", "t_start").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    named = ["query", "target", "q_start", "t_start"]
+    rows = paf.where("cs is not null").select(*named, cs_steps("cs").alias("xs"))
+    kind = lambda x: F.left(x, F.lit(1))
+    n = lambda x: F.when(kind(x) == ":", F.substr(x, F.lit(2)).cast("long")).when(kind(x) == "*", 1).otherwise(F.length(x) - 1)
+    # the places of a short alignment are summed up in its row, without a sort; those of a long one by a window
+    none = F.struct(F.col("q_start").cast("long").alias("q"), F.col("t_start").cast("long").alias("t"), F.array().cast("array<struct<kind:string,q:bigint,t:bigint,n:bigint>>").alias("out"))
+
+    def step(a, x):
+        size = n(x).cast("long")
+        one = F.struct(kind(x).alias("kind"), a["q"].alias("q"), a["t"].alias("t"), size.alias("n"))
+        return F.struct((a["q"] + F.when(kind(x) != "-", size).otherwise(0)).alias("q"), (a["t"] + F.when(kind(x) != "+", size).otherwise(0)).alias("t"), F.concat(a["out"], F.array(one)).alias("out"))
+
+    short = rows.where(F.size("xs") <= SHORT).select("query", "target", F.explode(F.aggregate("xs", none, step)["out"]).alias("x")).select("query", "target", "x.*")
+    s = rows.where(F.size("xs") > SHORT).select(*named, F.posexplode("xs").alias("i", "x"))
+    s = s.select(*named, "i", kind(F.col("x")).alias("kind"), n(F.col("x")).cast("long").alias("n"))
+    w = Window.partitionBy(*named).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     q = F.sum(F.when(F.col("kind") != "-", F.col("n")).otherwise(0)).over(w)
     t = F.sum(F.when(F.col("kind") != "+", F.col("n")).otherwise(0)).over(w)
-    out = s.select("query", "target", "kind", (F.col("q_start") + F.coalesce(q, F.lit(0))).alias("q"), (F.col("t_start") + F.coalesce(t, F.lit(0))).alias("t"), "n")
+    long = s.select("query", "target", "kind", (F.col("q_start") + F.coalesce(q, F.lit(0))).alias("q"), (F.col("t_start") + F.coalesce(t, F.lit(0))).alias("t"), "n")
+    out = short.unionByName(long)
     return out.where("kind <> ':'") if ignore_match else out
 
 
