@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.plans.durable import cut
+from helixframe.plans.durable import written as cut
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -84,23 +84,26 @@ def _inner(edges: DataFrame, keep: DataFrame | None = None) -> DataFrame:
 
 def simple_paths(e: DataFrame, inner: DataFrame) -> DataFrame:
     """(e, head, d): the simple path of each edge, named by its first edge, and the edge's place in it; by pointer doubling,
-    in rows of fixed size."""
+    in rows of fixed size.
+
+    After each round a path has fewer edges whose pointer is not at its head, so when their number stays, what is left are
+    circles; those turn on until no smallest id falls, as each has seen its whole circle then."""
     inner = cut(inner)
     before = e.join(inner, e["target"] == inner["node"], "left_semi").select(F.col("edge_id").alias("prev"), F.col("target").alias("source"))
-    ptr = cut(e.join(before, "source", "left").select(F.col("edge_id").alias("e"), F.coalesce("prev", "edge_id").alias("p"), F.when(F.col("prev").isNull(), 0).otherwise(1).cast("long").alias("d"), F.least("edge_id", F.coalesce("prev", "edge_id")).alias("low")))
-    n_edges, span, moving = e.count(), 1, not inner.isEmpty()
-    while moving and span < 2 * n_edges:
-        up = ptr.select(F.col("e").alias("p"), F.col("p").alias("pp"), F.col("d").alias("dd"), F.col("low").alias("ll"))
-        ptr = cut(ptr.join(up, "p").select("e", F.col("pp").alias("p"), (F.col("d") + F.col("dd")).alias("d"), F.least("low", "ll").alias("low")))
-        span *= 2
-        heads = ptr.select(F.col("e").alias("p"), (F.col("d") == 0).alias("done")).where("done")
-        moving = not ptr.join(heads, "p", "left_anti").isEmpty()
-    heads = ptr.where("d = 0").select(F.col("e").alias("p"))
-    paths = ptr.join(heads, "p", "left_semi").select("e", F.col("p").alias("head"), "d")
-    rings = ptr.join(heads, "p", "left_anti")
-    if not rings.isEmpty():
-        paths = paths.unionByName(_rings(rings.select("e", "low"), e, inner))
-    return cut(paths)
+    start = F.col("prev").isNull()
+    ptr = cut(e.join(before, "source", "left").select(F.col("edge_id").alias("e"), F.coalesce("prev", "edge_id").alias("p"), F.when(start, 0).otherwise(1).cast("long").alias("d"), F.least("edge_id", F.coalesce("prev", "edge_id")).alias("low"), start.alias("done"), (~start).alias("fell")))
+    was, (left, fell) = None, _open(ptr)
+    while left and (left != was or fell):
+        up = ptr.select(F.col("e").alias("p"), F.col("p").alias("pp"), F.col("d").alias("dd"), F.col("low").alias("ll"), F.col("done").alias("at_head"))
+        ptr = cut(ptr.join(up, "p").select("e", F.col("pp").alias("p"), (F.col("d") + F.col("dd")).alias("d"), F.least("low", "ll").alias("low"), F.col("at_head").alias("done"), (F.col("ll") < F.col("low")).alias("fell")))
+        was, (left, fell) = left, _open(ptr)
+    paths = ptr.where("done").select("e", F.col("p").alias("head"), "d")
+    return cut(paths.unionByName(_rings(ptr.where("not done").select("e", "low"), e))) if left else paths
+
+
+def _open(ptr: DataFrame) -> tuple[int, int]:
+    """Edges whose pointer is not at a head, and those of them whose smallest id fell."""
+    return tuple(ptr.where("not done").agg(F.count("*"), F.count_if("fell")).first())
 
 
 def _joined(e: DataFrame, places: DataFrame) -> DataFrame:
@@ -110,7 +113,7 @@ def _joined(e: DataFrame, places: DataFrame) -> DataFrame:
     return cut(ends.select(F.col("head").alias("edge_id"), "source", "target"))
 
 
-def _rings(rings: DataFrame, edges: DataFrame, inner: DataFrame) -> DataFrame:
+def _rings(rings: DataFrame, edges: DataFrame) -> DataFrame:
     """(e, head, d) for cycles of contracted nodes: distance from the smallest edge of each."""
     ring = cut(rings.withColumnRenamed("low", "head"))
     e = edges.join(ring, edges["edge_id"] == ring["e"]).select("e", "head", "source", "target")
@@ -166,7 +169,7 @@ def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
 
 def _named_edges(pairs: DataFrame) -> DataFrame:
     """Edges (edge_id, source, target) of the different pairs, loops left out."""
-    return cut(cut(pairs.where("source <> target").distinct()).withColumn("edge_id", F.monotonically_increasing_id()).select("edge_id", "source", "target"))
+    return cut(pairs.where("source <> target").distinct().withColumn("edge_id", F.monotonically_increasing_id()).select("edge_id", "source", "target"))
 
 
 def _cut_down(e: DataFrame, max_rounds: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -195,24 +198,21 @@ def _cut_down(e: DataFrame, max_rounds: int) -> tuple[DataFrame, list[DataFrame]
 
 
 def _spread(labels: DataFrame, e: DataFrame) -> DataFrame:
-    """Smallest label that reaches each node along edges."""
-    labels = cut(labels)
-    while True:
-        push = labels.join(e, labels["node"] == e["source"]).select(F.col("target").alias("node"), "c")
-        nxt = cut(labels.unionByName(push).groupBy("node").agg(F.min("c").alias("c")))
-        changed = not nxt.join(labels.withColumnRenamed("c", "b"), "node").where("c <> b").isEmpty()
-        labels = nxt
-        if not changed:
-            return labels
+    """Smallest label that reaches each node along edges; a round follows the labels that fell in the last one."""
+    labels = moved = cut(labels)
+    while not moved.isEmpty():
+        push = moved.join(e, moved["node"] == e["source"]).select(F.col("target").alias("node"), "c", F.lit(None).cast(labels.schema["c"].dataType).alias("was"))
+        nxt = cut(labels.withColumn("was", F.col("c")).unionByName(push).groupBy("node").agg(F.min("c").alias("c"), F.max("was").alias("was")))
+        labels, moved = nxt.select("node", "c"), nxt.where("c <> was").select("node", "c")
+    return labels
 
 
 def _reach(frontier: DataFrame, e: DataFrame) -> DataFrame:
-    seen = frontier = cut(frontier)
-    while not frontier.isEmpty():
-        step = frontier.join(e, frontier["node"] == e["source"]).select(F.col("target").alias("node")).distinct()
-        frontier = cut(step.join(seen, "node", "left_anti"))
-        seen = cut(seen.unionByName(frontier))
-    return seen
+    seen = cut(frontier.select("node", F.lit(True).alias("new")))
+    while not (fresh := seen.where("new")).isEmpty():
+        step = fresh.join(e, fresh["node"] == e["source"]).select(F.col("target").alias("node"), F.lit(True).alias("new"))
+        seen = cut(seen.select("node", F.lit(False).alias("new")).unionByName(step).groupBy("node").agg(F.min("new").alias("new")))
+    return seen.select("node")
 
 
 def component_sizes(components: DataFrame, edges: DataFrame) -> DataFrame:
