@@ -209,7 +209,8 @@ SELECT CAST(s.scc AS BIGINT) AS scc, CAST(count(*) AS BIGINT) AS nodes, CAST(coa
 
 @query(f"WITH RECURSIVE {AUGMENTED.removeprefix('WITH ')}, {walk_sql(KMER)} SELECT CAST(source AS BIGINT) AS source, CAST(target AS BIGINT) AS target, array_to_string(path, ',') AS path FROM c")
 def dbg_unitigs(spark, sf):
-    """Simple paths of the frequent 8-mers; circles of inner nodes alone, if there are any, have no place to begin in SQL."""
+    """Simple paths of the frequent 8-mers, from one node that is not an inner one to the next. Circles of inner nodes alone
+    have no such node and are no rows, as in SQL; ``G.compact`` gives them as loops unless told otherwise."""
     return unitigs(spark, sf).select("source", "target", F.concat_ws(",", F.transform("edges_in_full", lambda x: x.cast("string"))).alias("path"))
 
 

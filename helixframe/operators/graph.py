@@ -56,16 +56,17 @@ def subgraph(edges: DataFrame, nodes: DataFrame, node: str = "node_id") -> DataF
     return edges.join(n, edges["source"] == n["_n"], "left_semi").join(n, edges["target"] == n["_n"], "left_semi")
 
 
-def compact(edges: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+def compact(edges: DataFrame, keep: DataFrame | None = None, circles: bool = True) -> DataFrame:
     """Simple paths as (edge_id, source, target, edges_in_full): every node with one way in and one out, not in
     ``keep(node)`` (the terminal) and without a loop of its own, is contracted by pointer doubling.
 
     An edge points to the edge before it across a contracted node; after r rounds a pointer spans 2**r steps, so
     paths take O(log length) joins. A cycle of contracted nodes alone ends as one loop, broken before its smallest
-    edge. Ids are the smallest edge of each path, in the order of ids.
+    edge; it begins and ends at no node that is kept, and without ``circles`` it is no path. Ids are the smallest edge of
+    each path, in the order of ids.
     """
     e = edges.select("edge_id", "source", "target")
-    paths = simple_paths(e, _inner(e, keep))
+    paths = simple_paths(e, _inner(e, keep), circles)
     full = paths.join(e.withColumnRenamed("edge_id", "e"), "e")
     out = full.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("d", "e", "source", "target"))).alias("x"))
     out = out.select(F.array_min(F.transform("x", lambda s: s["e"])).alias("_low"), F.col("x")[0]["source"].alias("source"), F.element_at("x", -1)["target"].alias("target"), F.transform("x", lambda s: s["e"]).alias("edges_in_full"))
@@ -82,23 +83,24 @@ def _inner(edges: DataFrame, keep: DataFrame | None = None) -> DataFrame:
     return inner if keep is None else inner.join(keep.select("node"), "node", "left_anti")
 
 
-def simple_paths(e: DataFrame, inner: DataFrame) -> DataFrame:
+def simple_paths(e: DataFrame, inner: DataFrame, circles: bool = True) -> DataFrame:
     """(e, head, d): the simple path of each edge, named by its first edge, and the edge's place in it; by pointer doubling,
     in rows of fixed size.
 
     After each round a path has fewer edges whose pointer is not at its head, so when their number stays, what is left are
-    circles; those turn on until no smallest id falls, as each has seen its whole circle then."""
+    circles; those turn on until no smallest id falls, as each has seen its whole circle then. Without ``circles`` they
+    are left out."""
     inner = cut(inner)
     before = e.join(inner, e["target"] == inner["node"], "left_semi").select(F.col("edge_id").alias("prev"), F.col("target").alias("source"))
     start = F.col("prev").isNull()
     ptr = cut(e.join(before, "source", "left").select(F.col("edge_id").alias("e"), F.coalesce("prev", "edge_id").alias("p"), F.when(start, 0).otherwise(1).cast("long").alias("d"), F.least("edge_id", F.coalesce("prev", "edge_id")).alias("low"), start.alias("done"), (~start).alias("fell")))
     was, (left, fell) = None, _open(ptr)
-    while left and (left != was or fell):
+    while left and (left != was or (circles and fell)):
         up = ptr.select(F.col("e").alias("p"), F.col("p").alias("pp"), F.col("d").alias("dd"), F.col("low").alias("ll"), F.col("done").alias("at_head"))
         ptr = cut(ptr.join(up, "p").select("e", F.col("pp").alias("p"), (F.col("d") + F.col("dd")).alias("d"), F.least("low", "ll").alias("low"), F.col("at_head").alias("done"), (F.col("ll") < F.col("low")).alias("fell")))
         was, (left, fell) = left, _open(ptr)
     paths = ptr.where("done").select("e", F.col("p").alias("head"), "d")
-    return cut(paths.unionByName(_rings(ptr.where("not done").select("e", "low"), e))) if left else paths
+    return cut(paths.unionByName(_rings(ptr.where("not done").select("e", "low"), e))) if left and circles else paths
 
 
 def _open(ptr: DataFrame) -> tuple[int, int]:
